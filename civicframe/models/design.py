@@ -240,6 +240,17 @@ def poly_constants(df: DataFrame, polys: Sequence[Poly], slices: Sequence[str])
     return out
 
 
+def with_poly(df: DataFrame, column: str, names: Sequence[str], slices: Sequence[str] = ()) -> DataFrame:
+    """Add the orthogonal polynomial columns of ``column``, fitted per slice."""
+    poly = Poly(column, len(names))
+    data = df.withColumn(column, F.col(column).cast("double"))
+    constants = poly_constants(data, [poly], list(slices))
+    table = SliceTable(data, list(slices), {"__poly": constants})
+    const = [table.get("__poly", j) for j in range(PolyConst.WIDTH)]
+    out = table.df.withColumns(dict(zip(names, poly_columns(F.col(column), const, poly.degree))))
+    return table.drop(out)
+
+
 def build(df: DataFrame, spec: Spec, slices: Sequence[str] = (), extra: Sequence[str] = ()) -> Design:
     slices = list(slices)
     keep = list(dict.fromkeys([*slices, *extra, spec.outcome, *spec.columns()]))

@@ -23,7 +23,7 @@ AT_BASE, AT_PROPORTIONS = "base", "proportions"
 
 def value_grid(df: DataFrame, x: str, first: int, last: int, step: int = 1, per: Sequence[str] = ()) -> DataFrame:
     """``x`` from ``first`` to ``last``, once for each combination of ``per`` in ``df``."""
-    values = F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(step))).cast("double").alias(x)
+    values = F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(step)).cast("array<double>")).alias(x)
     base = df.select(*per).distinct() if per else df.sparkSession.range(1)
     return base.select(*per, values)
 

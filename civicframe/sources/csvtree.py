@@ -32,7 +32,7 @@ def typed(col: Column, kind: str) -> Column:
     raise ValueError(f"unknown type {kind!r}")
 
 
-def headers(spark: SparkSession, root: str, pattern: str) -> dict[tuple[str, ...], list[str]]:
+def headers(spark: SparkSession, root: str, pattern: str, sep: str = ",") -> dict[tuple[str, ...], list[str]]:
     """Files under ``root`` by their header line.
 
     Reads the text once and keeps one line per file, combined map-side; only
@@ -49,7 +49,7 @@ def headers(spark: SparkSession, root: str, pattern: str) -> dict[tuple[str, ...
     )
     found: dict[tuple[str, ...], list[str]] = {}
     for row in first.orderBy("file").collect():
-        names = tuple(next(csv.reader([row["header"].lstrip("﻿")])))
+        names = tuple(next(csv.reader([row["header"].lstrip("\ufeff")], delimiter=sep)))
         found.setdefault(names, []).append(row["file"])
     return found
 
@@ -86,7 +86,7 @@ def scan_csv_tree(
     """
     types = types or {}
     frames = []
-    for names, paths in headers(spark, root, pattern).items():
+    for names, paths in headers(spark, root, pattern, sep).items():
         raw = _read_text_columns(spark, names, paths, sep)
         cols = [typed(F.col(f"`{n}`"), types.get(n, "string")).alias(n) for n in names]
         cols.append(F.col("_metadata.file_path").alias(lineage))
