@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.local import small_frame
+
 #: Slices are separate models whose coefficients live on the driver.
 MAX_SLICES = 10_000
 
@@ -158,7 +160,7 @@ class SliceTable:
                 + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in arrays]
             )
             rows = [(*k, *[[float(v) for v in arrays[n][k]] for n in arrays]) for k in keys]
-            side = df.sparkSession.createDataFrame(rows, schema)
+            side = small_frame(df.sparkSession, rows, schema)
             cond = None
             for s in self.slices:
                 same = F.col(s).eqNullSafe(F.col("__s_" + s))

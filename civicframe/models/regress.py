@@ -335,7 +335,8 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
                 if key in done:
                     continue
                 dev = r["dev"]
-                if key in previous and dev > previous[key][0] * (1 + 1e-12) + 1e-12:
+                # A rise beyond rounding means the step overshot.
+                if key in previous and dev > previous[key][0] * (1 + 1e-8) + 1e-8:
                     b[key] = (b[key] + previous[key][1]) / 2
                     continue
                 hess = _square(r, "h", k + 1)
@@ -394,7 +395,7 @@ def _logit_sums(design: Design, rows: DataFrame, centre, scale, b):
 
 
 #: Rows per slice up to which one aggregate may hold all residuals for a median.
-MEDIAN_ROWS = 1_000_000
+MEDIAN_ROWS = 50_000
 _BINS = 1024
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.local import small_frame
 from .dist import critical, normal_two_sided, t_two_sided
 from .regress import Fit
 
@@ -22,7 +23,7 @@ def _key_fields(fit: Fit) -> list[T.StructField]:
 
 def _frame(fit: Fit, fields: Sequence[tuple[str, T.DataType]], rows: list[tuple]) -> DataFrame:
     schema = T.StructType(_key_fields(fit) + [T.StructField(n, t) for n, t in fields])
-    return fit.design.rows.sparkSession.createDataFrame(rows, schema)
+    return small_frame(fit.design.rows.sparkSession, rows, schema)
 
 
 def coefficients(fit: Fit, level: float = 0.95, exponentiate: bool = False) -> DataFrame:
@@ -67,8 +68,8 @@ def label_terms(coefs: DataFrame, labels: Mapping[str, str]) -> DataFrame:
     """Keep the terms of ``labels``, in its order, under their new names (columns label, rank)."""
     spark = coefs.sparkSession
     ranks = {label: i for i, label in reversed(list(enumerate(labels.values(), start=1)))}
-    side = spark.createDataFrame(
-        [(t, label, ranks[label]) for t, label in labels.items()], "__term string, label string, rank int"
+    side = small_frame(
+        spark, [(t, label, ranks[label]) for t, label in labels.items()], "__term string, label string, rank int"
     )
     return coefs.join(F.broadcast(side), F.col("term") == F.col("__term")).drop("__term")
 

@@ -6,11 +6,11 @@ right crosses an odd number of edges of all rings.  An edge is crossed when
 exactly one of its ends is above the point (half-open in y), so a point on a
 shared border belongs to one side only.
 
-Every polygon is cut into grid cells of about its own size, so each has a bounded
-number of cells whatever its area.  A cell keeps only the edges a ray from it can
-meet, and cells wholly inside keep none.  Points look their cell up once per cell
-size; the rows of the points are never multiplied or shuffled while the index is
-small enough to broadcast.
+Polygons are cut into grid cells whose size follows their own size, so the number
+of cells is bounded whatever the areas are.  A cell keeps only the edges a ray
+from it can meet, and cells wholly inside keep none.  Points look their cell up
+once per cell size (mostly there is one); the rows of the points are never
+multiplied or shuffled while the index is small enough to broadcast.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Index bytes up to which it is broadcast.
 BROADCAST_BYTES = 64 << 20
 #: Polygons in one cell up to which a point scans them as one array.
@@ -78,7 +80,35 @@ def centroid(rings: Column) -> Column:
     return F.aggregate(edges_of(rings), zero, step, finish)
 
 
-def _cells(polygons: DataFrame, key: str, rings: str, within: Sequence[str], detail: int) -> tuple[DataFrame, list[int]]:
+def cell_levels(counts: dict[int, int], budget: int) -> dict[int, int]:
+    """Cell size (as a power of two) for each size class of polygons.
+
+    ``counts`` maps size class l, meaning an extent up to 2**l, to its number of
+    polygons.  A polygon of class l cut at level g has up to 4**(l-g) cells.
+    Neighbouring classes share the level of the smallest while their cells stay
+    within ``budget``; one level means one lookup per point.  If that needs too
+    many levels, cells get coarser, and at last only the biggest classes keep
+    levels of their own.
+    """
+    classes = sorted(counts)
+    for detail in (4, 3, 2):
+        levels: dict[int, int] = {}
+        base, cells = None, 0
+        for c in classes:
+            if base is not None and cells + counts[c] * 4 ** (c - base + detail) <= budget:
+                cells += counts[c] * 4 ** (c - base + detail)
+            else:
+                base, cells = c, counts[c] * 4**detail
+            levels[c] = base - detail
+        if len(set(levels.values())) <= 3 and max(counts.values()) * 4**detail <= budget:
+            return levels
+    floor = classes[-1] - MAX_LEVELS + 1
+    return {c: max(c, floor) - 2 for c in classes}
+
+
+def _cells(
+    polygons: DataFrame, key: str, rings: str, within: Sequence[str], budget: int
+) -> tuple[DataFrame | None, list[int]]:
     """One row per polygon and cell: (within, level, ix, iy, key, inside, edges)."""
     shapes = polygons.select(*within, F.col(key).alias("__key"), edges_of(F.col(rings)).alias("e"))
     shapes = shapes.filter(F.size("e") > 0)
@@ -87,15 +117,16 @@ def _cells(polygons: DataFrame, key: str, rings: str, within: Sequence[str], det
         {"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)}
     )
     extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-12))
-    shapes = shapes.withColumn("__level", (F.ceil(F.log2(extent)) - detail).cast("int"))
-    found = shapes.agg(F.collect_set("__level").alias("l")).first()["l"]
-    if not found:
-        return shapes.select(*within, "__level", F.lit(0).cast("long").alias("__ix"), F.lit(0).cast("long").alias("__iy"),
-                             "__key", F.lit(False).alias("inside"), F.col("e").alias("edges")), []
-    floor_level = max(found) - MAX_LEVELS + 1
-    levels = sorted({max(lv, floor_level) for lv in found})
-    shapes = shapes.withColumn("__level", F.greatest("__level", F.lit(floor_level)))
-    shapes = shapes.withColumn("c", F.pow(F.lit(2.0), F.col("__level")))
+    shapes = shapes.withColumn("class", F.ceil(F.log2(extent)).cast("int"))
+    # One row per power of two: a few dozen at most.
+    counts = {r["class"]: r["count"] for r in shapes.groupBy("class").count().collect()}
+    if not counts:
+        return None, []
+    chosen = cell_levels(counts, budget)
+    level = F.lit(None).cast("int")
+    for c, lv in chosen.items():
+        level = F.when(F.col("class") == c, F.lit(lv)).otherwise(level)
+    shapes = shapes.withColumn("__level", level).withColumn("c", F.pow(F.lit(2.0), F.col("__level")))
 
     def cell(v: str) -> Column:
         return F.floor(F.col(v) / F.col("c"))
@@ -110,7 +141,9 @@ def _cells(polygons: DataFrame, key: str, rings: str, within: Sequence[str], det
     middle = contains(F.col("e"), (left + right) / 2, (low + high) / 2)
     cells = cells.withColumn("inside", ~F.col("touched") & middle).filter("touched or inside")
     edges = F.when(F.col("inside"), F.slice("e", 1, 0)).otherwise(F.col("e"))
-    return cells.select(*within, "__level", "__ix", "__iy", "__key", "inside", edges.alias("edges")), levels
+    cells = cells.select(*within, "__level", "__ix", "__iy", "__key", "inside", edges.alias("edges"))
+    # Read several times below (sizes, one lookup per level), so it is built once.
+    return cut_lineage(cells), sorted(set(chosen.values()))
 
 
 def _at_level(points: DataFrame, x: Column, y: Column, level: int) -> DataFrame:
@@ -129,7 +162,6 @@ def assign_polygon(
     rings: str = "rings",
     within: Sequence[str] = (),
     point_key: Sequence[str] = (),
-    detail: int = 2,
     broadcast_bytes: int = BROADCAST_BYTES,
     scan_limit: int = SCAN_LIMIT,
     salt: int = 16,
@@ -140,7 +172,7 @@ def assign_polygon(
     sides.  If more than ``scan_limit`` polygons share one cell, candidates are
     joined as rows and reduced by ``point_key``, the points' unique key.
     """
-    cells, levels = _cells(polygons, key, rings, within, detail)
+    cells, levels = _cells(polygons, key, rings, within, broadcast_bytes // 1000)
     if not levels:
         return points.withColumn(name, F.lit(None).cast(polygons.schema[key].dataType))
     at = [*within, "__level", "__ix", "__iy"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..models import classify, predict, regress, report
 from ..models.design import Poly, Spec, crossing, with_poly
 from ..operators import joins
+from ..sources.local import small_frame
 from .registry import Tables, query, rounded
 
 Z95 = "1.959963984540054"
@@ -353,7 +354,7 @@ def _orders_per_nation(t: Tables) -> DataFrame:
 )
 def jenks_breaks(t: Tables) -> DataFrame:
     breaks = classify.jenks_breaks(_orders_per_nation(t), "x", CLASSES)
-    return t.spark.createDataFrame(list(enumerate(breaks)), "position int, break double")
+    return small_frame(t.spark, list(enumerate(breaks)), "position int, break double")
 
 
 @query(

@@ -9,6 +9,7 @@ from ..functions import numeric, text
 from ..functions.nulls import if_else_na, not_in, overlay, paste, strict, to_int
 from ..functions.weights import weighted_mean_of_sums, weighted_sums
 from ..operators import aggregate, groups, joins, recode, reshape
+from ..sources.local import small_frame
 from ..sources.tables import dimension
 from .registry import Tables, query, rounded
 
@@ -116,7 +117,7 @@ CORRECTIONS = [
     """,
 )
 def correction_overlay(t: Tables) -> DataFrame:
-    fixes = t.spark.createDataFrame(CORRECTIONS, "p_name string, p_brand string, name2 string, key2 string")
+    fixes = small_frame(t.spark, CORRECTIONS, "p_name string, p_brand string, name2 string, key2 string")
     parts = t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     joined = joins.left_join(parts, fixes, ["p_name", "p_brand"], expect="one")
     joined = joined.withColumn("p_name", overlay(F.col("name2"), F.col("p_name")))
