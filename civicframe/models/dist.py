@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import erfc, exp, inf, lgamma, log, log1p, sqrt
+from math import erfc, exp, inf, lgamma, log, log1p, nan, sqrt
 from statistics import NormalDist
 
 
@@ -44,7 +44,9 @@ def t_two_sided(t: float, df: float) -> float:
 
 
 def critical(level: float, df: float = inf) -> float:
-    """Two-sided critical value: Student's t, or normal for infinite ``df``."""
+    """Two-sided critical value: Student's t, or normal for infinite ``df``; NaN without freedom."""
+    if df <= 0:
+        return nan
     z = NormalDist().inv_cdf(0.5 + level / 2)
     if df == inf or df > 1e7:
         return z
