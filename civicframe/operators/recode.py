@@ -1,8 +1,10 @@
 """Ordered recode rules as data.
 
 Rules run in order and each sees what the earlier ones made.  Neighbouring exact
-rules are composed into one lookup before Spark sees them; pattern rules become
-one projected step each.
+rules are composed into one lookup.  All steps of a recode form one expression in
+which every step names its input once, as the variable of a one-element
+``transform``.  Chained conditional columns would name it several times, and a
+filter above them, once pushed down, would grow as a power of the rule count.
 """
 
 from __future__ import annotations
@@ -12,10 +14,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import groupby
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @dataclass(frozen=True)
 class Exact:
     """``column == old`` becomes ``new``."""
@@ -23,11 +30,11 @@ class Exact:
     old: str
     new: str
 
-    def applies(self, key: Column) -> Column:
-        return key == self.old
+    def condition(self, column: str) -> str:
+        return f"{column} = {quoted(self.old)}"
 
-    def value(self, key: Column) -> Column:
-        return F.lit(self.new)
+    def value(self, column: str) -> str:
+        return quoted(self.new)
 
 
 @dataclass(frozen=True)
@@ -38,11 +45,11 @@ class Swap:
     pattern: str
     new: str = ""
 
-    def applies(self, key: Column) -> Column:
-        return F.expr(self.when)
+    def condition(self, column: str) -> str:
+        return self.when
 
-    def value(self, key: Column) -> Column:
-        return F.regexp_replace(key, self.pattern, self.new)
+    def value(self, column: str) -> str:
+        return f"regexp_replace({column}, {quoted(self.pattern)}, {quoted(self.new)})"
 
 
 @dataclass(frozen=True)
@@ -57,11 +64,11 @@ class Assign:
     new: str
     strict: bool = False
 
-    def applies(self, key: Column) -> Column:
-        return F.expr(self.when)
+    def condition(self, column: str) -> str:
+        return self.when
 
-    def value(self, key: Column) -> Column:
-        return F.lit(self.new)
+    def value(self, column: str) -> str:
+        return quoted(self.new)
 
 
 @dataclass(frozen=True)
@@ -71,11 +78,11 @@ class Compute:
     when: str
     new: str
 
-    def applies(self, key: Column) -> Column:
-        return F.expr(self.when)
+    def condition(self, column: str) -> str:
+        return self.when
 
-    def value(self, key: Column) -> Column:
-        return F.expr(self.new)
+    def value(self, column: str) -> str:
+        return self.new
 
 
 Rule = Exact | Swap | Assign | Compute
@@ -94,27 +101,37 @@ def compose_exact(rules: Sequence[Exact]) -> dict[str, str]:
     return table
 
 
-def _apply_one(df: DataFrame, column: str, rule: Rule) -> DataFrame:
-    key, cond = F.col(column), rule.applies(F.col(column))
-    if isinstance(rule, Assign) and rule.strict:
-        new = F.when(cond.isNull(), F.lit(None)).when(cond, rule.value(key)).otherwise(key)
-    else:
-        new = F.when(cond, rule.value(key)).otherwise(key)
-    return df.withColumn(column, new)
+def _step(column: str, rule: Rule) -> str:
+    """SQL for what one rule makes of ``column``."""
+    cond = rule.condition(column)
+    unknown = f"WHEN ({cond}) IS NULL THEN NULL " if isinstance(rule, Assign) and rule.strict else ""
+    return f"CASE {unknown}WHEN {cond} THEN {rule.value(column)} ELSE {column} END"
 
 
-def recode(df: DataFrame, column: str, rules: Sequence[Rule]) -> DataFrame:
-    """Run ``rules`` in order on ``column``."""
+def _lookup(column: str, table: dict[str, str]) -> str:
+    cases = " ".join(f"WHEN {quoted(old)} THEN {quoted(new)}" for old, new in table.items())
+    return f"CASE {column} {cases} ELSE {column} END"
+
+
+def _steps(column: str, rules: Sequence[Rule]) -> list[str]:
+    steps = []
     for exact, run in groupby(rules, key=lambda r: isinstance(r, Exact)):
         run = list(run)
         if exact:
             table = compose_exact(run)
-            if table:
-                df = df.replace(table, subset=[column])
+            steps += [_lookup(column, table)] if table else []
         else:
-            for rule in run:
-                df = _apply_one(df, column, rule)
-    return df
+            steps += [_step(column, r) for r in run]
+    return steps
+
+
+def recode(df: DataFrame, column: str, rules: Sequence[Rule]) -> DataFrame:
+    """Run ``rules`` in order on ``column``, a text column with a plain name."""
+    expr = column
+    for step in _steps(column, rules):
+        # The variable shadows the column, so the step reads the previous result.
+        expr = f"transform(array({expr}), {column} -> {step})[0]"
+    return df.withColumn(column, F.expr(expr))
 
 
 def rule_hits(df: DataFrame, column: str, rules: Sequence[Rule]) -> DataFrame:
@@ -122,11 +139,13 @@ def rule_hits(df: DataFrame, column: str, rules: Sequence[Rule]) -> DataFrame:
 
     One pass, one row of sums; a rule with 0 hits is dead and shows up here.
     """
+    names = df.columns
     flags = []
     for i, rule in enumerate(rules):
         flag = f"__hit_{i}"
-        df = df.withColumn(flag, F.coalesce(rule.applies(F.col(column)), F.lit(False)).cast("long"))
-        df = _apply_one(df, column, rule)
+        hit = F.expr(f"CASE WHEN {rule.condition(column)} THEN 1L ELSE 0L END")
+        df = df.select(*names, *flags, hit.alias(flag))
+        df = df.withColumn(column, F.expr(_step(column, rule)))
         flags.append(flag)
     sums = df.agg(*[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in flags])
     long = sums.unpivot([], flags, "__flag", "hits")

@@ -155,7 +155,7 @@ def test_composed_rules_equal_rules_one_by_one(frame):
     rules = [recode.Exact("a", "b"), recode.Exact("b", "TX SB1"), recode.Swap("bill_merge like 'TX%'", "S", "H"), recode.Exact("TX HB1", "z")]
     slow = df
     for rule in rules:
-        slow = recode._apply_one(slow, "bill_merge", rule)
+        slow = recode.recode(slow, "bill_merge", [rule])
     assert rows(recode.recode(df, "bill_merge", rules)) == rows(slow)
 
 
@@ -182,6 +182,19 @@ def test_years_are_unknown_without_a_date_in_one_state(frame):
     ]
 
 
+def test_filters_above_many_rules_stay_small(frame):
+    df = frame("state string, bill_merge string, year string, date_added date", ("Texas", "TX HB304", "2021", None))
+    got = recode.recode(recode.recode(df, "bill_merge", V.KEY_RULES_2021), "year", V.YEAR_RULES_2021)
+    got = joins.left_join(got.filter(V.NOT_BILLS), df.select("bill_merge", F.lit(1).alias("n")), ["bill_merge"], null_safe=False)
+    assert len(got.filter("year <> ''")._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
+def test_literals_are_escaped(frame):
+    df = frame("k string", ("a'b",), ("c\\d",), ("e5",))
+    rules = [recode.Exact("a'b", "it's"), recode.Exact("c\\d", "\\"), recode.Swap("k like 'e%'", "\\d", "'")]
+    assert rows(recode.recode(df, "k", rules)) == [("\\",), ("e'",), ("it's",)]
+
+
 def test_unsafe_literals_are_refused():
     with pytest.raises(ValueError):
         recode.in_list("x", ["a'b"])
