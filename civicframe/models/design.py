@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from math import sqrt
+from math import isfinite, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,6 +173,13 @@ class SliceTable:
             return F.get(F.col(name), F.lit(i))
         return F.lit(float(self.arrays[name][()][i]))
 
+    def sql(self, name: str, i: int) -> str:
+        """``get`` as SQL text, for sums with many terms."""
+        if self.slices:
+            return f"{name}[{i}]"
+        value = float(self.arrays[name][()][i])
+        return f"{value!r}D" if isfinite(value) else f"double('{value}')"
+
     def drop(self, df: DataFrame) -> DataFrame:
         return df.drop(*self.arrays) if self.slices else df
 

@@ -108,9 +108,10 @@ def predict(fit: Fit, grid: DataFrame, hold: str = AT_PROPORTIONS, level: float
 
     out = table.df.withColumns({f"__d{i}": c for i, c in enumerate(d)})
     eta = sum((F.col(f"__d{i}") * table.get("__beta", i) for i in range(1, k)), F.col("__d0") * table.get("__beta", 0))
-    var = F.lit(0.0)
-    for pos, (i, j) in enumerate(upper):
-        var = var + F.col(f"__d{i}") * F.col(f"__d{j}") * table.get("__cov", pos) * (1.0 if i == j else 2.0)
+    products = (
+        f"{1 if i == j else 2} * __d{i} * __d{j} * {table.sql('__cov', pos)}" for pos, (i, j) in enumerate(upper)
+    )
+    var = F.expr(" + ".join(products))
     margin = table.get("__crit", 0) * F.sqrt(F.greatest(var, F.lit(0.0)))
     out = out.withColumn("__eta", eta).withColumn("__margin", margin)
     link = (lambda c: 1 / (1 + F.exp(-c))) if fit.estimator == "logit" else (lambda c: c)

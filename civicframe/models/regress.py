@@ -80,6 +80,11 @@ def _pairs(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
+def _cross_sums(prefix: str, k: int, weight: str = "", z: str = "z") -> list[Column]:
+    """Sums of weight * z_i * z_j, written as SQL text: a hundred Column objects would cost more than the job."""
+    return [F.expr(f"sum({weight}{z}{i} * {z}{j}) AS {prefix}{i}_{j}") for i, j in _pairs(k)]
+
+
 def _square(row, prefix: str, k: int) -> np.ndarray:
     out = np.zeros((k, k))
     for i, j in _pairs(k):
@@ -133,8 +138,7 @@ def _moments(design: Design) -> dict[tuple, _Moments]:
     table = SliceTable(design.rows, design.slices, {"__shift": shifts})
     z = _shifted(design, table)
     data = table.df.select(*design.slices, *[c.alias(f"z{i}") for i, c in enumerate(z)])
-    sums = [F.sum(f"z{i}").alias(f"s{i}") for i in range(k + 1)]
-    sums += [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}_{j}") for i, j in _pairs(k + 1)]
+    sums = [F.expr(f"sum(z{i}) AS s{i}") for i in range(k + 1)] + _cross_sums("p", k + 1)
     out = {}
     for key, r in _collect(data.groupBy(*design.slices).agg(*sums), design.slices).items():
         n, shift = first[key]["n"], np.array(shifts[key])
@@ -182,12 +186,11 @@ def _residual_sums(design: Design, centred: dict[tuple, list[float]], slopes: di
     table = SliceTable(design.rows, design.slices, {"__shift": centred, "__b": slopes})
     z = _shifted(design, table)
     fitted = sum((table.get("__b", i) * z[i] for i in range(k)), F.lit(0.0))
-    data = table.df.select(*design.slices, (z[k] - fitted).alias("e"), *[c.alias(f"z{i + 1}") for i, c in enumerate(z[:k])])
-    e2 = F.col("e") * F.col("e")
-    sums = [F.sum(e2).alias("rss")]
+    one = [F.lit(1.0), *z[:k]]
+    data = table.df.select(*design.slices, (z[k] - fitted).alias("e"), *[c.alias(f"z{i}") for i, c in enumerate(one)])
+    sums = [F.expr("sum(e * e) AS rss")]
     if meat:
-        one = [F.lit(1.0), *[F.col(f"z{i + 1}") for i in range(k)]]
-        sums += [F.sum(e2 * one[i] * one[j]).alias(f"m{i}_{j}") for i, j in _pairs(k + 1)]
+        sums += _cross_sums("m", k + 1, "e * e * ")
     return _collect(data.groupBy(*design.slices).agg(*sums), design.slices)
 
 
@@ -257,13 +260,10 @@ def ols_fixed(df: DataFrame, spec: Spec, group: str, slices: Sequence[str] = ())
     table = SliceTable(design.rows, design.slices, {"__shift": shifts})
     z = _shifted(design, table)
     data = table.df.select(*design.slices, group, *[c.alias(f"z{i}") for i, c in enumerate(z)])
-    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(f"z{i}").alias(f"s{i}") for i in range(k + 1)]]
-    sums += [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}_{j}") for i, j in _pairs(k + 1)]
+    sums = [F.count(F.lit(1)).alias("n"), *[F.expr(f"sum(z{i}) AS s{i}") for i in range(k + 1)]]
+    sums += _cross_sums("p", k + 1)
     by_group = data.groupBy(*design.slices, group).agg(*sums)
-    within = [
-        F.sum(F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")).alias(f"w{i}_{j}")
-        for i, j in _pairs(k + 1)
-    ]
+    within = [F.expr(f"sum(p{i}_{j} - s{i} * s{j} / n) AS w{i}_{j}") for i, j in _pairs(k + 1)]
     totals = [F.sum(c).alias(c) for c in ["n", *[f"s{i}" for i in range(k + 1)], f"p{k}_{k}"]]
     rows = _collect(
         by_group.groupBy(*design.slices).agg(F.count(F.lit(1)).alias("groups"), *totals, *within), design.slices
@@ -298,9 +298,28 @@ def ols_fixed(df: DataFrame, spec: Spec, group: str, slices: Sequence[str] = ())
     return FixedFit(Fit(spec, design.slices, "ols", models, design), groups)
 
 
-def _iterate_rows(design: Design) -> DataFrame:
-    """Only the columns an iteration reads, kept for the passes of one fit."""
-    return design.rows.select(*design.slices, "__y", *design.x).persist(StorageLevel.MEMORY_AND_DISK)
+_ALL = "__all"
+
+
+def _iterable(design: Design) -> Design:
+    """The design on kept rows, for the passes of one iterative fit.
+
+    Without slices a constant key stands in for one.  The coefficients of a step
+    then always arrive as a joined row, so the generated code stays the same from
+    step to step and is compiled once.
+    """
+    key = design.slices or [_ALL]
+    rows = design.rows if design.slices else design.rows.withColumn(_ALL, F.lit(0))
+    numeric = [c for c in rows.columns if c.startswith("__v_") and rows.schema[c].dataType.typeName() == "double"]
+    kept = rows.select(*key, "__y", *design.x, *numeric).persist(StorageLevel.MEMORY_AND_DISK)
+    return Design(design.spec, list(key), design.names, kept, design.poly, design.booleans)
+
+
+def _finish(models: dict[tuple, SliceFit], design: Design, estimator: str) -> Fit:
+    """Models under their own slice keys again."""
+    if not design.slices:
+        models = {(): m for m in models.values()}
+    return Fit(design.spec, design.slices, estimator, models, design)
 
 
 def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int = 30, tol: float = 1e-9) -> Fit:
@@ -310,9 +329,9 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
     step, not on the deviance: under separation the deviance settles while the
     estimates run off, which raises SeparationError here.
     """
-    design = build(df, spec, slices)
+    source = build(df, spec, slices)
+    design = _iterable(source)
     k = len(design.names)
-    kept_rows = _iterate_rows(design)
     try:
         moments = _moments(design)
         for key, m in moments.items():
@@ -330,7 +349,7 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
         done: set[tuple] = set()
         info, deviance = {}, {}
         for _ in range(max_steps):
-            rows = _logit_sums(design, kept_rows, centre, scale, b)
+            rows = _logit_sums(design, centre, scale, b)
             for key, r in rows.items():
                 if key in done:
                     continue
@@ -359,7 +378,7 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
         else:
             raise SeparationError(f"no finite estimate in slices {sorted(set(moments) - done, key=str)[:3]}")
     finally:
-        kept_rows.unpersist()
+        design.rows.unpersist()
     models = {}
     for key, m in moments.items():
         unscale = np.diag([1.0, *(1 / scale[key])])
@@ -373,12 +392,12 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
         }
         fit = SliceFit(["(Intercept)", *design.names], beta, cov, m.n, inf, m.mean, m.var_means, stats, [])
         models[key] = _nan_dropped(fit, kept[key])
-    return Fit(spec, design.slices, "logit", models, design)
+    return _finish(models, source, "logit")
 
 
-def _logit_sums(design: Design, rows: DataFrame, centre, scale, b):
+def _logit_sums(design: Design, centre, scale, b):
     k = len(design.names)
-    table = SliceTable(rows, design.slices, {"__c": centre, "__k": scale, "__b": b})
+    table = SliceTable(design.rows, design.slices, {"__c": centre, "__k": scale, "__b": b})
     z = [F.lit(1.0)] + [(F.col(c) - table.get("__c", i)) / table.get("__k", i) for i, c in enumerate(design.x)]
     data = table.df.select(
         *design.slices, "__y", *[c.alias(f"z{i}") for i, c in enumerate(z)],
@@ -389,8 +408,8 @@ def _logit_sums(design: Design, rows: DataFrame, centre, scale, b):
     data = data.withColumn("p", p).withColumn("w", F.col("p") * (1 - F.col("p")))
     eta, y = F.col("eta"), F.col("__y")
     dev = 2 * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))) - y * eta)
-    sums = [F.sum(dev).alias("dev"), *[F.sum(F.col(f"z{i}") * (y - F.col("p"))).alias(f"g{i}") for i in range(k + 1)]]
-    sums += [F.sum(F.col("w") * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"h{i}_{j}") for i, j in _pairs(k + 1)]
+    sums = [F.sum(dev).alias("dev"), *[F.expr(f"sum(z{i} * (__y - p)) AS g{i}") for i in range(k + 1)]]
+    sums += _cross_sums("h", k + 1, "w * ")
     return _collect(data.groupBy(*design.slices).agg(*sums), design.slices)
 
 
@@ -463,11 +482,11 @@ def huber(
     ``tol`` relative to their size.  Standard errors follow Huber (1981) with the
     finite-sample correction.
     """
-    design = build(df, spec, slices)
+    source = build(df, spec, slices)
+    design = _iterable(source)
     q = len(design.names)
-    moments = _moments(design)
-    kept_rows = _iterate_rows(design)
     try:
+        moments = _moments(design)
         centre = {key: [*m.mean, m.ymean] for key, m in moments.items()}
         counts = {key: m.n for key, m in moments.items()}
         b, kept = {}, {}
@@ -477,12 +496,12 @@ def huber(
         active, scale, steps = set(moments), {}, 0
         while active and steps < max_steps:
             steps += 1
-            data = _huber_rows(design, kept_rows, centre, b)
+            data = _huber_rows(design, centre, b)
             meds = medians(data, design.slices, F.abs(F.col("e")), counts, direct)
             for key in active:
                 scale[key] = meds[key] / MAD_TO_SD
             active = {key for key in active if scale[key] > 0}
-            rows = _huber_sums(design, kept_rows, centre, b, scale, k)
+            rows = _huber_sums(design, centre, b, scale, k)
             for key in list(active):
                 r, m = rows[key], moments[key]
                 gram = _square(r, "h", q + 1)
@@ -496,9 +515,9 @@ def huber(
                 b[key] = new
                 if sqrt(max(moved, 0.0) / max(old, 1e-20)) <= tol:
                     active.discard(key)
-        ends = _huber_sums(design, kept_rows, centre, b, scale, k)
+        ends = _huber_sums(design, centre, b, scale, k)
     finally:
-        kept_rows.unpersist()
+        design.rows.unpersist()
     models = {}
     for key, m in moments.items():
         r, params = ends[key], len(kept[key]) + 1
@@ -515,12 +534,12 @@ def huber(
                  "converged": float(key not in active)}
         fit = SliceFit(["(Intercept)", *design.names], beta, cov, m.n, inf, m.mean, m.var_means, stats, [])
         models[key] = _nan_dropped(fit, kept[key])
-    return Fit(spec, design.slices, "huber", models, design)
+    return _finish(models, source, "huber")
 
 
-def _huber_rows(design: Design, rows: DataFrame, centre, b, extra=None) -> DataFrame:
+def _huber_rows(design: Design, centre, b, extra=None) -> DataFrame:
     q = len(design.names)
-    table = SliceTable(rows, design.slices, {"__c": centre, "__b": b, **(extra or {})})
+    table = SliceTable(design.rows, design.slices, {"__c": centre, "__b": b, **(extra or {})})
     z = [F.lit(1.0)] + [F.col(c) - table.get("__c", i) for i, c in enumerate(design.x)]
     y = F.col("__y") - table.get("__c", q)
     fitted = sum((table.get("__b", i) * z[i] for i in range(q + 1)), F.lit(0.0))
@@ -529,15 +548,14 @@ def _huber_rows(design: Design, rows: DataFrame, centre, b, extra=None) -> DataF
                            *[c.alias(f"z{i}") for i, c in enumerate(z)])
 
 
-def _huber_sums(design: Design, rows: DataFrame, centre, b, scale, k: float):
+def _huber_sums(design: Design, centre, b, scale, k: float):
     q = len(design.names)
-    data = _huber_rows(design, rows, centre, b, {"__scale": {key: [s] for key, s in scale.items()}})
+    data = _huber_rows(design, centre, b, {"__scale": {key: [s] for key, s in scale.items()}})
     size, bound = F.abs(F.col("e")), F.col("__scale") * k
     data = data.withColumn("w", F.when(size <= bound, F.lit(1.0)).otherwise(bound / size))
     e, w = F.col("e"), F.col("w")
     sums = [F.sum(e * e).alias("rss"), F.sum(w * w * e * e).alias("we2"), F.count_if(size <= bound).alias("core")]
-    sums += [F.sum(w * F.col(f"z{i}") * F.col("y")).alias(f"g{i}") for i in range(q + 1)]
-    sums += [F.sum(w * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"h{i}_{j}") for i, j in _pairs(q + 1)]
+    sums += [F.expr(f"sum(w * z{i} * y) AS g{i}") for i in range(q + 1)] + _cross_sums("h", q + 1, "w * ")
     return _collect(data.groupBy(*design.slices).agg(*sums), design.slices)
 
 

@@ -360,7 +360,7 @@ def fake_panel(make):
         data.append((
             "HD" if i % 2 else "SD", white, float(rng.choice([45.0, 60.0, 75.0, 88.0])), rep, rng.uniform(3, 12), rng.uniform(30, 50),
             rng.uniform(9, 12), rng.uniform(30, 80), bool(rng.random() < 0.5), bool(rng.random() < 0.5),
-            None if i % 30 == 0 else rng.uniform(1, 5), 100 * int(hit), hit,
+            None if i % 31 == 0 else rng.uniform(1, 5), 100 * int(hit), hit,
         ))
     return make(
         "chamber string, nh_white double, state_nh_white double, share_rep double, median_income double, median_age double,"
