@@ -398,10 +398,10 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
 def _logit_sums(design: Design, centre, scale, b):
     k = len(design.names)
     table = SliceTable(design.rows, design.slices, {"__c": centre, "__k": scale, "__b": b})
-    z = [F.lit(1.0)] + [(F.col(c) - table.get("__c", i)) / table.get("__k", i) for i, c in enumerate(design.x)]
-    data = table.df.select(
-        *design.slices, "__y", *[c.alias(f"z{i}") for i, c in enumerate(z)],
-        sum((table.get("__b", i) * z[i] for i in range(k + 1)), F.lit(0.0)).alias("eta"),
+    z = ["1D"] + [f"(({c} - {table.sql('__c', i)}) / {table.sql('__k', i)})" for i, c in enumerate(design.x)]
+    linear = " + ".join(f"{table.sql('__b', i)} * {z[i]}" for i in range(k + 1))
+    data = table.df.selectExpr(
+        *[f"`{s}`" for s in design.slices], "__y", *[f"{c} AS z{i}" for i, c in enumerate(z)], f"{linear} AS eta"
     )
     # Both tails without overflow: p = 1 / (1 + exp(-eta)).
     p = 1 / (1 + F.exp(-F.col("eta")))
@@ -540,12 +540,13 @@ def huber(
 def _huber_rows(design: Design, centre, b, extra=None) -> DataFrame:
     q = len(design.names)
     table = SliceTable(design.rows, design.slices, {"__c": centre, "__b": b, **(extra or {})})
-    z = [F.lit(1.0)] + [F.col(c) - table.get("__c", i) for i, c in enumerate(design.x)]
-    y = F.col("__y") - table.get("__c", q)
-    fitted = sum((table.get("__b", i) * z[i] for i in range(q + 1)), F.lit(0.0))
-    more = [table.get(n, 0).alias(n) for n in (extra or {})]
-    return table.df.select(*design.slices, y.alias("y"), (y - fitted).alias("e"), *more,
-                           *[c.alias(f"z{i}") for i, c in enumerate(z)])
+    z = ["1D"] + [f"({c} - {table.sql('__c', i)})" for i, c in enumerate(design.x)]
+    y = f"(__y - {table.sql('__c', q)})"
+    fitted = " + ".join(f"{table.sql('__b', i)} * {z[i]}" for i in range(q + 1))
+    more = [f"{table.sql(n, 0)} AS {n}" for n in (extra or {})]
+    return table.df.selectExpr(
+        *[f"`{s}`" for s in design.slices], f"{y} AS y", f"{y} - ({fitted}) AS e", *more, *[f"{c} AS z{i}" for i, c in enumerate(z)]
+    )
 
 
 def _huber_sums(design: Design, centre, b, scale, k: float):
