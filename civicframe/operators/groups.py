@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .joins import left_join
 
 _RN = "__rn"
@@ -36,8 +37,17 @@ def with_group_values(
     return left_join(df, totals, list(keys), null_safe=null_safe)
 
 
-def with_share(df: DataFrame, keys: Sequence[str], value: str, name: str = "share", **kw) -> DataFrame:
-    """Each row's share of its group's total; null where the total is 0."""
+def with_share(
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "share", *, small_groups: bool = False, **kw
+) -> DataFrame:
+    """Each row's share of its group's total; null where the total is 0.
+
+    ``small_groups`` is for rows that are aggregates themselves, a bounded number
+    per group (the parties of a state): a window then avoids computing them twice.
+    """
+    if small_groups:
+        total = F.sum(value).over(Window.partitionBy(*keys))
+        return df.withColumn(name, F.try_divide(F.col(value), total))
     out = with_group_values(df, keys, {"__total": F.sum(value)}, **kw)
     return out.withColumn(name, F.try_divide(F.col(value), F.col("__total"))).drop("__total")
 
@@ -63,25 +73,23 @@ def relabel_mixed(df: DataFrame, keys: Sequence[str], label: str, mixed: str, su
     return df.groupBy(*keys).agg(one.alias(label), *[F.sum(c).alias(c) for c in sums])
 
 
-def with_row_number(df: DataFrame, order: str, name: str = "row_id", buckets: int | None = None) -> DataFrame:
-    """1, 2, 3, ... by a unique numeric column, without a one-task sort.
+def with_row_number(df: DataFrame, *order: str | Column, name: str = "row_id") -> DataFrame:
+    """1, 2, 3, ... in a total order, without a one-task sort.
 
-    Rows are cut into value ranges at approximate quantiles; each range is
-    numbered in its own task, after the rows counted in the ranges below.
+    A global sort range-partitions the rows; the sorted rows are checkpointed, so
+    their place is fixed.  A row's number is its position in its partition plus
+    the rows of the partitions before, of which there are as many as partitions.
     """
-    spark = df.sparkSession
-    buckets = buckets or max(2, min(256, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(order, probs, 10 * buckets).alias("q")).first()["q"] or []
-    bucket = range_index(F.col(order), sorted(set(cuts)))
-    marked = df.withColumn("__bucket", bucket)
-    counts = marked.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    # At most `buckets` rows, so the un-partitioned running sum is small.
-    below = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__bucket", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__offset"))
-    rank = F.row_number().over(Window.partitionBy("__bucket").orderBy(order))
-    out = left_join(marked.withColumn("__rank", rank), offsets, ["__bucket"], null_safe=False)
-    return out.withColumn(name, F.col("__rank") + F.col("__offset")).drop("__bucket", "__rank", "__offset")
+    fixed = cut_lineage(df.orderBy(*order))
+    # The id holds the partition in its upper bits and the position in the lower 33.
+    placed = fixed.withColumn("__id", F.monotonically_increasing_id())
+    placed = placed.withColumn("__part", F.shiftright("__id", 33))
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    below = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__offset"))
+    position = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    out = left_join(placed, offsets, ["__part"], null_safe=False)
+    return out.withColumn(name, F.col("__offset") + position + 1).drop("__id", "__part", "__offset")
 
 
 def range_index(x: Column, cuts: Sequence) -> Column:

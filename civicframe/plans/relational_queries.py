@@ -40,7 +40,7 @@ def state_panel(t: Tables) -> DataFrame:
     )
     by_nation = by_customer.groupBy("c_nationkey").agg(*aggregate.sum_each(["intro", "passed"]))
     panel = joins.fill_from_dimension(t.nation, by_nation, [("n_nationkey", "c_nationkey")], ["intro", "passed"])
-    shares = groups.with_share(panel, ["n_regionkey"], "intro")
+    shares = groups.with_share(panel, ["n_regionkey"], "intro", small_groups=True)
     return shares.select("n_name", "n_regionkey", "intro", "passed", rounded("share").alias("share"))
 
 
@@ -463,7 +463,7 @@ def group_share_wide(t: Tables) -> DataFrame:
     joined = joins.left_join(by_customer, t.customer.select("c_custkey", "c_mktsegment"), [("o_custkey", "c_custkey")], **PLAIN)
     votes = joined.groupBy("c_mktsegment", "o_orderstatus", "year").agg(F.sum("votes").alias("votes"))
     votes = votes.withColumn("votes", F.col("votes").cast("double"))
-    shares = groups.with_share(votes, ["c_mktsegment", "year"], "votes")
+    shares = groups.with_share(votes, ["c_mktsegment", "year"], "votes", small_groups=True)
     kept = shares.filter((F.col("o_orderstatus") == "F") & (F.col("year") > 1996))
     named = kept.select(text.title_case(F.col("c_mktsegment")).alias("state"), "year", rounded("share").alias("share"))
     return reshape.widen(named, ["state"], "year", YEARS, ["share"], name=lambda v, y: f"{v}_{y}")
@@ -505,7 +505,7 @@ def two_grain_stack(t: Tables) -> DataFrame:
 )
 def inverse_group_weight(t: Tables) -> DataFrame:
     weighted = groups.with_inverse_size(t.customer.select("c_custkey", "c_nationkey"), ["c_nationkey"])
-    return groups.with_row_number(weighted, "c_custkey", "id").select(
+    return groups.with_row_number(weighted, "c_custkey", name="id").select(
         "c_custkey", "c_nationkey", rounded("w", 9).alias("w"), "id"
     )
 
@@ -692,7 +692,7 @@ def category_rank(t: Tables) -> DataFrame:
     WITH y AS (SELECT o_custkey, sum(CASE WHEN year(o_orderdate) = 1996 THEN o_totalprice ELSE 0 END) AS old,
                       sum(CASE WHEN year(o_orderdate) = 2000 THEN o_totalprice ELSE 0 END) AS new,
                       count(*) FILTER (o_orderstatus = 'F') / count(*) AS share FROM orders GROUP BY 1)
-    SELECT o_custkey, round(new / nullif(old, 0) - 1, 6) AS change, round((new - old) / 10000, 4) AS change_abs,
+    SELECT o_custkey, round(new / nullif(old, 0) - 1, 6) AS change, round((new - old) / 10000, 6) AS change_abs,
            round(CASE WHEN new > 0 THEN ln(new) END, 6) AS log_new, round(share * 100, 6) AS share,
            format('{:,}', CAST(floor(new) AS BIGINT)) AS new_text
     FROM y
@@ -710,7 +710,7 @@ def scale_columns(t: Tables) -> DataFrame:
     new, old = F.col("new"), F.col("old")
     return scaled.select(
         "o_custkey", rounded(numeric.relative_change(new, old)).alias("change"),
-        rounded((new - old) / 10000, 4).alias("change_abs"), rounded(F.ln(new)).alias("log_new"),
+        rounded((new - old) / 10000, 6).alias("change_abs"), rounded(F.ln(new)).alias("log_new"),
         rounded("share").alias("share"), text.thousands(F.floor(new)).alias("new_text"),
     )
 

@@ -161,7 +161,7 @@ def democratic_shares(votes: DataFrame, years: Sequence[int] = (2016, 2020)) ->
         F.sum("candidatevotes").alias("candidatevotes")
     )
     two = by_party.filter(F.col("party_simplified").isin("DEMOCRAT", "REPUBLICAN"))
-    shares = groups.with_share(two, ["state", "year"], "candidatevotes")
+    shares = groups.with_share(two, ["state", "year"], "candidatevotes", small_groups=True)
     kept = shares.filter((F.col("party_simplified") == "DEMOCRAT") & F.col("year").isin(*years))
     return reshape.widen(kept, ["state"], "year", years, ["share"], name=lambda _, y: f"dem_share_{y}")
 

@@ -87,7 +87,7 @@ def test_results_do_not_depend_on_partitions_or_order(spark, parts):
     first = groups.first_per_group(df, ["k"], groups.nulls_last("id"))
     low = skewed(spark).groupBy("k").agg(F.min("id").alias("id"))
     assert rows(first) == rows(low)
-    numbered = groups.with_row_number(df, "id", buckets=5)
+    numbered = groups.with_row_number(df, "id")
     assert rows(numbered, "id", "row_id") == [(i, i + 1) for i in range(3000)]
 
 
