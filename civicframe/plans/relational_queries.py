@@ -683,7 +683,7 @@ def category_rank(t: Tables) -> DataFrame:
     top = counts.agg((F.max("intro") + 5).alias("upper_bound")).first()["upper_bound"]
     named = named.withColumn("intro2", F.when(F.col("grp") == "Other", F.lit(-999)).otherwise(F.col("intro")))
     ranked = aggregate.ranked_categories(named, "grp", "intro2", "Other")
-    return ranked.select("grp", "intro", "passed", "intro2", F.lit(top).alias("upper_bound"), "level")
+    return ranked.select("grp", "intro", "passed", "intro2", F.lit(top).cast("long").alias("upper_bound"), "level")
 
 
 @query(

@@ -402,7 +402,7 @@ def test_state_models(make):
         " median_income double, median_age double, population double, some_college double", *data,
     )
     for name, spec in study.state_specs().items():
-        for estimator in ("huber", "ols"):
+        for estimator in ("huber", "ols") if name.startswith("intro") else ("ols",):
             fit = regress.fit(panel, spec, estimator)
             labelled = report.label_terms(report.coefficients(fit), V.STATE_LABELS)
             assert labelled.count() == len(fit.models[()].names), name
