@@ -298,28 +298,12 @@ def ols_fixed(df: DataFrame, spec: Spec, group: str, slices: Sequence[str] = ())
     return FixedFit(Fit(spec, design.slices, "ols", models, design), groups)
 
 
-_ALL = "__all"
-
-
 def _iterable(design: Design) -> Design:
-    """The design on kept rows, for the passes of one iterative fit.
-
-    Without slices a constant key stands in for one.  The coefficients of a step
-    then always arrive as a joined row, so the generated code stays the same from
-    step to step and is compiled once.
-    """
-    key = design.slices or [_ALL]
-    rows = design.rows if design.slices else design.rows.withColumn(_ALL, F.lit(0))
+    """The design on kept rows, for the passes of one iterative fit."""
+    rows = design.rows
     numeric = [c for c in rows.columns if c.startswith("__v_") and rows.schema[c].dataType.typeName() == "double"]
-    kept = rows.select(*key, "__y", *design.x, *numeric).persist(StorageLevel.MEMORY_AND_DISK)
-    return Design(design.spec, list(key), design.names, kept, design.poly, design.booleans)
-
-
-def _finish(models: dict[tuple, SliceFit], design: Design, estimator: str) -> Fit:
-    """Models under their own slice keys again."""
-    if not design.slices:
-        models = {(): m for m in models.values()}
-    return Fit(design.spec, design.slices, estimator, models, design)
+    kept = rows.select(*design.slices, "__y", *design.x, *numeric).persist(StorageLevel.MEMORY_AND_DISK)
+    return Design(design.spec, design.slices, design.names, kept, design.poly, design.booleans)
 
 
 def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int = 30, tol: float = 1e-9) -> Fit:
@@ -392,7 +376,7 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
         }
         fit = SliceFit(["(Intercept)", *design.names], beta, cov, m.n, inf, m.mean, m.var_means, stats, [])
         models[key] = _nan_dropped(fit, kept[key])
-    return _finish(models, source, "logit")
+    return Fit(spec, source.slices, "logit", models, source)
 
 
 def _logit_sums(design: Design, centre, scale, b):
@@ -534,7 +518,7 @@ def huber(
                  "converged": float(key not in active)}
         fit = SliceFit(["(Intercept)", *design.names], beta, cov, m.n, inf, m.mean, m.var_means, stats, [])
         models[key] = _nan_dropped(fit, kept[key])
-    return _finish(models, source, "huber")
+    return Fit(spec, source.slices, "huber", models, source)
 
 
 def _huber_rows(design: Design, centre, b, extra=None) -> DataFrame:
