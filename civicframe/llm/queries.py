@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, ftrl_quality, html_blocks, line_crf, qgram_decontam, repair_ids, simhash_gray, warc_derive
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,8 +19,46 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_qgram_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qgram_decontam.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.apply(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_gray.apply(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode(docs, path, public_tokenizers.PATTERN, with_ids=False)
+
+
+@query
+def op6_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ftrl_quality.apply(docs, ftrl_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op7_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_ids.apply(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op9_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_derive.responses(table(spark, sf_dir, "pages"))
+    return warc_derive.apply(records).drop("metadata", "conversion")
+
+
+@query
+def op10_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.apply(table(spark, sf_dir, "pages"))

@@ -5,17 +5,41 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from civicframe.llm import byte_bpe
+from civicframe.llm import byte_bpe, ftrl_quality, line_crf, qgram_decontam, simhash_gray
 from civicframe.llm.common import table
 from civicframe.session import scratch_dir
 
 
+def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep: enough words, few repeats, mostly content lines."""
+    return line_crf.keep(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores at 0.5 or more."""
+    return ftrl_quality.keep(docs, ftrl_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    return simhash_gray.keep(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return qgram_decontam.keep(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as token ids, with digests of the ids and of their decoded bytes."""
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
+    ("quality rules", clean_lines),
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", one_of_each),
+    ("benchmark decontamination", uncontaminated),
     ("byte-level BPE", encoded),
 ]
 
