@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, ftrl_quality, html_blocks, line_crf, qgram_decontam, repair_ids, simhash_gray, warc_derive
+from . import byte_bpe, ftrl_quality, gru_toxicity, html_blocks, line_crf, qgram_decontam, repair_ids, simhash_gray, warc_derive
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.apply(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op3_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return gru_toxicity.apply(docs, gru_toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gray.apply(table(spark, sf_dir, "documents"))
