@@ -289,17 +289,19 @@ class Network:
         return g
 
 
-def _unlike(batch: Batch) -> np.ndarray:
-    """The first text of each group of near-copies: texts of which three of four smallest pair hashes are alike."""
+def _unlike(batch: Batch, size: int = 5) -> np.ndarray:
+    """The first text of each group of near-copies: texts of which three of four smallest shingle hashes are alike."""
     with np.errstate(over="ignore"):
         h = batch.hashes[batch.codes]
-        pair = np.append(h[:-1] * _BASE + h[1:], 0).astype(np.uint64) if len(h) else h
+        shingle = np.zeros(len(h), np.uint64)
+        for k in range(size if len(h) >= size else 0):
+            shingle[: len(h) - size + 1] = shingle[: len(h) - size + 1] * _BASE + h[k : len(h) - size + 1 + k]
         at, seen, out = np.cumsum(batch.counts) - batch.counts, [set() for _ in range(4)], []
         for i, (a, n) in enumerate(zip(at.tolist(), batch.counts.tolist())):
-            if n < 4:
+            if n < 2 * size:
                 out.append(i)
                 continue
-            low = [int((pair[a : a + n - 1] * np.uint64(k) * _MIX >> np.uint64(8)).min()) for k in (3, 5, 7, 11)]
+            low = [int((shingle[a : a + n - size + 1] * np.uint64(k) * _MIX >> np.uint64(8)).min()) for k in (3, 5, 7, 11)]
             if sum(x in s for x, s in zip(low, seen)) < 3:
                 out.append(i)
             for x, s in zip(low, seen):
