@@ -126,3 +126,17 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     total = int(sizes.sum())
     shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
     return shift + np.arange(total)
+
+
+def hash_words(words: pa.BinaryArray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: a polynomial, then a mixer, over the whole array at once."""
+    raw, ends = _bytes_and_ends(words)
+    sizes = np.diff(ends)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, np.uint64(0xD1342543DE82EF95)))
+        place = np.arange(len(raw)) - np.repeat(ends[:-1], sizes)
+        sums = np.append(np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[place]))
+        h = sums[ends[1:]] - sums[ends[:-1]]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
+        return h ^ h >> np.uint64(31)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, ftrl_quality, gru_toxicity, html_blocks, line_crf, qgram_decontam, repair_ids, simhash_gray, warc_derive
+from . import byte_bpe, ef_trie_lm, ftrl_quality, gru_toxicity, html_blocks, line_crf, qgram_decontam, repair_ids, simhash_gray, warc_derive
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,11 @@ def op7_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_ids.apply(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op8_ef_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ef_trie_lm.apply(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_derive.responses(table(spark, sf_dir, "pages"))
