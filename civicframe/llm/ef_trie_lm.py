@@ -36,7 +36,7 @@ from .common import arrow_text, byte_sizes, hash_words, id_remainder, runs, spli
 CHUNK_BYTES, SHARD_TOKENS = 8_000_000, 2_000_000
 SALTS = 16
 #: Weight of the prior, in tokens.
-MU = 60.0
+MU = 400.0
 END, START = np.uint64(0x0E4D000000000001), np.uint64(0x57A2700000000001)
 _MIX, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bits of a follower's number; the rest of a 64-bit key is the place of its context.
@@ -292,7 +292,7 @@ def _parts(raw: bytes) -> list[np.ndarray]:
         out.append(np.frombuffer(raw, kind, n, at))
         at += out[-1].nbytes
     child = np.zeros((n_pairs, 8), np.uint8)
-    child[:, : CHILD_BITS // 8] = out[4].reshape(n_pairs, -1)
+    child[:, : CHILD_BITS // 8] = out[4].reshape(n_pairs, CHILD_BITS // 8)
     out[4] = child.view("<u8").ravel()
     return out
 
