@@ -42,7 +42,3 @@ def grouped_number(col: Column) -> Column:
 
 def strictly_between(col: Column, lo: float, hi: float) -> Column:
     return (col > lo) & (col < hi)
-
-
-def zero_fill(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    return df.na.fill(0, subset=list(cols))

@@ -103,8 +103,8 @@ class NumberRule:
 def strip_leading_zeros(identifier: Column, scope: Column, rules: Sequence[NumberRule]) -> Column:
     """Drop leading zeros of the number inside ``identifier`` by the rule of its scope.
 
-    The scopes of the rules must not overlap.  A number that does not parse
-    gives null, never a made-up key.
+    The scopes of the rules must not overlap.  An identifier whose number does not
+    parse stays as it is, so that no two of them fall together.
     """
     listed = [s for r in rules for s in r.scopes]
     if len(listed) != len(set(listed)):
@@ -114,7 +114,8 @@ def strip_leading_zeros(identifier: Column, scope: Column, rules: Sequence[Numbe
         applies = scope.isin(*r.scopes)
         for head in r.unless:
             applies = applies & ~(scope.isin(*r.unless_scopes) & identifier.startswith(head))
-        value = F.concat(chars(identifier, 1, r.keep), F.lit(r.insert), to_int(chars(identifier, r.keep + 1)).cast("string"))
+        number = to_int(chars(identifier, r.keep + 1)).cast("string")
+        value = F.coalesce(F.concat(chars(identifier, 1, r.keep), F.lit(r.insert), number), identifier)
         out = F.when(applies, value) if out is None else out.when(applies, value)
     return identifier if out is None else out.otherwise(identifier)
 

@@ -73,11 +73,6 @@ def left_join(
     return joined.drop(*[_RIGHT + rk for _, rk in pairs])
 
 
-def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
-    """The columns a natural join would use, to be checked and then passed as ``on``."""
-    return [c for c in left.columns if c in set(right.columns)]
-
-
 def join_all(first: DataFrame, others: Sequence[DataFrame], on: Sequence[Key], **kw) -> DataFrame:
     """Left join several tables at one grain."""
     return reduce(lambda acc, nxt: left_join(acc, nxt, on, **kw), others, first)

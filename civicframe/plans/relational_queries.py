@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
@@ -129,14 +129,11 @@ def correction_overlay(t: Tables) -> DataFrame:
 
 @query(
     "unmatched_report",
-    """
-    SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (
-      SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')
-    """,
+    "SELECT doc_id, source FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)",
 )
 def unmatched_report(t: Tables) -> DataFrame:
-    finished = t.orders.filter((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT"))
-    return joins.unmatched(t.customer.select("c_custkey", "c_name"), finished, [("c_custkey", "o_custkey")])
+    """Documents that nobody has labelled."""
+    return joins.unmatched(t.documents.select("doc_id", "source"), t.labels, ["doc_id"])
 
 
 SEGMENT_RULES = [
@@ -156,10 +153,10 @@ SEGMENT_RULES = [
       FROM customer),
     ids AS (SELECT *, head || digits AS id, CAST(CAST(digits AS BIGINT) AS VARCHAR) AS num, right(head, 1) = 'A' AS bad FROM raw)
     SELECT c_custkey, c_mktsegment || ' ' || CASE
-        WHEN c_mktsegment = 'FURNITURE' THEN CASE WHEN bad THEN 'NA' ELSE 'CB' || num END
-        WHEN c_mktsegment = 'HOUSEHOLD' THEN CASE WHEN bad THEN 'NA' ELSE 'C' || num END
-        WHEN c_mktsegment = 'MACHINERY' OR (c_mktsegment = 'BUILDING' AND head NOT LIKE 'CX%')
-          THEN CASE WHEN bad THEN 'NA' ELSE head || num END
+        WHEN bad THEN id
+        WHEN c_mktsegment = 'FURNITURE' THEN 'CB' || num
+        WHEN c_mktsegment = 'HOUSEHOLD' THEN 'C' || num
+        WHEN c_mktsegment = 'MACHINERY' OR (c_mktsegment = 'BUILDING' AND head NOT LIKE 'CX%') THEN head || num
         ELSE id END AS bill_merge,
       CASE WHEN NOT bad THEN CAST(digits AS BIGINT) END AS number
     FROM ids
@@ -332,11 +329,13 @@ def date_year_fallback(t: Tables) -> DataFrame:
 def null_propagating_min(t: Tables) -> DataFrame:
     unknown = (F.col("l_returnflag") == "N") & (F.col("l_quantity") < 5)
     lines = t.lineitem.select("l_orderkey", F.when(~unknown, F.col("l_shipdate").cast("date")).alias("shipped"))
-    spread = groups.with_strict_min(lines.withColumn("low", F.col("shipped")), ["l_orderkey"], "low", **PLAIN)
-    return spread.groupBy("l_orderkey").agg(
-        strict(F.min, F.col("low")).cast("string").alias("first_ship"),
-        F.count(F.lit(1)).alias("n_lines"),
-        F.count_if(F.col("shipped") == F.col("low")).alias("n_first"),
+    # Days are counted first, so the lines of the first day need no second look at the rows.
+    days = lines.groupBy("l_orderkey", "shipped").agg(F.count(F.lit(1)).alias("n"))
+    first = strict(F.min, F.col("shipped"))
+    return days.groupBy("l_orderkey").agg(
+        first.cast("string").alias("first_ship"),
+        F.sum("n").alias("n_lines"),
+        F.when(first.isNotNull(), F.min_by("n", "shipped")).otherwise(F.lit(0)).cast("long").alias("n_first"),
     )
 
 
@@ -407,15 +406,18 @@ def weighted_mean_na_rm(t: Tables) -> DataFrame:
     ).replace("l_quantity < 4 THEN NULL", "(l_quantity < 4 OR (l_quantity < 5 AND p_brand < 'Brand#15')) THEN NULL"),
 )
 def weighted_mean_strict(t: Tables) -> DataFrame:
-    small = F.col("l_quantity") < 4
-    odd = (F.col("l_quantity") < 5) & (F.col("p_brand") < "Brand#15")
-    unknown = (F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 7) & (small | odd)
-    x = F.when(~unknown, F.col("l_extendedprice"))
-    w = F.when(small, 0.0).otherwise(F.col("l_quantity"))
-    slim = t.lineitem.select("l_partkey", "l_returnflag", "l_linenumber", "l_quantity", "l_extendedprice")
-    brands = joins.left_join(slim, t.part.select("p_partkey", "p_brand"), [("l_partkey", "p_partkey")], **PLAIN)
-    by_brand = brands.groupBy("p_brand").agg(*weighted_sums(x, w, skip_null=False))
-    return by_brand.groupBy("p_brand").agg(rounded(weighted_mean_of_sums(), 4).alias("price"))
+    """Sums per part under both rules; the brand, known after the join, picks one of them."""
+    w = F.when(F.col("l_quantity") < 4, 0.0).otherwise(F.col("l_quantity"))
+
+    def sums(limit: int, prefix: str) -> list[Column]:
+        unknown = (F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 7) & (F.col("l_quantity") < limit)
+        return weighted_sums(F.when(~unknown, F.col("l_extendedprice")), w, skip_null=False, prefix=prefix)
+
+    by_part = t.lineitem.groupBy("l_partkey").agg(*sums(4, "__"), *sums(5, "__early_"))
+    brands = joins.left_join(by_part, t.part.select("p_partkey", "p_brand"), [("l_partkey", "p_partkey")], **PLAIN)
+    early = F.col("p_brand") < "Brand#15"
+    picked = [F.when(early, F.col(f"__early_{c}")).otherwise(F.col(f"__{c}")).alias(f"__{c}") for c in ("wx", "w", "bad")]
+    return brands.select("p_brand", *picked).groupBy("p_brand").agg(rounded(weighted_mean_of_sums(), 4).alias("price"))
 
 
 @query(
@@ -520,18 +522,17 @@ def _status_counts(t: Tables) -> DataFrame:
 @query(
     "mixed_group_relabel",
     """
-    WITH g AS (SELECT o_custkey, o_orderpriority, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS n_pass
-               FROM orders WHERE o_totalprice > 300000 GROUP BY ALL)
-    SELECT o_custkey, CASE WHEN count(*) > 1 THEN 'M' ELSE max(o_orderpriority) END AS party,
-           CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_pass) AS BIGINT) AS n_pass FROM g GROUP BY o_custkey
+    WITH g AS (SELECT l_orderkey, l_returnflag, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS n_pass FROM lineitem GROUP BY ALL)
+    SELECT l_orderkey, CASE WHEN count(*) > 1 THEN 'M' ELSE max(l_returnflag) END AS party,
+           CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_pass) AS BIGINT) AS n_pass FROM g GROUP BY l_orderkey
     """,
 )
 def mixed_group_relabel(t: Tables) -> DataFrame:
-    big = t.orders.filter(F.col("o_totalprice") > 300000)
-    by_party = big.groupBy("o_custkey", F.col("o_orderpriority").alias("party")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_pass")
+    """Orders are seats, the return flags of their lines parties."""
+    by_party = t.lineitem.groupBy("l_orderkey", F.col("l_returnflag").alias("party")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_linestatus") == "F").alias("n_pass")
     )
-    return groups.relabel_mixed(by_party, ["o_custkey"], "party", "M", ["n", "n_pass"])
+    return groups.relabel_mixed(by_party, ["l_orderkey"], "party", "M", ["n", "n_pass"])
 
 
 STATUSES = ["F", "O", "P"]
@@ -680,10 +681,11 @@ def category_rank(t: Tables) -> DataFrame:
     kind = F.col("event_type")
     label = F.when(kind == "click", "Mouse").when(kind == "error", "Other").otherwise(text.title_case(kind))
     named = counts.withColumn("grp", label).withColumn("level", aggregate.level_rank(kind, ["signup", "click", "purchase"]))
-    top = counts.agg((F.max("intro") + 5).alias("upper_bound")).first()["upper_bound"]
+    # One row per category, so a window over all of them is small.
+    named = named.withColumn("upper_bound", F.max("intro").over(Window.partitionBy()) + 5)
     named = named.withColumn("intro2", F.when(F.col("grp") == "Other", F.lit(-999)).otherwise(F.col("intro")))
     ranked = aggregate.ranked_categories(named, "grp", "intro2", "Other")
-    return ranked.select("grp", "intro", "passed", "intro2", F.lit(top).cast("long").alias("upper_bound"), "level")
+    return ranked.select("grp", "intro", "passed", "intro2", "upper_bound", "level")
 
 
 @query(

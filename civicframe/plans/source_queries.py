@@ -94,3 +94,29 @@ def stage_demographics(t: Tables) -> DataFrame:
     shapes = without_geometry(zones(t)).select(F.col("zone").alias("GEOID"))
     out = joins.left_join(shapes, picked, ["GEOID"]).dropna(subset=["population"])
     return out.select("GEOID", "population", rounded("income", 4).alias("income"))
+
+
+@query(
+    "csv_quoted_text",
+    "SELECT page_id AS id, url AS title, html AS text, length(html) AS n FROM pages UNION ALL SELECT doc_id, source, text, length(text) FROM documents",
+)
+def csv_quoted_text(t: Tables) -> DataFrame:
+    """Texts with quotes, commas and line breaks, written as CSV and read back whole."""
+    root = scratch_dir(t.spark)
+    pages = t.pages.select(F.col("page_id").alias("id"), F.col("url").alias("title"), F.col("html").alias("text"))
+    docs = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text")
+    csvtree.write_csv(pages, f"{root}/raw pages")
+    csvtree.write_csv(docs.select("id", "text", "title"), f"{root}/documents")
+    layouts = {"raw pages": ["id", "title", "text"], "documents": ["id", "text", "title"]}
+    rows = csvtree.scan_csv_tree(t.spark, root, "part*csv", {"id": "long"}, multi_line=True, layouts=layouts)
+    return rows.select("id", "title", "text", F.length("text").cast("long").alias("n"))
+
+
+@query("csv_pruned", "SELECT l_returnflag, CAST(sum(l_linenumber) AS BIGINT) AS lines, count(*) AS n FROM lineitem GROUP BY 1")
+def csv_pruned(t: Tables) -> DataFrame:
+    """Two of a wide file's columns; the others are not parsed."""
+    path = f"{scratch_dir(t.spark)}/lineitem"
+    csvtree.write_csv(t.lineitem, path)
+    layout = {n: "long" if n == "l_linenumber" else "string" for n in t.lineitem.columns}
+    rows = csvtree.scan_csv(t.spark, path, layout, select=["l_returnflag", "l_linenumber"])
+    return rows.groupBy("l_returnflag").agg(F.sum("l_linenumber").alias("lines"), F.count(F.lit(1)).alias("n"))

@@ -142,8 +142,8 @@ _BLOCKS = """, b AS (SELECT row_number() OVER () AS id, l_suppkey, CAST(l_quanti
     "areal_crosswalk",
     _SHAPES + _BLOCKS
     + f""", survey AS (SELECT lpad(c_nationkey::VARCHAR, 5, '0') AS zip,
-                avg(((6 - (1 + c_custkey % 5)) + CASE WHEN c_acctbal > 0 THEN 1 + (c_custkey // 5) % 5 END) / 2.0) AS rr
-         FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey <> 7 GROUP BY 1),
+                avg(((6 - (1 + c_custkey % 5)) + CASE WHEN c_acctbal > 0 AND c_nationkey <> 7 THEN 1 + (c_custkey // 5) % 5 END) / 2.0) AS rr
+         FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1),
     a AS (SELECT b.*, zone, strip, rr FROM b LEFT JOIN {_hits('b', 'zone_edges', 'zone')} USING (id)
           LEFT JOIN {_hits('b', 'strip_edges', 'strip')} USING (id) LEFT JOIN {_hits('b', 'square_edges', 'zip')} USING (id)
           LEFT JOIN survey USING (zip))
@@ -156,8 +156,9 @@ def areal_crosswalk(t: Tables) -> DataFrame:
     layers = {"upper": (zones(t), "zone"), "lower": (strips(t), "strip"), "zip": (squares(t), "zip")}
     placed = spatial.assign_layers(blocks(t), "x", "y", layers)
     a = 1 + F.col("c_custkey") % 5
-    b = F.when(F.col("c_acctbal") > 0, 1 + F.floor(F.col("c_custkey") / 5) % 5)
-    answers = t.customer.filter((F.col("c_mktsegment") == "BUILDING") & (F.col("c_nationkey") != 7)).select(
+    # Nobody of nation 7 gave the second answer, so that area has no score.
+    b = F.when((F.col("c_acctbal") > 0) & (F.col("c_nationkey") != 7), 1 + F.floor(F.col("c_custkey") / 5) % 5)
+    answers = t.customer.filter(F.col("c_mktsegment") == "BUILDING").select(
         text.pad_left(F.col("c_nationkey").cast("string"), 5).alias("zip"),
         ((numeric.reverse_scale(a, 5) + b) / 2.0).alias("rr"),
     )
@@ -168,17 +169,18 @@ def areal_crosswalk(t: Tables) -> DataFrame:
 @query(
     "crosswalk_fallback",
     _SHAPES + _BLOCKS + _ORDER_POINTS
-    + f""", results AS (SELECT c_nationkey AS county, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) / sum(o_totalprice) AS share
-           FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O') AND c_nationkey <> 3 GROUP BY 1),
+    + f""", results AS (SELECT c_nationkey AS county, CASE WHEN c_nationkey <> 3 THEN sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END)
+             / nullif(sum(CASE WHEN o_orderstatus IN ('F', 'O') THEN o_totalprice END), 0) END AS share
+           FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
     a AS (SELECT b.*, strip, share FROM b LEFT JOIN {_hits('b', 'strip_edges', 'strip')} USING (id)
           JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN results ON s_nationkey = county),
     fallback AS (SELECT strip, CASE WHEN count(*) FILTER (share IS NULL AND pop <> 0) = 0 THEN sum(share * pop) / nullif(sum(pop), 0) END AS share
                  FROM a GROUP BY 1),
-    prim AS (SELECT strip, count(*) FILTER (o_orderstatus = 'F') / nullif(count(*) FILTER (o_orderstatus IN ('F', 'O')), 0) AS share
-             FROM pts JOIN orders ON id = o_orderkey JOIN {_hits('pts', 'strip_edges', 'strip')} USING (id)
-             WHERE o_orderstatus <> 'P' GROUP BY 1 HAVING strip < 3)
-    SELECT strip AS "GEOID", 'primary' AS source, round(share, 6) AS share_dem FROM prim
-    UNION ALL SELECT strip, 'fallback', round(share, 6) FROM fallback WHERE strip IS NULL OR strip >= 3
+    prim AS (SELECT strip, CASE WHEN strip < 3 THEN count(*) FILTER (o_orderstatus = 'F') / nullif(count(*) FILTER (o_orderstatus IN ('F', 'O')), 0) END AS share
+             FROM pts JOIN orders ON id = o_orderkey LEFT JOIN {_hits('pts', 'strip_edges', 'strip')} USING (id) GROUP BY 1)
+    SELECT strip AS "GEOID", 'primary' AS source, round(share, 6) AS share_dem FROM prim WHERE share IS NOT NULL
+    UNION ALL SELECT strip, 'fallback', round(share, 6) FROM fallback
+      WHERE NOT EXISTS (SELECT 1 FROM prim WHERE prim.share IS NOT NULL AND prim.strip IS NOT DISTINCT FROM fallback.strip)
     """,
 )
 def crosswalk_fallback(t: Tables) -> DataFrame:
@@ -189,19 +191,20 @@ def crosswalk_fallback(t: Tables) -> DataFrame:
     placed = joins.left_join(placed, county, [("l_suppkey", "s_suppkey")], null_safe=False)
     party = F.col("o_orderstatus") == "F"
     price = F.col("o_totalprice")
-    by_customer = t.orders.filter(F.col("o_orderstatus").isin("F", "O")).groupBy("o_custkey").agg(
-        F.sum(price * party.cast("int")).alias("dem"), F.sum(price).alias("all")
+    decided = F.col("o_orderstatus").isin("F", "O")
+    by_customer = t.orders.groupBy("o_custkey").agg(
+        F.sum(F.when(party, price).otherwise(0.0)).alias("dem"), F.sum(F.when(decided, price)).alias("all")
     )
     nations = t.customer.select("c_custkey", F.col("c_nationkey").alias("county"))
     votes = joins.left_join(by_customer, nations, [("o_custkey", "c_custkey")], null_safe=False)
-    results = votes.filter(F.col("county") != 3).groupBy("county").agg(
-        F.try_divide(F.sum("dem"), F.sum("all")).alias("share_dem")
+    # County 3 reports no result; strips from 3 on have no direct one.
+    results = votes.groupBy("county").agg(
+        F.when(F.col("county") != 3, F.try_divide(F.sum("dem"), F.sum("all"))).alias("share_dem")
     )
     fallback = areal_share(placed, results, "county", "share_dem", "POP20", {"": "strip"}).drop("chamber")
-    points = spatial.assign_layers(order_points(t).filter(F.col("o_orderstatus") != "P"), "x", "y", district)
-    primary = points.filter(F.col("strip") < 3).groupBy(F.col("strip").alias("GEOID")).agg(
-        aggregate.conditional_ratio(F.lit(1), party).alias("share_dem")
-    )
+    points = spatial.assign_layers(order_points(t), "x", "y", district)
+    share = aggregate.conditional_ratio(F.when(decided, F.lit(1)), party)
+    primary = points.groupBy(F.col("strip").alias("GEOID")).agg(F.when(F.col("strip") < 3, share).alias("share_dem"))
     marked = [df.withColumn("source", F.lit(s)) for df, s in ((primary, "primary"), (fallback, "fallback"))]
     both = joins.prefer_first(*marked, ["GEOID"], "share_dem")
     return both.select("GEOID", "source", rounded("share_dem").alias("share_dem"))

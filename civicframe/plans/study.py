@@ -50,11 +50,16 @@ def bill_key(bill: Column) -> Column:
     return text.trim_blank(paste(text.chars(bill, 1, 2), text.squeeze(text.chars(bill, 3))))
 
 
-def merged_provisions(introduced: DataFrame, enacted: DataFrame, order: Sequence[str] = ("date_added", "url")) -> DataFrame:
-    """Introduced provisions, with enacted bills taking the place of their introduced rows."""
+def merged_provisions(introduced: DataFrame, enacted: DataFrame, order: Sequence[str | Column] = ()) -> DataFrame:
+    """Introduced provisions, with enacted bills taking the place of their introduced rows.
+
+    An enacted bill takes the date of its first introduced row: by ``order`` (such as the
+    source order of a CSV scan), else by the date itself.
+    """
     keys = ["bill", "year", "state"]
     passed = recode.recode(enacted, "bill", V.ENACTED_NAMES)
     passed = recode.recode(passed.withColumn("year", F.lit("2021")), "year", V.ENACTED_YEAR)
+    order = order or (text.parse_date(F.col("date_added"), "M/d/yyyy"), "url")
     dates = groups.first_per_group(introduced, keys, groups.nulls_last(*order)).select(*keys, "date_added")
     passed = joins.left_join(passed.withColumn("pass", F.lit(True)), dates, keys)
     return joins.override(introduced.withColumn("pass", F.lit(False)), passed, keys)
@@ -299,7 +304,7 @@ def by_impact(df: DataFrame, ids: Sequence[str]) -> DataFrame:
 def district_panel(
     demographics: DataFrame, earlier: DataFrame, sponsors: DataFrame, state_demographics: DataFrame, shares: DataFrame,
     fallback: DataFrame, votes: DataFrame, control: DataFrame, states: DataFrame, scores: DataFrame,
-    competitive: tuple[float, float] = (0.45, 0.55), exceptions: Sequence[str] = (),
+    competitive: tuple[float, float] = (0.45, 0.55), exceptions: Sequence[str] = tuple(V.ONE_CHAMBER),
 ) -> DataFrame:
     """One row per (district, chamber, impact), complete in every model column.
 

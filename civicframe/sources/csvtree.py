@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +34,21 @@ def typed(col: Column, kind: str) -> Column:
     raise ValueError(f"unknown type {kind!r}")
 
 
+#: The usual dialect on both sides: quotes inside quoted text are doubled, blanks and empty text stay.
+DIALECT = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def plain_path(uri: str) -> str:
+    """A path as readers take it, from the encoded form that file metadata has; glob characters are escaped."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(uri))
+
+
 def headers(spark: SparkSession, root: str, pattern: str, sep: str = ",") -> dict[tuple[str, ...], list[str]]:
     """Files under ``root`` by their header line.
 
     Reads the text once and keeps one line per file, combined map-side; only
     file names and header lines reach the driver, as any file listing does.
+    Trees too large for that pass should declare their layouts (see ``scan_csv_tree``).
     """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
     # The first line of a file is the first row of the block that starts at 0.
@@ -50,20 +62,26 @@ def headers(spark: SparkSession, root: str, pattern: str, sep: str = ",") -> dic
     found: dict[tuple[str, ...], list[str]] = {}
     for row in first.orderBy("file").collect():
         names = tuple(next(csv.reader([row["header"].lstrip("\ufeff")], delimiter=sep)))
-        found.setdefault(names, []).append(row["file"])
+        found.setdefault(names, []).append(plain_path(row["file"]))
     return found
 
 
-def _read_text_columns(spark: SparkSession, names: Sequence[str], paths: Sequence[str], sep: str) -> DataFrame:
+def unbalanced(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Lines (file, line) in which a quote stays open: their records go on in the next line.
+
+    A scan that splits files reads such records as broken rows; use ``multi_line`` for files that hold some.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return lines.filter(quotes % 2 == 1).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+
+
+def _read_text_columns(
+    spark: SparkSession, names: Sequence[str], paths: Sequence[str], sep: str, multi_line: bool = False, **more
+) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("sep", sep)
-        .option("nullValue", _ABSENT)
-        .csv(list(paths))
-        .select("*", "_metadata")
-    )
+    reader = spark.read.schema(schema).options(**DIALECT, header=True, sep=sep, nullValue=_ABSENT, multiLine=multi_line, **more)
+    return (reader.option("lineSep", "\n") if multi_line else reader).csv(list(paths)).select("*", "_metadata")
 
 
 def scan_csv_tree(
@@ -75,6 +93,8 @@ def scan_csv_tree(
     sep: str = ",",
     lineage: str = "file",
     order: str | None = None,
+    multi_line: bool = False,
+    layouts: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """All files under ``root`` whose name matches the glob ``pattern``, as one table.
 
@@ -83,11 +103,20 @@ def scan_csv_tree(
     text stays empty in text columns and is null elsewhere, ``NA`` is null.
     ``lineage`` names the column with the file each row came from.  ``order``
     adds a sortable (file, block, row) column for first-in-source-order rules.
+
+    Quotes inside quoted text are doubled.  Quoted line breaks need ``multi_line``, which reads a file in
+    one piece; without it files are split, and ``unbalanced`` finds the lines it would break.  ``layouts`` maps
+    folders or globs below ``root`` to their column names; files are then read without looking at headers first.
     """
     types = types or {}
     frames = []
-    for names, paths in headers(spark, root, pattern, sep).items():
-        raw = _read_text_columns(spark, names, paths, sep)
+    if layouts:
+        found = [(tuple(names), [f"{root}/{folder}"]) for folder, names in layouts.items()]
+        more = {"recursiveFileLookup": True, "pathGlobFilter": pattern}
+    else:
+        found, more = headers(spark, root, pattern, sep).items(), {}
+    for names, paths in found:
+        raw = _read_text_columns(spark, names, paths, sep, multi_line, **more)
         cols = [typed(F.col(f"`{n}`"), types.get(n, "string")).alias(n) for n in names]
         cols.append(F.col("_metadata.file_path").alias(lineage))
         if order:
@@ -114,9 +143,10 @@ def scan_csv(
     *,
     select: Sequence[str] | None = None,
     sep: str = ",",
+    multi_line: bool = False,
 ) -> DataFrame:
     """One CSV file or folder with a declared layout; Spark parses only the columns used."""
-    raw = _read_text_columns(spark, list(types), [path], sep)
+    raw = _read_text_columns(spark, list(types), [path], sep, multi_line)
     names = list(select) if select else list(types)
     return raw.select(*[typed(F.col(f"`{n}`"), types[n]).alias(n) for n in names])
 
@@ -131,5 +161,6 @@ def sibling_path(df: DataFrame, old: str, new: str, lineage: str = "file") -> Da
     return df.withColumn(lineage, F.replace(F.col(lineage), F.lit(old), F.lit(new)))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+    """With a header, in the dialect that the scans read; text that holds quotes, separators or line breaks is quoted."""
+    df.write.mode("overwrite").options(**DIALECT, header=True, sep=sep).csv(path)

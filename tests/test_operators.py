@@ -89,6 +89,18 @@ def test_results_do_not_depend_on_partitions_or_order(spark, parts):
     assert rows(first) == rows(low)
     numbered = groups.with_row_number(df, "id")
     assert rows(numbered, "id", "row_id") == [(i, i + 1) for i in range(3000)]
+    assert rows(groups.with_row_number_of_text(df, "id"), "id", "row_id") == [(i, i + 1) for i in range(3000)]
+
+
+def test_row_numbers_with_ties_and_nulls(frame):
+    df = frame("x double, y string", (1.0, "b"), (None, "z"), (1.0, "a"), (0.5, "c"), (7.0, None))
+    assert rows(groups.with_row_number(df, "x", "y"), "row_id", "x", "y") == [
+        (1, None, "z"), (2, 0.5, "c"), (3, 1.0, "a"), (4, 1.0, "b"), (5, 7.0, None),
+    ]
+    days = df.selectExpr("date_add(date'2020-01-01', cast(x AS int)) AS d", "y").filter("d IS NOT NULL")
+    assert [r[0] for r in rows(groups.with_row_number(days, "d", "y"), "row_id")] == [1, 2, 3, 4]
+    plan = groups.with_row_number(df, "x", "y")._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan
 
 
 def test_relabel_of_shared_seats(frame):
@@ -114,7 +126,7 @@ def test_categories_end_with_other(frame):
 
 BILLS = [
     ("FL", "H0061", "HB61"), ("IN", "HB0012", "HB12"), ("IL", "HJR0004", "HJR0004"), ("IL", "HB0004", "HB4"),
-    ("NY", "A00123", "AB123"), ("RI", "S0045", "S45"), ("FL", "H12A", None), ("TX", "HB0001", "HB0001"), ("TN", "HJR0001", None),
+    ("NY", "A00123", "AB123"), ("RI", "S0045", "S45"), ("FL", "H12A", "H12A"), ("FL", "S77B", "S77B"), ("TX", "HB0001", "HB0001"), ("TN", "HJR0001", "HJR0001"),
 ]
 
 

@@ -94,6 +94,41 @@ def test_csv_round_trip(spark, frame, tmp_path):
     assert rows(back) == rows(df)
 
 
+def test_quoted_text_of_another_writer(spark, tmp_path):
+    folder = tmp_path / "a b" / "x{1}[2]"
+    folder.mkdir(parents=True)
+    (folder / "bills.csv").write_text('"bill_id","the ""title"", quoted",n\n1,"An act ""to amend"", voting",5\n2," padded ",6\n3,"",7\n')
+    got = csvtree.scan_csv_tree(spark, str(tmp_path), "bills?csv*", {"bill_id": "long", "n": "int"})
+    assert got.columns == ["bill_id", 'the "title", quoted', "n", "file"]
+    assert rows(got.drop("file")) == [(1, 'An act "to amend", voting', 5), (2, " padded ", 6), (3, "", 7)]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "t.csv").write_text('id,text\n1,"one\ntwo, ""three"""\n2,plain\n')
+    assert rows(csvtree.unbalanced(spark, str(tmp_path / "d"), "*.csv"), "line") == [('1,"one',), ('two, ""three"""',)]
+    got = csvtree.scan_csv_tree(spark, str(tmp_path / "d"), "*.csv", {"id": "int"}, multi_line=True).drop("file")
+    assert rows(got) == [(1, 'one\ntwo, "three"'), (2, "plain")]
+
+
+def test_written_text_is_standard(spark, frame, tmp_path):
+    import csv
+
+    texts = ['q"t', "x,y", "two\nlines", " blanks ", "", "plain"]
+    csvtree.write_csv(frame("i int, b string", *enumerate(texts)).coalesce(1), str(tmp_path / "out"))
+    (part,) = (tmp_path / "out").glob("part*")
+    with part.open(newline="") as f:
+        assert [r["b"] for r in sorted(csv.DictReader(f), key=lambda r: int(r["i"]))] == texts
+    back = csvtree.scan_csv(spark, str(tmp_path / "out"), {"i": "int", "b": "string"}, multi_line=True)
+    assert rows(back) == [*enumerate(texts)]
+
+
+def test_declared_layouts_need_no_header_pass(spark, tree):
+    layouts = {"TX": ["bill_id", "title", "year"], "NY/y": ["bill_id", "title", "year", "extra"]}
+    got = csvtree.scan_csv_tree(spark, tree, "bills.csv", TYPES, layouts=layouts)
+    assert rows(got, "bill_id", "extra") == [(1, None), (2, None), (3, None), (8, "e")]
+
+
 def test_stage_prunes_folders(spark, frame, tmp_path):
     stage = Stage(spark, str(tmp_path))
     df = frame("GEOID string, level string, year int, nh double", ("1", "state", 2020, 0.5), ("2", "state", 2010, 0.6), ("3", "upper", 2020, 0.7))

@@ -101,6 +101,25 @@ def test_provisions(provisions):
     assert dates == {1: "2021-01-04", 3: "2021-03-01", 5: "2021-08-01"}
 
 
+def test_dates_are_dates_and_not_text(make):
+    introduced = make(
+        "state string, bill string, year string, date_added string, url string",
+        ("Texas", "b", "2021", "10/1/2021", "u1"), ("Texas", "b", "2021", "2/1/2021", "u2"), ("Texas", "b", "2021", "x", "u0"),
+    )
+    enacted = make("state string, bill string", ("Texas", "b"))
+    assert rows(study.merged_provisions(introduced, enacted), "date_added") == [("2/1/2021",)]
+    assert rows(study.merged_provisions(introduced, enacted, ["url"]), "date_added") == [("x",)]
+
+
+def test_unreadable_numbers_keep_bills_apart(make):
+    bills = make(
+        "bill_id long, session_id long, bill_number string, status_date date, last_action_date string, url string, file string",
+        *[(i, 1, n, None, "2021-01-01", "https://legiscan.com/FL/bill/x", "f") for i, n in enumerate(["H12A", "S77B", "H0012"])],
+    )
+    got = study.canonical_bills(bills, make("session_id long, session string", (1, "")))
+    assert rows(got, "bill_merge") == [("FL H12A",), ("FL HB12",), ("FL S77B",)]
+
+
 @pytest.fixture(scope="module")
 def sponsors(make, provisions):
     who = make(
