@@ -5,42 +5,85 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.groups import range_index
 
-#: Distinct values an exact solution may bring to the driver (24 bytes each).
-MAX_DISTINCT = 200_000
+#: Ranges that the values are summarised in at a time.
+RANGES = 4096
 
 
 def jenks_breaks(df: DataFrame, column: str, classes: int, round_to: float | None = None) -> list[float]:
     """Class limits that minimise the summed squared deviation within classes.
 
-    Returns minimum, upper limits of the inner classes, maximum.  The input is
-    reduced to distinct values with counts in Spark, so row counts do not matter;
-    the exact solution runs on that summary.  More than MAX_DISTINCT distinct
-    values are an error: pass ``round_to`` to solve for values rounded to that
-    step, which is then exact for the rounded values only.  Equal solutions
-    resolve to the smallest limits.
+    Returns minimum, upper limits of the inner classes, maximum.  The values are summed up in at
+    most RANGES ranges (approximate quantiles), and the optimum over whole ranges is found exactly.
+    Then the ranges on both sides of each limit are cut finer, until every range beside a limit holds one value: a limit
+    can then move no further within its surroundings.  Up to RANGES distinct values this is the
+    exact optimum at once.  ``round_to`` rounds values first.  Equal solutions resolve to the smallest limits.
     """
     x = F.col(column).cast("double")
     if round_to:
         x = F.round(x / round_to) * round_to
-    counts = df.filter(x.isNotNull() & ~F.isnan(x)).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.limit(MAX_DISTINCT + 1).collect()
-    if len(rows) > MAX_DISTINCT:
-        raise ValueError(f"{column} has more than {MAX_DISTINCT} distinct values; pass round_to")
-    rows.sort(key=lambda r: r["x"])
-    return fisher_breaks([r["x"] for r in rows], [r["n"] for r in rows], classes)
+    data = df.filter(x.isNotNull() & ~F.isnan(x)).select(x.alias("x"))
+    low = data.select("x").distinct().orderBy("x").limit(RANGES + 1).collect()
+    if not low:
+        raise ValueError("no values")
+    if len(low) <= RANGES:
+        ends = [r["x"] for r in low]
+    else:
+        ends = _quantiles(data, RANGES // 2)
+    while True:
+        bins = _summary(data, ends)
+        found = _limits(bins, classes)
+        beside = {i for at in found for i in (at, at + 1) if i < len(bins)}
+        wide = [i for i in sorted(beside) if bins[i]["low"] < bins[i]["high"]]
+        if not wide:
+            break
+        each = max(2, RANGES // 2 // len(wide))
+        for i in wide:
+            inside = data.filter((F.col("x") >= bins[i]["low"]) & (F.col("x") <= bins[i]["high"]))
+            ends = sorted({*ends, *_quantiles(inside, each), bins[i]["low"]})
+    if len(bins) <= classes:
+        return [float(bins[0]["low"]), *[float(b["high"]) for b in bins]]
+    return [float(bins[0]["low"]), *[float(bins[at]["high"]) for at in found], float(bins[-1]["high"])]
+
+
+def _quantiles(data: DataFrame, n: int) -> list[float]:
+    """Upper ends of about ``n`` ranges with equal counts; the maximum is one of them."""
+    steps = [i / n for i in range(1, n)]
+    row = data.agg(F.percentile_approx("x", steps, F.lit(20 * n)).alias("q"), F.max("x").alias("top")).first()
+    return sorted({*row["q"], row["top"]})
+
+
+def _summary(data: DataFrame, ends: Sequence[float]) -> list:
+    """Count, sum, sum of squares and extremes of the values in ranges (previous end, end], in order."""
+    middle = (ends[0] + ends[-1]) / 2
+    d = F.col("x") - F.lit(middle)
+    if len(ends) > 1:
+        # The bucketizer's ranges are closed below, so the turned values go in.
+        splits = [*[-float(e) for e in reversed(ends)], float("inf")]
+        placed = Bucketizer(splits=splits, inputCol="turned", outputCol="at").transform(data.withColumn("turned", -F.col("x")))
+    else:
+        placed = data.withColumn("at", F.lit(0.0))
+    rows = placed.groupBy("at").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("q"), F.min("x").alias("low"), F.max("x").alias("high")
+    )
+    return sorted(rows.collect(), key=lambda r: r["low"])
 
 
-def fisher_breaks(values: Sequence[float], weights: Sequence[int], classes: int) -> list[float]:
-    """Fisher's optimal grouping of sorted distinct values, by halving each layer.
+def _limits(bins: Sequence, classes: int) -> list[int]:
+    """The last range of every class but the last."""
+    if len(bins) <= classes:
+        return []
+    n, s, q = (np.concatenate([[0.0], np.cumsum([b[c] for b in bins])]) for c in ("n", "s", "q"))
+    return _fisher(n, s, q, classes)
 
-    The best start of the last class moves right with its end, so each layer
-    needs about m log m cost lookups in place of m squared.
-    """
+
+def fisher_breaks(values: Sequence[float], weights: Sequence[int], classes: int) -> list[float]:
+    """Fisher's optimal grouping of sorted distinct values: minimum, upper limits, maximum."""
     x, w = np.asarray(values, float), np.asarray(weights, float)
     m = len(x)
     if m == 0:
@@ -48,9 +91,17 @@ def fisher_breaks(values: Sequence[float], weights: Sequence[int], classes: int)
     if m <= classes:
         return [float(x[0]), *map(float, x)]
     c = x - np.average(x, weights=w)
-    n = np.concatenate([[0], np.cumsum(w)])
-    s = np.concatenate([[0], np.cumsum(w * c)])
-    q = np.concatenate([[0], np.cumsum(w * c * c)])
+    n, s, q = (np.concatenate([[0], np.cumsum(v)]) for v in (w, w * c, w * c * c))
+    return [float(x[0]), *[float(x[i]) for i in _fisher(n, s, q, classes)], float(x[-1])]
+
+
+def _fisher(n: np.ndarray, s: np.ndarray, q: np.ndarray, classes: int) -> list[int]:
+    """The last place of every class but the last, from running counts, sums and sums of squares; by halving each layer.
+
+    The best start of the last class moves right with its end, so each layer
+    needs about m log m cost lookups in place of m squared.
+    """
+    m = len(n) - 1
 
     def cost(i, j):
         """Squared deviation of values i..j-1 as one class."""
@@ -78,11 +129,11 @@ def fisher_breaks(values: Sequence[float], weights: Sequence[int], classes: int)
             todo.append((mid + 1, hi, int(i[near]), last))
         best = new
         starts.append(start)
-    ends, end = [m], m
+    ends, end = [], m
     for start in reversed(starts):
         end = int(start[end])
-        ends.append(end)
-    return [float(x[0]), *[float(x[e - 1]) for e in reversed(ends)]]
+        ends.append(end - 1)
+    return ends[::-1]
 
 
 def cut(x: Column, breaks: Sequence[float]) -> Column:

@@ -17,10 +17,6 @@ from pyspark.sql import types as T
 
 from ..sources.local import small_frame
 
-#: Slices are separate models whose coefficients live on the driver.
-MAX_SLICES = 10_000
-
-
 @dataclass(frozen=True)
 class Num:
     """A numeric column, or a boolean one as 0/1."""
@@ -142,18 +138,16 @@ def term_names(t: Term, booleans: set[str]) -> list[str]:
 
 
 class SliceTable:
-    """Per-slice numbers as columns of a small table joined to the rows by slice.
+    """Per-slice numbers as columns of a table joined to the rows by slice.
 
-    The table has one row per slice (at most MAX_SLICES, checked), so the
-    broadcast is bounded.  Without slices the numbers are literals and no join
-    happens.
+    The table has one row per slice; Spark broadcasts it while it is small.  Rows of
+    slices without numbers are left out, since those cannot be fitted.  Without
+    slices the numbers are literals and no join happens.
     """
 
     def __init__(self, df: DataFrame, slices: Sequence[str], arrays: dict[str, dict[tuple, Sequence[float]]]):
         self.slices, self.arrays = list(slices), arrays
         keys = list(next(iter(arrays.values()))) if arrays else []
-        if len(keys) > MAX_SLICES:
-            raise ValueError(f"{len(keys)} slices; at most {MAX_SLICES} models fit at once")
         if self.slices and arrays:
             schema = T.StructType(
                 [T.StructField("__s_" + s, df.schema[s].dataType) for s in self.slices]
@@ -165,7 +159,7 @@ class SliceTable:
             for s in self.slices:
                 same = F.col(s).eqNullSafe(F.col("__s_" + s))
                 cond = same if cond is None else cond & same
-            df = df.join(F.broadcast(side), cond).drop(*["__s_" + s for s in self.slices])
+            df = df.join(side, cond).drop(*["__s_" + s for s in self.slices])
         self.df = df
 
     def get(self, name: str, i: int) -> Column:
@@ -194,6 +188,8 @@ class Design:
     rows: DataFrame
     poly: dict[tuple, list[float]] = field(default_factory=dict)
     booleans: set[str] = field(default_factory=set)
+    #: Slices that have no design, with the reason.
+    problems: dict[tuple, str] = field(default_factory=dict)
 
     @property
     def x(self) -> list[str]:
@@ -213,8 +209,12 @@ def _numeric(df: DataFrame, spec: Spec) -> tuple[DataFrame, set[str]]:
     return df.withColumns(casts), booleans
 
 
-def poly_constants(df: DataFrame, polys: Sequence[Poly], slices: Sequence[str]) -> dict[tuple, list[float]]:
-    """Constants of every polynomial by slice, from two aggregates.
+def poly_constants(
+    df: DataFrame, polys: Sequence[Poly], slices: Sequence[str]
+) -> tuple[dict[tuple, list[float]], dict[tuple, str]]:
+    """Constants of every polynomial by slice, from two aggregates; and the slices that have none, with the reason.
+
+    Without slices the reason is raised.
 
     With c = x - mean, power sums of c give everything: s2 = sum c^2,
     a = sum c^3 / s2, and the squared length of (c-a)c - s2/n is
@@ -224,8 +224,13 @@ def poly_constants(df: DataFrame, polys: Sequence[Poly], slices: Sequence[str])
     present = {p.column: F.when(~F.isnan(p.column), F.col(p.column)) for p in polys}
     cols = list(present)
     grouped = df.groupBy(*slices).agg(*[F.avg(present[c]).alias(f"m_{c}") for c in cols])
-    means = {tuple(r[s] for s in slices): [r[f"m_{c}"] for c in cols] for r in grouped.limit(MAX_SLICES + 1).collect()}
-    means = {k: v for k, v in means.items() if None not in v}
+    means = {tuple(r[s] for s in slices): [r[f"m_{c}"] for c in cols] for r in grouped.collect()}
+    problems = {k: f"no value of {cols[v.index(None)]}" for k, v in means.items() if None in v}
+    means = {k: v for k, v in means.items() if k not in problems}
+    if not means:
+        if not slices:
+            raise ValueError(next(iter(problems.values()), "no rows"))
+        return {}, problems
     table = SliceTable(df, slices, {"__means": means})
     sums = []
     for i, c in enumerate(cols):
@@ -239,21 +244,28 @@ def poly_constants(df: DataFrame, polys: Sequence[Poly], slices: Sequence[str])
             c = p.column
             n, s2, s3, s4 = r[f"n_{c}"], r[f"s2_{c}"], r[f"s3_{c}"], r[f"s4_{c}"]
             if not s2 > 0:
-                raise ValueError(f"{c} is constant in slice {key}")
+                problems[key] = f"{c} is constant"
+                break
             a = s3 / s2
             length2 = s4 - a * s3 - s2 * s2 / n
             if p.degree == 2 and not length2 > 1e-12 * s4:
-                raise ValueError(f"{c} has too few distinct values for degree 2 in slice {key}")
+                problems[key] = f"{c} has too few distinct values for degree 2"
+                break
             flat += PolyConst(means[key][cols.index(c)], a, s2 / n, sqrt(s2), sqrt(max(length2, 0.0)) or 1.0).values()
-        out[key] = flat
-    return out
+        else:
+            out[key] = flat
+    if problems and not slices:
+        raise ValueError(problems[()])
+    return out, problems
 
 
 def with_poly(df: DataFrame, column: str, names: Sequence[str], slices: Sequence[str] = ()) -> DataFrame:
     """Add the orthogonal polynomial columns of ``column``, fitted per slice."""
     poly = Poly(column, len(names))
     data = df.withColumn(column, F.col(column).cast("double"))
-    constants = poly_constants(data, [poly], list(slices))
+    constants, problems = poly_constants(data, [poly], list(slices))
+    if problems:
+        raise ValueError(f"no polynomial in slices {sorted(problems.items(), key=str)[:3]}")
     table = SliceTable(data, list(slices), {"__poly": constants})
     const = [table.get("__poly", j) for j in range(PolyConst.WIDTH)]
     out = table.df.withColumns(dict(zip(names, poly_columns(F.col(column), const, poly.degree))))
@@ -265,7 +277,9 @@ def build(df: DataFrame, spec: Spec, slices: Sequence[str] = (), extra: Sequence
     keep = list(dict.fromkeys([*slices, *extra, spec.outcome, *spec.columns()]))
     data, booleans = _numeric(df.select(*keep), spec)
     polys = spec.polys()
-    poly = poly_constants(data, polys, slices) if polys else {}
+    poly, problems = poly_constants(data, polys, slices) if polys else ({}, {})
+    if polys and not poly:
+        raise ValueError("no slice can be fitted")
     table = SliceTable(data, slices, {"__poly": poly} if polys else {})
     at = {p: i * PolyConst.WIDTH for i, p in enumerate(polys)}
 
@@ -282,4 +296,4 @@ def build(df: DataFrame, spec: Spec, slices: Sequence[str] = (), extra: Sequence
         *slices, *extra, F.col(spec.outcome).alias("__y"), *[e.alias(f"__x{i}") for i, e in enumerate(exprs)],
         *[F.col(c).alias(f"__v_{c}") for c in spec.columns()],
     )
-    return Design(spec, slices, names, rows, poly, booleans)
+    return Design(spec, slices, names, rows, poly, booleans, problems)

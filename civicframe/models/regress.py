@@ -8,7 +8,7 @@ a spec is fitted in the same job.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import inf, log, log1p, pi, sqrt
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .design import MAX_SLICES, Design, SliceTable, Spec, build
+from .design import Design, SliceTable, Spec, build
 
 HUBER_K = 1.345
 MAD_TO_SD = 0.6745
@@ -44,6 +44,8 @@ class Fit:
     estimator: str
     models: dict[tuple, SliceFit]
     design: Design
+    #: Slices without a model, with the reason.
+    unfitted: dict[tuple, str] = field(default_factory=dict)
 
     @property
     def normal(self) -> bool:
@@ -93,11 +95,20 @@ def _square(row, prefix: str, k: int) -> np.ndarray:
 
 
 def _collect(df: DataFrame, slices: Sequence[str]) -> dict[tuple, object]:
-    """One row of sums per slice; the number of slices is checked."""
-    rows = (df.limit(MAX_SLICES + 1) if slices else df).collect()
-    if len(rows) > MAX_SLICES:
-        raise ValueError(f"more than {MAX_SLICES} slices")
-    return {tuple(r[s] for s in slices): r for r in rows}
+    """One row of sums per slice, on the driver: for models that are looked at one by one.
+
+    ``many.ols`` keeps everything in tables, for any number of slices.
+    """
+    return {tuple(r[s] for s in slices): r for r in df.collect()}
+
+
+def _unfitted(df: DataFrame, design: Design, models: dict, known: dict[tuple, str] | None = None) -> dict[tuple, str]:
+    """Every slice of ``df`` without a model, with the reason."""
+    if not design.slices:
+        return {}
+    reasons = {**design.problems, **(known or {})}
+    seen = [tuple(r) for r in df.select(*design.slices).distinct().collect()]
+    return {key: reasons.get(key, "no complete rows") for key in seen if key not in models}
 
 
 @dataclass
@@ -235,7 +246,7 @@ def ols(df: DataFrame, spec: Spec, slices: Sequence[str] = (), vcov: str = "iid"
             _linear_stats(m.n, params, rss, m.yy), [],
         )
         models[key] = _nan_dropped(fit, kept)
-    return Fit(spec, design.slices, "ols", models, design)
+    return Fit(spec, design.slices, "ols", models, design, _unfitted(df, design, models))
 
 
 @dataclass
@@ -295,7 +306,7 @@ def ols_fixed(df: DataFrame, spec: Spec, group: str, slices: Sequence[str] = ())
     for i in range(k):
         level = level - side.get("__b", i) * (side.get("__shift", i) + F.col(f"s{i}") / F.col("n"))
     groups = side.df.select(*design.slices, group, F.col("n"), level.alias("intercept"))
-    return FixedFit(Fit(spec, design.slices, "ols", models, design), groups)
+    return FixedFit(Fit(spec, design.slices, "ols", models, design, _unfitted(df, design, models)), groups)
 
 
 def _iterable(design: Design) -> Design:
@@ -311,8 +322,16 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
 
     The covariance is the inverse information.  Convergence is judged on the
     step, not on the deviance: under separation the deviance settles while the
-    estimates run off, which raises SeparationError here.
+    estimates run off.  A slice that is separated, has a constant outcome or does not converge
+    is listed in ``unfitted``; without slices SeparationError is raised.
     """
+    failed: dict[tuple, str] = {}
+
+    def fail(key: tuple, reason: str) -> None:
+        if not slices:
+            raise SeparationError(reason)
+        failed[key] = reason
+
     source = build(df, spec, slices)
     design = _iterable(source)
     k = len(design.names)
@@ -320,7 +339,8 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
         moments = _moments(design)
         for key, m in moments.items():
             if not 0 < m.ymean < 1:
-                raise SeparationError(f"the outcome is constant in slice {key}")
+                fail(key, "the outcome is constant")
+        moments = {key: m for key, m in moments.items() if key not in failed}
         scale, b, kept = {}, {}, {}
         for key, m in moments.items():
             _, kept[key] = _solve(m.gram, design.names)
@@ -332,10 +352,10 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
         previous: dict[tuple, tuple[float, np.ndarray]] = {}
         done: set[tuple] = set()
         info, deviance = {}, {}
-        for _ in range(max_steps):
+        for _ in range(max_steps if moments else 0):
             rows = _logit_sums(design, centre, scale, b)
             for key, r in rows.items():
-                if key in done:
+                if key in done or key in failed:
                     continue
                 dev = r["dev"]
                 # A rise beyond rounding means the step overshot.
@@ -347,7 +367,8 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
                 use = [0, *[j + 1 for j in kept[key]]]
                 inner = hess[np.ix_(use, use)]
                 if not np.all(np.isfinite(inner)) or np.linalg.cond(inner) > 1e14:
-                    raise SeparationError(f"the outcome is separated in slice {key}")
+                    fail(key, "the outcome is separated")
+                    continue
                 inv = np.zeros((k + 1, k + 1))
                 inv[np.ix_(use, use)] = np.linalg.inv(inner)
                 move = inv @ grad
@@ -357,14 +378,16 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
                     continue
                 previous[key] = (dev, b[key])
                 b[key] = b[key] + move
-            if len(done) == len(moments):
+            if len(done) + sum(key in moments for key in failed) == len(moments):
                 break
-        else:
-            raise SeparationError(f"no finite estimate in slices {sorted(set(moments) - done, key=str)[:3]}")
+        for key in set(moments) - done - set(failed):
+            fail(key, f"no estimate after {max_steps} steps")
     finally:
         design.rows.unpersist()
     models = {}
     for key, m in moments.items():
+        if key in failed:
+            continue
         unscale = np.diag([1.0, *(1 / scale[key])])
         beta, cov = _to_raw(m.mean, b[key][1:] / scale[key], b[key][0], unscale @ info[key] @ unscale)
         params = len(kept[key]) + 1
@@ -376,7 +399,7 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
         }
         fit = SliceFit(["(Intercept)", *design.names], beta, cov, m.n, inf, m.mean, m.var_means, stats, [])
         models[key] = _nan_dropped(fit, kept[key])
-    return Fit(spec, source.slices, "logit", models, source)
+    return Fit(spec, source.slices, "logit", models, source, _unfitted(df, source, models, failed))
 
 
 def _logit_sums(design: Design, centre, scale, b):
@@ -397,23 +420,16 @@ def _logit_sums(design: Design, centre, scale, b):
     return _collect(data.groupBy(*design.slices).agg(*sums), design.slices)
 
 
-#: Rows per slice up to which one aggregate may hold all residuals for a median.
-MEDIAN_ROWS = 50_000
 _BINS = 1024
 
 
-def medians(df: DataFrame, slices: Sequence[str], value: Column, counts: dict[tuple, int], direct: int = MEDIAN_ROWS):
-    """Exact median of ``value`` per slice.
+def medians(df: DataFrame, slices: Sequence[str], value: Column, counts: dict[tuple, int]):
+    """Exact median of ``value`` per slice, by narrowing histograms.
 
-    Small slices use one percentile aggregate.  Larger ones are narrowed by
-    histograms: each pass counts values in equal bins of the current range and
-    keeps the bin that holds the middle ranks, so no task ever holds more than
-    the bin counts.
+    Each pass counts values in equal bins of the current range and keeps the bin that holds the middle
+    ranks, so no task ever holds more than the bin counts.
     """
     data = df.select(*slices, value.alias("v"))
-    if max(counts.values()) <= direct:
-        rows = _collect(data.groupBy(*slices).agg(F.expr("percentile(v, 0.5)").alias("m")), slices)
-        return {k: r["m"] for k, r in rows.items()}
     ends = _collect(data.groupBy(*slices).agg(F.min("v").alias("lo"), F.max("v").alias("hi")), slices)
     ranges = {k: [float(r["lo"]), float(r["hi"])] for k, r in ends.items()}
     # Ranks wanted, counted from 0 inside the current range.
@@ -456,8 +472,7 @@ def medians(df: DataFrame, slices: Sequence[str], value: Column, counts: dict[tu
 
 
 def huber(
-    df: DataFrame, spec: Spec, slices: Sequence[str] = (), k: float = HUBER_K, max_steps: int = 100, tol: float = 1e-4,
-    direct: int = MEDIAN_ROWS,
+    df: DataFrame, spec: Spec, slices: Sequence[str] = (), k: float = HUBER_K, max_steps: int = 100, tol: float = 1e-4
 ) -> Fit:
     """Huber M-estimation by reweighted least squares from an OLS start.
 
@@ -481,7 +496,7 @@ def huber(
         while active and steps < max_steps:
             steps += 1
             data = _huber_rows(design, centre, b)
-            meds = medians(data, design.slices, F.abs(F.col("e")), counts, direct)
+            meds = medians(data, design.slices, F.abs(F.col("e")), counts)
             for key in active:
                 scale[key] = meds[key] / MAD_TO_SD
             active = {key for key in active if scale[key] > 0}
@@ -518,7 +533,7 @@ def huber(
                  "converged": float(key not in active)}
         fit = SliceFit(["(Intercept)", *design.names], beta, cov, m.n, inf, m.mean, m.var_means, stats, [])
         models[key] = _nan_dropped(fit, kept[key])
-    return Fit(spec, source.slices, "huber", models, source)
+    return Fit(spec, source.slices, "huber", models, source, _unfitted(df, source, models))
 
 
 def _huber_rows(design: Design, centre, b, extra=None) -> DataFrame:

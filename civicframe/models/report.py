@@ -53,6 +53,11 @@ def coefficients(fit: Fit, level: float = 0.95, exponentiate: bool = False) -> D
     return _frame(fit, fields, rows)
 
 
+def unfitted(fit: Fit) -> DataFrame:
+    """One row per slice without a model, with the reason."""
+    return _frame(fit, [("reason", T.StringType())], [(*key, reason) for key, reason in fit.unfitted.items()])
+
+
 def fit_stats(fit: Fit, omit: str | None = None) -> DataFrame:
     """One row per slice; columns whose name matches the pattern ``omit`` are left out."""
     names = [n for n in next(iter(fit.models.values())).stats if not (omit and re.search(omit, n, re.IGNORECASE))]

@@ -16,17 +16,15 @@ multiplied or shuffled while the index is small enough to broadcast.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 
 #: Index bytes up to which it is broadcast.
 BROADCAST_BYTES = 64 << 20
-#: Polygons in one cell up to which a point scans them as one array.
-SCAN_LIMIT = 256
 #: Most cell sizes in one index; smaller polygons share the smallest.
 MAX_LEVELS = 8
 
@@ -161,31 +159,24 @@ def assign_polygon(
     *,
     rings: str = "rings",
     within: Sequence[str] = (),
-    point_key: Sequence[str] = (),
     broadcast_bytes: int = BROADCAST_BYTES,
-    scan_limit: int = SCAN_LIMIT,
     salt: int = 16,
 ) -> DataFrame:
     """Add column ``name``: the lowest ``key`` whose polygon holds the point, else null.
 
     ``within`` lists columns (such as the state) that must be equal on both
-    sides.  If more than ``scan_limit`` polygons share one cell, candidates are
-    joined as rows and reduced by ``point_key``, the points' unique key.
+    sides.  In a cell that some polygon covers wholly, polygons with a higher key can
+    win no point and are left out, so stacks of large polygons do not crowd the cells.
     """
     cells, levels = _cells(polygons, key, rings, within, broadcast_bytes // 1000)
     if not levels:
         return points.withColumn(name, F.lit(None).cast(polygons.schema[key].dataType))
     at = [*within, "__level", "__ix", "__iy"]
-    per_cell = cells.groupBy(*at).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.size("edges") * 32 + 64).alias("bytes")
-    )
-    size = per_cell.agg(F.max("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    lowest = F.min(F.when(F.col("inside"), F.col("__key"))).over(Window.partitionBy(*at))
+    cells = cells.withColumn("__low", lowest).filter("__low IS NULL OR __key <= __low").drop("__low")
+    size = cells.agg(F.coalesce(F.sum(F.size("edges") * 32 + 64), F.lit(0)).alias("bytes")).first()
     small = size["bytes"] <= broadcast_bytes
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    if size["n"] > scan_limit:
-        return _assign_by_rows(points, px, py, cells, levels, name, within, point_key, small, salt)
-
-    # At most scan_limit polygons per cell, as just measured.
     index = cells.groupBy(*at).agg(
         F.sort_array(F.collect_list(F.struct("__key", "inside", "edges"))).alias("__found")
     )
@@ -200,31 +191,14 @@ def assign_polygon(
     return out.withColumn(name, best).drop(*hits)
 
 
-def _lookup(points: DataFrame, side: DataFrame, on: Sequence[str], small: bool, salt: int, how: str = "left") -> DataFrame:
+def _lookup(points: DataFrame, side: DataFrame, on: Sequence[str], small: bool, salt: int) -> DataFrame:
     """Join the index to the points: broadcast if measured small, else with the cells spread over salts."""
     if small:
-        return points.join(F.broadcast(side), list(on), how)
+        return points.join(F.broadcast(side), list(on), "left")
     cols = [F.col(c) for c in points.columns]
     points = points.withColumn("__salt", F.pmod(F.xxhash64(*cols), F.lit(salt)).cast("int"))
     side = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return points.join(side, [*on, "__salt"], how).drop("__salt")
-
-
-def _assign_by_rows(points, px, py, cells, levels, name, within, point_key, small, salt) -> DataFrame:
-    if not point_key:
-        raise ValueError("many polygons share one cell: pass point_key, the points' unique columns")
-    slim = points.select(*point_key, *within, px.alias("__x"), py.alias("__y"))
-    matches = []
-    for level in levels:
-        side = cells.filter(F.col("__level") == level).drop("__level")
-        near = _lookup(
-            _at_level(slim, F.col("__x"), F.col("__y"), level), side, [*within, "__ix", "__iy"], small, salt, "inner"
-        )
-        held = near.filter(F.col("inside") | contains(F.col("edges"), F.col("__x"), F.col("__y")))
-        matches.append(held.select(*point_key, "__key"))
-    found = reduce(DataFrame.unionByName, matches)
-    best = found.groupBy(*point_key).agg(F.min("__key").alias(name))
-    return points.join(best, list(point_key), "left")
+    return points.join(side, [*on, "__salt"], "left").drop("__salt")
 
 
 def assign_layers(

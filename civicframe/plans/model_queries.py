@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..models import classify, predict, regress, report
+from ..models import classify, many, predict, regress, report
 from ..models.design import Poly, Spec, crossing, with_poly
 from ..operators import joins
 from ..sources.local import small_frame
@@ -234,20 +234,119 @@ def logit_binary(t: Tables) -> DataFrame:
     return _rounded_coefs(report.coefficients(fit, exponentiate=True), 6, ("l_returnflag",))
 
 
-@query("logit_multi")
+#: SQL of the inverse of the symmetric matrix a b c / b d e / c e f.
+_DET = "(a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d))"
+_INVERSE = ", ".join(
+    f"({cell}) / {_DET} AS i{at}"
+    for at, cell in {
+        "11": "d * f - e * e", "12": "c * e - b * f", "13": "b * e - c * d", "22": "a * f - c * c", "23": "b * c - a * e", "33": "a * d - b * b",
+    }.items()
+)
+_NAMES = ["(Intercept)", "l_quantity", "l_discount"]
+
+
+def _sums_sql(weight: str, right: str) -> str:
+    """Weighted cross products of (1, u, v), and their products with ``right``."""
+    pairs = {"a": "1", "b": "u", "c": "v", "d": "u * u", "e": "u * v", "f": "v * v"}
+    sums = [f"sum({weight} * {x}) AS {n}" for n, x in pairs.items()]
+    return ", ".join(sums + [f"sum({right} * {x}) AS g{i}" for i, x in enumerate(("1", "u", "v"), 1)])
+
+
+def _solve_sql(start: bool) -> str:
+    rows = (("11", "12", "13"), ("12", "22", "23"), ("13", "23", "33"))
+    return ", ".join(
+        (f"b{i} + " if start else "") + " + ".join(f"i{at} * g{j}" for j, at in enumerate(row, 1)) + f" AS b{i}" for i, row in enumerate(rows, 1)
+    )
+
+
+def _steps_sql(data: str, first: str, step, n: int) -> str:
+    """CTEs b0, b1, ..: each step's estimates from the last one's."""
+    return f"WITH dat AS ({data}), b0 AS ({first})" + "".join(f", {step(i)}" for i in range(1, n + 1))
+
+
+def _newton(i: int) -> str:
+    return f"""s{i} AS MATERIALIZED (SELECT any_value(b1) AS b1, any_value(b2) AS b2, any_value(b3) AS b3, {_sums_sql("w", "r")} FROM (
+        SELECT *, p * (1 - p) AS w, y - p AS r FROM (SELECT *, 1 / (1 + exp(-(b1 + b2 * u + b3 * v))) AS p FROM dat, b{i - 1}))),
+    b{i} AS MATERIALIZED (SELECT *, {_solve_sql(True)} FROM (SELECT b1 AS o1, b2 AS o2, b3 AS o3, * EXCLUDE (b1, b2, b3), b1, b2, b3, {_INVERSE} FROM s{i}))"""
+
+
+def _newton_sql(steps: int = 9) -> str:
+    def estimates(i: int) -> str:
+        # The new b columns follow the old ones of the same name, so the step names them apart.
+        return _newton(i).replace("SELECT *, b1 +", "SELECT i11, i22, i33, b1 +", 1)
+
+    sql = _steps_sql(
+        "SELECT CASE WHEN l_linestatus = 'F' THEN 1.0::DOUBLE ELSE 0.0 END AS y, l_quantity AS u, l_discount AS v FROM lineitem",
+        "SELECT 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3", estimates, steps,
+    )
+    rows = [
+        f"SELECT '{name}' AS term, round(exp(b{k}), 6) AS estimate, round(sqrt(i{k}{k}), 6) AS std_error, "
+        f"round(exp(b{k} - {Z95} * sqrt(i{k}{k})), 6) AS conf_low, round(exp(b{k} + {Z95} * sqrt(i{k}{k})), 6) AS conf_high FROM b{steps}"
+        for k, name in enumerate(_NAMES, 1)
+    ]
+    return sql + " " + " UNION ALL ".join(rows)
+
+
+@query("logit_multi", _newton_sql())
 def logit_multi(t: Tables) -> DataFrame:
-    spec = Spec.of("late", Poly("l_quantity", 2), "l_discount", "l_tax")
-    return _rounded_coefs(report.coefficients(regress.logit(_late(t), spec), exponentiate=True), 6)
+    fit = regress.logit(_late(t), Spec.of("late", "l_quantity", "l_discount"))
+    return _rounded_coefs(report.coefficients(fit, exponentiate=True), 6)
+
+
+def _reweight(i: int) -> str:
+    return f"""r{i} AS MATERIALIZED (SELECT *, y - (b1 + b2 * u + b3 * v) AS x FROM dat, b{i - 1}),
+    m{i} AS MATERIALIZED (SELECT median(abs(x)) / {regress.MAD_TO_SD} AS s FROM r{i}),
+    t{i} AS MATERIALIZED (SELECT {_sums_sql("w", "w * y")} FROM (
+        SELECT *, CASE WHEN abs(x) <= {regress.HUBER_K} * s THEN 1 ELSE {regress.HUBER_K} * s / abs(x) END AS w FROM r{i}, m{i})),
+    b{i} AS MATERIALIZED (SELECT {_solve_sql(False)} FROM (SELECT *, {_INVERSE} FROM t{i}))"""
+
+
+def _huber_sql(steps: int = 30) -> str:
+    first = f"SELECT {_solve_sql(False)} FROM (SELECT *, {_INVERSE} FROM (SELECT {_sums_sql('1', 'y')} FROM dat))"
+    sql = _steps_sql("SELECT l_extendedprice AS y, l_quantity AS u, l_discount AS v FROM lineitem", first, _reweight, steps)
+    sql += f""", base AS (SELECT a AS n, {_INVERSE} FROM (SELECT {_sums_sql('1', 'y')} FROM dat)),
+    ends AS (SELECT count(*) AS n, count(*) FILTER (abs(x) <= {regress.HUBER_K} * s) / count(*) AS share,
+                    sum(CASE WHEN abs(x) <= {regress.HUBER_K} * s THEN x * x ELSE power({regress.HUBER_K} * s, 2) END) AS we2
+             FROM (SELECT y - (b1 + b2 * u + b3 * v) AS x FROM dat, b{steps}), m{steps}),
+    sigma AS (SELECT sqrt(we2 / (n - 3)) * (1 + 3 * (share * (1 - share) * n / (n - 1)) / (n * share * share)) / share AS s FROM ends),
+    plain AS (SELECT sqrt(sum(power(y - (b1 + b2 * u + b3 * v), 2)) / (count(*) - 3)) AS s FROM dat, b0)"""
+    rows = []
+    for name, b, s, crit in (("huber", f"b{steps}", "sigma", Z95), ("ols", "b0", "plain", _t_quantile(Z95, "n - 3"))):
+        rows += [
+            f"SELECT '{name}' AS estimator, '{term}' AS term, {_coef_columns(f'b{k}', f's * sqrt(i{k}{k})', crit, 1)} FROM {b}, {s}, base"
+            for k, term in enumerate(_NAMES, 1)
+        ]
+    return sql + " " + " UNION ALL ".join(rows)
 
 
-@query("huber_m")
+ROBUST = Spec.of("l_extendedprice", "l_quantity", "l_discount")
+
+
+@query("huber_m", _huber_sql())
 def huber_m(t: Tables) -> DataFrame:
-    spec = Spec.of("l_extendedprice", Poly("l_quantity", 2), "l_discount")
-    pairs = [
-        predict.labelled(report.coefficients(regress.fit(t.lineitem, spec, name)), estimator=name)
-        for name in ("huber", "ols")
-    ]
-    return _rounded_coefs(joins.stack(*pairs), keep=("estimator",))
+    robust = report.coefficients(regress.fit(t.lineitem, ROBUST, "huber", tol=1e-8))
+    plain = report.coefficients(regress.fit(t.lineitem, ROBUST, "ols"))
+    pairs = [predict.labelled(robust, estimator="huber"), predict.labelled(plain, estimator="ols")]
+    return _rounded_coefs(joins.stack(*pairs), 1, keep=("estimator",))
+
+
+@query(
+    "ols_many_slices",
+    """
+    WITH l AS (SELECT l_orderkey, l_quantity AS x, CASE WHEN l_orderkey % 7 <> 0 THEN ln(l_extendedprice) END AS y FROM lineitem),
+    g AS (SELECT l_orderkey, count(y) AS n, regr_sxx(y, x) AS sxx, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(y) AS m FROM l GROUP BY 1)
+    SELECT l_orderkey, n AS nobs, CASE WHEN n = 0 THEN 'no complete rows' WHEN n = 1 OR sxx = 0 THEN 'dropped terms' WHEN n = 2 THEN 'no freedom' ELSE 'ok' END AS status,
+           round(CASE WHEN n = 1 OR sxx = 0 THEN m ELSE a END, 8) AS intercept, round(CASE WHEN n > 1 AND sxx > 0 THEN b END, 8) AS slope
+    FROM g
+    """,
+)
+def ols_many_slices(t: Tables) -> DataFrame:
+    """A model for every order; many orders are too small, constant or without any outcome."""
+    known = F.when(F.col("l_orderkey") % 7 != 0, F.ln("l_extendedprice"))
+    rows = t.lineitem.select("l_orderkey", "l_quantity", known.alias("price"))
+    terms = many.ols(rows, Spec.of("price", "l_quantity"), ["l_orderkey"])
+    first, second = (F.max(F.when(F.col("term") == n, F.col("estimate"))) for n in ("(Intercept)", "l_quantity"))
+    return terms.groupBy("l_orderkey", "nobs", "status").agg(rounded(first, 8).alias("intercept"), rounded(second, 8).alias("slope"))
 
 
 LABELS = {"l_quantity": "Quantity", "(Intercept)": "Intercept"}

@@ -112,6 +112,27 @@ def point_in_polygon_by_state(t: Tables) -> DataFrame:
     return found.select("o_orderkey", "state", "zone")
 
 
+@query(
+    "point_in_many_polygons",
+    """
+    WITH pts AS (SELECT o_orderkey, o_totalprice / 10000 AS x, ((o_custkey * 7 + o_orderkey) % 5000) / 100.0::DOUBLE AS y FROM orders),
+    box AS (SELECT p_partkey, (p_partkey * 37 % 5000) / 100.0::DOUBLE AS cx, (p_partkey * 91 % 5000) / 100.0::DOUBLE AS cy,
+                   p_size * p_size / 512.0::DOUBLE AS h FROM part)
+    SELECT o_orderkey, min(p_partkey) AS part FROM pts
+      LEFT JOIN box ON x >= cx - h AND x < cx + h AND y >= cy - h AND y < cy + h GROUP BY o_orderkey
+    """,
+)
+def point_in_many_polygons(t: Tables) -> DataFrame:
+    """A square for every part, of mixed sizes and over each other; a point belongs to the lowest part."""
+    key = F.col("p_partkey")
+    half = F.col("p_size") * F.col("p_size") / 512.0
+    cx, cy = (key * 37 % 5000) / 100.0, (key * 91 % 5000) / 100.0
+    corner = lambda sx, sy: F.struct((cx + half * sx).alias("x"), (cy + half * sy).alias("y"))
+    rings = F.array(F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)))
+    squares_ = t.part.select(key.alias("part"), rings.alias("rings"))
+    return spatial.assign_polygon(order_points(t), "x", "y", squares_, "part", "part").select("o_orderkey", "part")
+
+
 @query(
     "centroid",
     _SHAPES

@@ -48,10 +48,16 @@ def test_breaks_from_rows(frame):
     assert classify.jenks_breaks(df, "x", 2, round_to=10) == [0, 30, 80]
 
 
-def test_too_many_values(frame, monkeypatch):
-    monkeypatch.setattr(classify, "MAX_DISTINCT", 3)
-    with pytest.raises(ValueError, match="round_to"):
-        classify.jenks_breaks(frame("x int", (1,), (2,), (3,), (4,)), "x", 2)
+@pytest.mark.parametrize("seed", range(3))
+def test_many_values_are_summed_up_in_ranges(frame, monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    values = np.concatenate([rng.normal(m, 3, 150) for m in (0, 40, 90)] + [np.full(50, 40.5)]).tolist()
+    df = frame("x double", *[(v,) for v in values])
+    distinct, counts = np.unique(values, return_counts=True)
+    monkeypatch.setattr(classify, "RANGES", 16)
+    assert classify.jenks_breaks(df, "x", 3) == classify.fisher_breaks(distinct, counts, 3)
+    few = frame("x double", *[(float(v),) for v in range(5)] * 4)
+    assert classify.jenks_breaks(few, "x", 3) == classify.fisher_breaks(range(5), [4] * 5, 3)
 
 
 def test_labels(frame):

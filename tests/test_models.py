@@ -8,6 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from civicframe.models import design as D
+from civicframe.models import many
 from civicframe.models import predict as P
 from civicframe.models import regress as R
 from civicframe.models import report
@@ -180,6 +181,45 @@ def test_separation_and_constant_outcomes_raise(frame):
         R.logit(same, D.Spec.of("y", "x"))
 
 
+def test_no_slice_is_lost(frame):
+    rows_in = [("a", float(i), float(2 * i + i % 3)) for i in range(12)] + [("flat", 5.0, float(i)) for i in range(4)]
+    rows_in += [("empty", None, 1.0), ("empty", 2.0, None), (None, 1.0, 2.0), (None, 2.0, 5.0), (None, 4.0, 6.0), ("one", 1.0, 1.0)]
+    df = frame("g string, x double, y double", *rows_in)
+    fit = R.ols(df, D.Spec.of("y", D.Poly("x", 2)), slices=["g"])
+    assert set(fit.models) == {("a",), (None,)}
+    assert set(fit.unfitted) == {("flat",), ("empty",), ("one",)}
+    assert {r["g"] for r in report.unfitted(fit).collect()} == {"flat", "empty", "one"}
+    binary_rows = frame("g string, x double, y int", *[("mixed", float(i % 5), int(i % 3 == 0)) for i in range(30)], *[("apart", float(i), int(i > 4)) for i in range(10)], ("same", 1.0, 1))
+    logit = R.logit(binary_rows, D.Spec.of("y", "x"), slices=["g"])
+    assert set(logit.models) == {("mixed",)} and set(logit.unfitted) == {("apart",), ("same",)}
+
+
+def test_many_slices_in_tables(frame, data):
+    rng = np.random.default_rng(3)
+    rows_in = []
+    for g in range(300):
+        n = int(rng.integers(0, 9))
+        rows_in += [(g, float(rng.integers(0, 4)), None if g % 7 == 0 else float(rng.normal())) for _ in range(n)] or [(g, None, 1.0)]
+    rows_in += [(None, float(i), float(i * i)) for i in range(5)]
+    df = frame("g int, x double, y double", *rows_in)
+    got = many.ols(df, D.Spec.of("y", "x"), ["g"]).collect()
+    assert len(got) == 2 * len({r[0] for r in rows_in})
+    for r in got:
+        pairs = [(x, y) for g, x, y in rows_in if g == r["g"] and x is not None and y is not None]
+        assert r["nobs"] == len(pairs)
+        xs = {x for x, _ in pairs}
+        assert r["status"] == ("no complete rows" if not pairs else "dropped terms" if len(xs) == 1 else "no freedom" if len(pairs) == 2 else "ok")
+        if len(xs) > 1:
+            slope, intercept = np.polyfit(*map(np.array, zip(*pairs)), 1)
+            assert r["estimate"] == pytest.approx(intercept if r["term"] == "(Intercept)" else slope, abs=1e-9)
+    plan = many.ols(df, D.Spec.of("y", "x"), ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "CartesianProduct" not in plan
+    same = {(r["g"], r["term"]): r for r in many.ols(data, SPEC, ["g"]).collect()}
+    for r in report.coefficients(R.ols(data, SPEC, slices=["g"])).collect():
+        for c in ("estimate", "std_error", "p_value", "conf_low", "conf_high"):
+            assert same[r["g"], r["term"]][c] == pytest.approx(r[c], rel=1e-6, abs=1e-9)
+
+
 def test_odds_ratios(data):
     fit = R.logit(binary(data), D.Spec.of("hit", "z"))
     plain = {r["term"]: r for r in report.coefficients(fit).collect()}
@@ -210,10 +250,9 @@ def numpy_huber(X, y, k=1.345, tol=1e-4):
     return beta, sigma * np.sqrt(np.diag(np.linalg.inv(X.T @ X)))
 
 
-@pytest.mark.parametrize("direct", [10**6, 0])
 @pytest.mark.parametrize("keep", [None, "u"])
-def test_huber(data, direct, keep):
-    fit = R.huber(data, SPEC, slices=["g"] if keep else [], direct=direct)
+def test_huber(data, keep):
+    fit = R.huber(data, SPEC, slices=["g"] if keep else [])
     m = fit.models[(keep,) if keep else ()]
     beta, se = numpy_huber(*numpy_design(keep))
     assert np.allclose(m.beta, beta, rtol=1e-7, atol=1e-8)
@@ -233,9 +272,8 @@ def test_exact_medians(spark, values):
     pool = {"a": [float(v) for v in values], "b": rng.lognormal(0, 4, 501).tolist()}
     df = small_frame(spark, [(k, v) for k, vs in pool.items() for v in vs], "k string, v double")
     counts = {(k,): len(vs) for k, vs in pool.items()}
-    for direct in (10**6, 0):
-        got = R.medians(df, ["k"], F.col("v"), counts, direct)
-        assert all(math.isclose(got[(k,)], float(np.median(vs)), rel_tol=1e-15) for k, vs in pool.items())
+    got = R.medians(df, ["k"], F.col("v"), counts)
+    assert all(math.isclose(got[(k,)], float(np.median(vs)), rel_tol=1e-15) for k, vs in pool.items())
 
 
 def test_students_t():

@@ -66,8 +66,6 @@ def expected(data, shapes, by_state):
 PATHS = {
     "broadcast": {},
     "salted": {"broadcast_bytes": 0},
-    "rows": {"scan_limit": 0, "point_key": ["pid"]},
-    "salted rows": {"scan_limit": 0, "point_key": ["pid"], "broadcast_bytes": 0},
 }
 
 
@@ -86,9 +84,18 @@ def test_assignment(spark, cloud, path, by_state):
     assert found == expected(data, SHAPES, by_state)
 
 
-def test_crowded_cells_need_a_point_key(spark, cloud):
-    with pytest.raises(ValueError, match="point_key"):
-        spatial.assign_polygon(cloud, "x", "y", polygons(spark, SHAPES).drop("state"), "id", "hit", scan_limit=0)
+def test_crowded_cells(spark, cloud):
+    """Hundreds of polygons over the same place, of mixed sizes."""
+    rng = random.Random(4)
+    shapes = []
+    for i in range(400):
+        half = 10 ** rng.uniform(-1, 1.2)
+        cx, cy = rng.uniform(3, 7), rng.uniform(2, 6)
+        shapes.append((i, "A", [ring((cx - half, cy - half), (cx + half, cy - half), (cx + half, cy + half), (cx - half, cy + half))]))
+    shapes = [(400 - i, s, r) for i, s, r in shapes]
+    got = spatial.assign_polygon(cloud, "x", "y", polygons(spark, shapes).drop("state"), "id", "hit")
+    data = [tuple(r) for r in cloud.collect()]
+    assert {r["pid"]: r["hit"] for r in got.collect()} == expected(data, shapes, False)
 
 
 def test_random_triangles(spark, cloud):
