@@ -26,12 +26,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_text, byte_sizes, distinct, runs, spread
+from .common import arrow_text, byte_sizes, distinct, freed, runs, small_batches, spread
 
 #: Rounds of one recursive query; words that need more go into the next query.
 ROUNDS = 24
 #: Bytes of words merged by one query, ids decoded by one query, bytes of text handled at once, pieces remembered.
-MERGE_BYTES, DECODE_IDS, TEXT_BYTES, REMEMBERED = 1_000_000, 500_000, 8_000_000, 800_000
+MERGE_BYTES, DECODE_IDS, TEXT_BYTES, REMEMBERED = 500_000, 250_000, 4_000_000, 400_000
 
 #: Unicode white space, as the pattern's engine has it (Python's own \s also counts four control characters).
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -210,7 +210,7 @@ def encode(
                     id_col: batch.column("id").slice(a, b - a), "n_tokens": pa.array(counts),
                     "ids_sha256": [hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for x in said],
                     "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in raw],
-                    "decoded_equal": [x == memoryview(t.as_buffer()) for x, t in zip(raw, part)],
+                    "decoded_equal": [x == t.as_buffer().to_pybytes() for x, t in zip(raw, part)],
                 }
                 if with_ids:
                     out["ids"] = _lists(ids, counts, pa.array(ids))
@@ -218,5 +218,5 @@ def encode(
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_equal boolean"
-    rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
-    return rows.mapInArrow(digest, schema + (", ids array<int>" if with_ids else ""))
+    rows = small_batches(docs).selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
+    return rows.mapInArrow(freed(digest), schema + (", ids array<int>" if with_ids else ""))

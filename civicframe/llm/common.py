@@ -69,6 +69,44 @@ def labelled_sample(
     return texts.join(F.broadcast(chosen), "__id")
 
 
+#: Bytes of an Arrow batch; executors and their Python workers hold a few at a time.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; batches to Python are bounded in bytes, since texts differ widely in length."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if int(conf.get(name).rstrip("bB")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def joined_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches, of ``size`` bytes or a little more."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def freed(run):
+    """``run``, a function of batches, returning unused memory to the system when a partition ends."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return inner
+
+
 def arrow_text(column) -> pa.StringArray:
     """A text column of an Arrow batch as one string array without nulls."""
     if isinstance(column, pa.ChunkedArray):

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_text, byte_sizes, distinct, id_remainder, labelled_sample, runs, split_words
+from .common import arrow_text, byte_sizes, distinct, freed, id_remainder, labelled_sample, runs, small_batches, split_words
 
 BITS = 18
 SCALE = 10.0
-TEXT_BYTES = 8_000_000
+TEXT_BYTES = 3_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _AGAIN, _TWIN = np.uint64(1), np.uint64(2)
 
@@ -123,7 +123,7 @@ def fit(
             columns = [batch.column("key"), batch.column("label"), pa.array(slots, pa.binary()), pa.array(values, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "label", "slots", "values"])
 
-    sample = labelled_sample(docs, labels, target, most, id_col=id_col, text_col=text_col)
+    sample = labelled_sample(small_batches(docs), labels, target, most, id_col=id_col, text_col=text_col)
     sample = sample.select(F.xxhash64("__id").alias("key"), "label", "text")
     found = sample.mapInArrow(rows, "key long, label int, slots binary, values binary").collect()
     found.sort(key=lambda r: (r["key"], bytes(r["slots"])))
@@ -145,8 +145,8 @@ def apply(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     names = [id_col, "held_out", "score", "predicted"]
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), (id_remainder(id_col, 3) == 1).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), (id_remainder(id_col, 3) == 1).alias("held_out"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(freed(run), f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
 
 
 def keep(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -156,4 +156,4 @@ def keep(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: fl
         for batch in batches:
             yield batch.filter(pa.array(model.score(arrow_text(batch.column(text_col))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(freed(run), docs.schema)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_text, byte_sizes, id_remainder, labelled_sample, runs, split_words, spread
+from .common import arrow_text, byte_sizes, freed, id_remainder, labelled_sample, runs, small_batches, split_words, spread
 
 WINDOW, STRIDE = 64, 48
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
@@ -37,7 +37,7 @@ LEAST_TEXTS, VOCABULARY = 6, 20_000
 #: Window scores are kept between this logit and its opposite.
 LOWEST = -8.0
 #: Bytes of text and windows handled at once.
-TEXT_BYTES, WINDOWS = 6_000_000, 4096
+TEXT_BYTES, WINDOWS = 4_000_000, 4096
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _IS_CORE = np.zeros(256, bool)
 _IS_CORE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -404,5 +404,5 @@ def apply(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays(columns, [id_col, "held_out", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), (id_remainder(id_col, 3) == 1).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), (id_remainder(id_col, 3) == 1).alias("held_out"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(freed(run), f"`{id_col}` {kind}, held_out boolean, score double, predicted int")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import freed, small_batches, text_or_empty
 
 #: Element names of the HTML standard.
 BLOCK_TAGS = frozenset(
@@ -265,5 +265,5 @@ def apply(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ht
             })
 
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInPandas(run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long, n_blocks int")
+    rows = small_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    return rows.mapInPandas(freed(run), f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long, n_blocks int")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, text_or_empty, words_of
+from .common import freed, labelled_sample, small_batches, text_or_empty, words_of
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = (
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2000, *, id_col: str = "
             rows = [line_rows(t)[0].astype(np.float32).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"__id": batch["__id"].astype(str), "label": batch["label"], "rows": rows})
 
-    sample = labelled_sample(docs, labels, "quality", most, id_col=id_col, text_col=text_col)
+    sample = labelled_sample(small_batches(docs), labels, "quality", most, id_col=id_col, text_col=text_col)
     found = sample.mapInPandas(features, "__id string, label int, rows binary").collect()
     found.sort(key=lambda r: (r["__id"], bytes(r["rows"])))
     sequences = [np.frombuffer(r["rows"], np.float32).reshape(-1, len(FEATURES)) for r in found]
@@ -218,8 +218,8 @@ def apply(
         f"`{id_col}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "base_failed boolean, kept boolean, content_words long"
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, schema + (", content string" if with_text else ""))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(freed(run), schema + (", content string" if with_text else ""))
 
 
 def keep(docs: DataFrame, field: LineField, *, text_col: str = "text") -> DataFrame:
@@ -229,4 +229,4 @@ def keep(docs: DataFrame, field: LineField, *, text_col: str = "text") -> DataFr
         for batch in batches:
             yield batch[[judge(text_or_empty(t), field)[6] for t in batch[text_col]]]
 
-    return docs.mapInPandas(run, docs.schema)
+    return small_batches(docs).mapInPandas(freed(run), docs.schema)

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_text, byte_sizes, runs, spread
+from .common import arrow_text, byte_sizes, freed, runs, small_batches, spread
 
 Q = 12
 #: Edits allowed in a passage, as a share of its characters.
 EDIT_RATE = 0.06
 #: Characters of benchmark text held at once, bytes of document text handled at once.
-BLOCK_CHARS, TEXT_BYTES = 2_000_000, 4_000_000
+BLOCK_CHARS, TEXT_BYTES = 2_000_000, 3_000_000
 _BASE = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
@@ -204,7 +204,7 @@ def apply(
     """
     kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
     schema = f"`{id_col}` {kind.simpleString()}, `{item_col}` {item_kind.simpleString()}, begin long, end long, edits int"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = None
     for passages in blocks(benchmark, id_col=item_col, text_col=item_text):
         held = docs.sparkSession.sparkContext.broadcast(passages)
@@ -218,7 +218,7 @@ def apply(
                 yield pa.RecordBatch.from_arrays(columns, [id_col, item_col, "begin", "end", "edits"])
 
         item_type = _arrow_type(item_kind)
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(freed(run), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -242,5 +242,5 @@ def keep(
                 clean[[d for d, *_ in _found(arrow_text(batch.column(text_col)), held.value)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(freed(run), docs.schema)
     return docs

@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut_lineage, scratch_dir
-from .common import arrow_text, byte_sizes, runs, split_words
+from .common import arrow_text, byte_sizes, freed, runs, small_batches, split_words
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
-TEXT_BYTES = 8_000_000
+TEXT_BYTES = 3_000_000
 #: Bits of the six blocks; distance 2 leaves four of them equal.
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Children of a node, and searches carried on at once.
@@ -232,7 +232,7 @@ def apply(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes)], ["id", "code"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, code long")
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(freed(run), f"id {kind}, code long")
     rows = cut_lineage(rows)
     out = rows.join(_placed(rows).select("code", "component_id"), "code")
     fingerprint = F.lower(F.lpad(F.hex("code"), 16, "0"))
@@ -253,7 +253,7 @@ def keep(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
     spark, folder = docs.sparkSession, scratch_dir(docs.sparkSession)
     schema = StructType([*docs.schema.fields, StructField("__code", LongType())])
-    docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()).write.parquet(folder)
+    small_batches(docs).mapInArrow(freed(run), schema).withColumn("__row", F.monotonically_increasing_id()).write.parquet(folder)
     marked = spark.read.parquet(folder)
     rows = marked.select(F.col(id_col).alias("id"), F.col("__code").alias("code"), F.col("__row").alias("row"))
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))["row"]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import html_blocks
-from .common import text_or_empty
+from .common import freed, small_batches, text_or_empty
 
 VERSION = "WARC/1.1"
 _END = b"\r\n\r\n"
@@ -173,11 +173,11 @@ def responses(
             yield pd.DataFrame({id_col: batch["id"].to_numpy(), "record": found})
 
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(
+    rows = small_batches(pages).select(
         F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"),
         F.col(url_col).alias("url"), F.col(html_col).alias("html"),
     )
-    return rows.mapInPandas(run, f"`{id_col}` {kind}, record binary")
+    return rows.mapInPandas(freed(run), f"`{id_col}` {kind}, record binary")
 
 
 def apply(records: DataFrame, *, id_col: str = "page_id", record_col: str = "record") -> DataFrame:
@@ -196,5 +196,5 @@ def apply(records: DataFrame, *, id_col: str = "page_id", record_col: str = "rec
             yield out
 
     kind = records.schema[id_col].dataType.simpleString()
-    rows = records.select(F.col(id_col).alias("id"), F.col(record_col).alias("record"))
-    return rows.mapInPandas(run, f"`{id_col}` {kind}, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items()))
+    rows = small_batches(records).select(F.col(id_col).alias("id"), F.col(record_col).alias("record"))
+    return rows.mapInPandas(freed(run), f"`{id_col}` {kind}, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items()))
