@@ -8,7 +8,7 @@ comes back: one that cannot be fitted has a status that says why.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 from math import isnan
 
 import numpy as np
@@ -21,6 +21,7 @@ from .design import PolyConst, Spec, _numeric, part_columns, term_columns, term_
 from .dist import critical, t_two_sided
 from .regress import _cross_sums, _pairs, _solve
 
+_critical = lru_cache(4096)(critical)
 _FIELDS = ("estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high")
 
 
@@ -111,7 +112,7 @@ def _solved(n, means, products, k: int, names: Sequence[str], level: float) -> l
     variance = max(0.0, full[k, k] - b @ full[:k, k]) / freedom if freedom > 0 else np.nan
     m = means[:k]
     ses = np.sqrt(variance * np.concatenate([[1 / n + m @ inv @ m], np.diag(inv)]))
-    crit, out = critical(level, freedom), []
+    crit, out = _critical(level, freedom), []
     for i, (name, est, se) in enumerate(zip(names, [means[k] - b @ m, *b], ses)):
         if i and i - 1 not in kept:
             out.append((status, n, name, *[None] * 6))
