@@ -33,14 +33,14 @@ from ..session import scratch_dir
 from .common import arrow_text, byte_sizes, hash_words, id_remainder, runs, split_words
 
 #: Bytes of text in a chunk (one longer text is a chunk of its own), tokens of the corpus per shard.
-CHUNK_BYTES, SHARD_TOKENS = 8_000_000, 2_000_000
-SALTS = 16
+CHUNK_BYTES, SHARD_TOKENS = 12_000_000, 2_000_000
+SALTS = 8
 #: Weight of the prior, in tokens.
 MU = 400.0
 END, START = np.uint64(0x0E4D000000000001), np.uint64(0x57A2700000000001)
 _MIX, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bits of a follower's number; the rest of a 64-bit key is the place of its context.
-CHILD_BITS = 40
+CHILD_BITS = 32
 _SKIP = 64
 _POP = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 _NTH = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
