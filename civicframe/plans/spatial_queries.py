@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric, text
 from ..functions.nulls import weighted_mean
 from ..operators import aggregate, joins, spatial
+from . import study
 from .crosswalk import areal_share, score_by_area
 from .registry import Tables, query, rounded
 
@@ -187,6 +188,26 @@ def areal_crosswalk(t: Tables) -> DataFrame:
     return scores.select("GEOID", "chamber", rounded("resent").alias("resent"), "n")
 
 
+@query(
+    "block_crosswalk",
+    _SHAPES + _BLOCKS.replace("l_suppkey,", "l_suppkey, l_suppkey % 5 AS pstate,")
+    + f""" SELECT zone AS upper, strip AS lower, zip, count(*) AS blocks, CAST(sum(pop) AS BIGINT) AS people
+           FROM b LEFT JOIN {_hits('b', 'zone_edges', 'zone', also='AND pstate = state')} USING (id)
+           LEFT JOIN {_hits('b', 'strip_edges', 'strip', also='AND pstate = strip')} USING (id)
+           LEFT JOIN {_hits('b', 'square_edges', 'zip')} USING (id) GROUP BY ALL""",
+)
+def block_crosswalk(t: Tables) -> DataFrame:
+    """Blocks in the districts of their own state and in postal areas of any."""
+    rows = blocks(t).select(
+        "POP20", (F.col("l_suppkey") % 5).cast("int").alias("state"), F.col("x").cast("string").alias("INTPTLON20"), F.col("y").cast("string").alias("INTPTLAT20")
+    )
+    upper = zones(t).withColumnRenamed("zone", "GEOID")
+    lower = strips(t).select(F.col("strip").alias("GEOID"), F.col("strip").alias("state"), "rings")
+    zips = squares(t).withColumnRenamed("zip", "GEOID")
+    placed = study.block_crosswalk(rows, upper, lower, zips)
+    return placed.groupBy("upper", "lower", "zip").agg(F.count(F.lit(1)).alias("blocks"), F.sum("POP20").alias("people"))
+
+
 @query(
     "crosswalk_fallback",
     _SHAPES + _BLOCKS + _ORDER_POINTS

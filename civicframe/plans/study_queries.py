@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.local import small_frame
 from . import study
-from .registry import Tables, query
+from .registry import Tables, query, rounded
 
 PARTIES = ["R", "D", "I", "L"]
 
@@ -137,3 +137,110 @@ def district_seats(t: Tables) -> DataFrame:
     seats = study.district_sponsors(rows, overrides, states, ["state", "district"])
     named = seats.select("chamber", F.col("district").alias("GEOID"), *[c for c in seats.columns if c.startswith("n_")])
     return study.by_impact(named, ["chamber", "GEOID"])
+
+
+@query(
+    "canonical_bills",
+    """
+    WITH b AS (SELECT o_orderkey AS bill_id, o_custkey % 40 AS session_id, ['FL', 'NY', 'RI', 'TX'][o_custkey % 4 + 1] AS state,
+                      'H' || lpad((o_orderkey % 500)::VARCHAR, 4, '0') AS number, o_orderkey % 11 = 0 AS bad, o_orderkey % 500 AS plain,
+                      year(o_orderdate)::VARCHAR AS year, 'dump_' || (o_orderkey % 3) AS file FROM orders),
+    s AS (SELECT range AS session_id, CASE range % 3 WHEN 0 THEN '' WHEN 1 THEN '(S)' ELSE '(S-2)' END AS session FROM range(39)),
+    k AS (SELECT bill_id, b.session_id, file,
+                 state || ' ' || CASE WHEN bad AND state <> 'TX' THEN number || 'A' WHEN state IN ('FL', 'NY') THEN 'HB' || plain WHEN state = 'RI' THEN 'H' || plain
+                                      ELSE number || CASE WHEN bad THEN 'A' ELSE '' END END AS bill_merge,
+                 trim(year || ' ' || coalesce(session, 'NA')) AS year
+          FROM b LEFT JOIN s ON s.session_id = b.session_id)
+    SELECT bill_merge, year, bill_id FROM k QUALIFY row_number() OVER (PARTITION BY bill_merge, year ORDER BY session_id, file, bill_id) = 1
+    """,
+)
+def canonical_bills(t: Tables) -> DataFrame:
+    """Orders as bills of four states; every eleventh has a number that cannot be read, one session is unknown."""
+    key = F.col("o_orderkey")
+    state = F.get(F.array(*[F.lit(x) for x in ("FL", "NY", "RI", "TX")]), (F.col("o_custkey") % 4).cast("int"))
+    number = F.concat(F.lit("H"), F.lpad((key % 500).cast("string"), 4, "0"), F.when(key % 11 == 0, "A").otherwise(""))
+    day = F.col("o_orderdate").cast("date")
+    bills = t.orders.select(
+        key.alias("bill_id"), (F.col("o_custkey") % 40).alias("session_id"), number.alias("bill_number"),
+        F.when(key % 5 != 0, day).alias("status_date"), F.date_format(day, "yyyy-MM-dd").alias("last_action_date"),
+        F.concat(F.lit("https://legiscan.com/"), state, F.lit("/bill")).alias("url"), _dump("o_orderkey").alias("file"),
+    )
+    kinds = F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "(S)").otherwise("(S-2)")
+    sessions = t.spark.range(39).select(F.col("id").alias("session_id"), kinds.alias("session"))
+    return study.canonical_bills(bills, sessions).select("bill_merge", "year", "bill_id")
+
+
+@query(
+    "clean_provisions",
+    """
+    WITH l AS (SELECT *, CASE l_linenumber % 4 WHEN 0 THEN 'R' WHEN 1 THEN 'N' WHEN 2 THEN 'E' END AS impact,
+                      CASE l_returnflag WHEN 'A' THEN 'voter id' WHEN 'N' THEN 'early' END AS grp FROM lineitem)
+    SELECT 'S' || (l_orderkey % 3) AS state, grp AS "group", impact, l_linestatus = 'F' AS pass, count(*) AS n, count(DISTINCT l_orderkey) AS bills
+    FROM l JOIN orders ON o_orderkey = l_orderkey AND year(o_orderdate) = year(l_shipdate)
+    WHERE impact IS NOT NULL AND grp IS NOT NULL GROUP BY ALL
+    """,
+)
+def clean_provisions(t: Tables) -> DataFrame:
+    """Line items as provisions of orders; a provision finds its bill if both fall in the same year."""
+    state = F.concat(F.lit("S"), (F.col("l_orderkey") % 3).cast("string"))
+    words = F.array(*[F.lit(x) for x in ("Restrictive", "neutral", "Expansive", "unknown")])
+    key = lambda c: F.concat(F.lit("TX "), F.col(c).cast("string"))
+    day = F.col("l_shipdate").cast("date")
+    provisions = t.lineitem.select(
+        state.alias("state"), F.concat(F.lit("B"), F.col("l_orderkey").cast("string")).alias("bill"), F.col("l_returnflag").alias("subject"),
+        F.get(words, F.col("l_linenumber") % 4).alias("impact"), F.year(day).cast("string").alias("year"), key("l_orderkey").alias("bill_merge"),
+        day.alias("date_added"), (F.col("l_linestatus") == "F").alias("pass"),
+    )
+    bills = t.orders.select(
+        F.col("o_orderkey").alias("bill_id"), F.lit("t").alias("title"), _dump("o_orderkey").alias("file"), key("o_orderkey").alias("bill_merge"),
+        F.year(F.col("o_orderdate").cast("date")).cast("string").alias("year"),
+    )
+    groupings = small_frame(t.spark, [("a", "voter id"), ("n", "early")], "subject string, group string")
+    rows = study.clean_provisions(provisions, bills, groupings)
+    return rows.groupBy("state", "group", "impact", "pass").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("bill_id").alias("bills"))
+
+
+@query(
+    "state_panel_study",
+    """
+    WITH c AS (SELECT c_nationkey AS k, count(*) AS people, avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END) AS white FROM customer GROUP BY 1),
+    s AS (SELECT s_nationkey AS k, avg(CASE WHEN s_acctbal > 0 THEN 1.0 ELSE 0.0 END) AS before FROM supplier GROUP BY 1),
+    p AS (SELECT c_nationkey AS k, count(*) FILTER (l_returnflag <> 'N') AS intro, count(*) FILTER (l_returnflag <> 'N' AND l_linestatus = 'F') AS passed
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+    v AS (SELECT c_nationkey AS k, y, CASE WHEN d > 0 THEN d / (d + r) END AS share FROM (
+            SELECT c_nationkey, CASE WHEN year(o_orderdate) % 2 = 0 THEN 2016 ELSE 2020 END AS y, count(*) FILTER (o_orderstatus = 'F') AS d,
+                   count(*) FILTER (o_orderstatus = 'O') AS r FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)),
+    w AS (SELECT k, max(share) FILTER (y = 2016) AS d16, max(share) FILTER (y = 2020) AS d20 FROM v GROUP BY k)
+    SELECT n_name AS "NAME", coalesce(intro, 0) AS intro, coalesce(passed, 0) AS passed, round(white * 100, 6) AS nh_white, round((white - before), 6) AS change_white_abs,
+           n_nationkey / 10 AS "FinalCOVI", round(d16, 6) AS dem_share_2016, round(d20, 6) AS dem_share_2020, round((d20 - d16) * 100, 6) AS change_dem,
+           round(ln(people), 6) AS population, CASE n_regionkey WHEN 0 THEN 'Republican' WHEN 1 THEN NULL ELSE 'Other' END AS r,
+           CASE WHEN d20 > 0.45 AND d20 < 0.55 THEN 'Competitive' WHEN d20 IS NOT NULL THEN 'ANC' END AS competitive
+    FROM nation JOIN c ON c.k = n_nationkey LEFT JOIN s ON s.k = n_nationkey LEFT JOIN p ON p.k = n_nationkey LEFT JOIN w ON w.k = n_nationkey
+    """,
+)
+def state_panel_study(t: Tables) -> DataFrame:
+    """Nations as states: provisions, people, votes and control meet in one row per state."""
+    code = F.col("n_nationkey").cast("string")
+    nations = t.nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("NAME"), "n_regionkey")
+    people = t.customer.groupBy(F.col("c_nationkey").alias("key")).agg(
+        F.count(F.lit(1)).cast("double").alias("population"), F.avg((F.col("c_acctbal") > 0).cast("double")).alias("nh_white"),
+        F.avg("c_acctbal").alias("median_income"),
+    )
+    demographics = nations.join(people, "key").select(
+        "NAME", F.col("key").cast("string").alias("GEOID"), "population", "nh_white", "median_income", F.lit(0.5).alias("some_college")
+    )
+    earlier = t.supplier.groupBy(F.col("s_nationkey").cast("string").alias("GEOID")).agg(F.avg((F.col("s_acctbal") > 0).cast("double")).alias("nh_white"))
+    index = t.nation.select(F.concat(F.lit("S"), code).alias("state"), F.lit(2020).alias("year"), (F.col("n_nationkey") / 10).alias("FinalCOVI"))
+    states = t.nation.select(F.concat(F.lit("S"), code).alias("state"), F.col("n_name").alias("state_name"), code.alias("state_code"))
+    of_order = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    party = F.when(F.col("o_orderstatus") == "F", "DEMOCRAT").when(F.col("o_orderstatus") == "O", "REPUBLICAN").otherwise("OTHER")
+    year = F.when(F.year(F.col("o_orderdate").cast("date")) % 2 == 0, 2016).otherwise(2020)
+    votes = of_order.groupBy(F.col("n_name").alias("state"), party.alias("party_simplified"), year.alias("year")).agg(F.count(F.lit(1)).alias("candidatevotes"))
+    control = t.nation.select(F.col("n_name").alias("NAME"), F.when(F.col("n_regionkey") == 0, "Rep").when(F.col("n_regionkey") != 1, "Dem").alias("control"))
+    rows = t.lineitem.join(of_order.select("o_orderkey", "n_name"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("n_name").alias("state"), (F.col("l_linestatus") == "F").alias("pass"), F.col("l_returnflag").alias("group"),
+        F.when(F.col("l_returnflag") == "N", "N").otherwise("R").alias("impact"),
+    )
+    panel = study.state_panel(study.provision_counts(rows), demographics, earlier, index, states, votes, control)
+    numbers = ["nh_white", "change_white_abs", "dem_share_2016", "dem_share_2020", "change_dem", "population"]
+    return panel.select("NAME", "intro", "passed", "FinalCOVI", "r", "competitive", *[rounded(c).alias(c) for c in numbers])
