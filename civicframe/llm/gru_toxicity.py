@@ -36,8 +36,8 @@ GRAMS, CHAR_BITS = (3, 5, 7), 17
 LEAST_TEXTS, VOCABULARY = 6, 20_000
 #: Window scores are kept between this logit and its opposite.
 LOWEST = -8.0
-#: Bytes of text and windows handled at once.
-TEXT_BYTES, WINDOWS = 4_000_000, 4096
+#: Bytes of text, windows and distinct words handled at once.
+TEXT_BYTES, WINDOWS, WORDS = 4_000_000, 4096, 32_768
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _IS_CORE = np.zeros(256, bool)
 _IS_CORE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -81,7 +81,7 @@ def word_inputs(words: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.
             code = np.full(len(start), n, np.uint64)
             for k in range(n):
                 code = code * _BASE + text[start + k]
-            found.append(((code * _MIX >> np.uint64(64 - CHAR_BITS)).astype(np.int64), many))
+            found.append(((code * _MIX >> np.uint64(64 - CHAR_BITS)).astype(np.int32), many))
     return hashes, found
 
 
@@ -157,7 +157,13 @@ class Network:
         """The input vector of each word, from its number in the vocabulary and its n-grams."""
         out = np.empty((len(numbers), WORD_DIM + CHAR_DIM), np.float32)
         out[:, :WORD_DIM] = self.p["word"][numbers]
-        out[:, WORD_DIM:] = sum(_segment_sums(self.p["char"][slots], many) for slots, many in grams) * _scale(grams)
+        out[:, WORD_DIM:] = 0
+        for slots, many in grams:
+            ends = np.append(0, np.cumsum(many))
+            for a in range(0, len(numbers), WORDS):
+                b = min(a + WORDS, len(numbers))
+                out[a:b, WORD_DIM:] += _segment_sums(self.p["char"][slots[ends[a] : ends[b]]], many[a:b])
+        out[:, WORD_DIM:] *= _scale(grams)
         return out
 
     def _pass(self, gates: np.ndarray, ids: np.ndarray, mask: np.ndarray, way: str, keep: list | None) -> np.ndarray:
@@ -331,7 +337,7 @@ def _odds(batch: Batch, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     for slots, many in batch.grams:
         starts = np.cumsum(many) - many
         at = slots[spread(starts[word], many[word])]
-        pairs = np.unique(at * len(label) + np.repeat(doc, many[word]))
+        pairs = np.unique(at.astype(np.int64) * len(label) + np.repeat(doc, many[word]))
         slot, texts, lift = _log_odds(np.column_stack([pairs // len(label), pairs % len(label)]), label)
         slot_odds[slot[texts >= LEAST_TEXTS]] += lift[texts >= LEAST_TEXTS]
     return names[kept], odds[kept], slot_odds
