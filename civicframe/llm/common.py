@@ -61,7 +61,8 @@ def labelled_sample(
     chosen = (
         labels.select(F.col(id_col).alias("__id"), F.col(target).cast("int").alias("label"))
         .where(F.col("__id").isNotNull() & F.col("label").isNotNull() & (id_remainder("__id", 3) != 1))
-        .dropDuplicates(["__id"])
+        .groupBy("__id")
+        .agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(most)
     )

@@ -65,6 +65,8 @@ _TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>",
     re.IGNORECASE | re.DOTALL,
 )
+#: Names of articles that are not the page's own.
+_OTHER_ARTICLE = frozenset("comment comments reply replies ad ads advert advertisement teaser related promo sponsored widget".split())
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 #: First-pass limits: characters, shares of words, share of characters in links.
@@ -78,6 +80,7 @@ class Block:
     links: float
     side: bool
     scope: int
+    rank: int = 0
     label: str = ""
 
 
@@ -93,13 +96,18 @@ def _is_side(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
     if attrs.get("role", "").lower() in {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}:
         return True
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return tag not in MAIN_TAGS and tag not in {"body", "html"} and bool(_SIDE.search(names))
+    if tag in MAIN_TAGS and not in_main:
+        return not _OTHER_ARTICLE.isdisjoint(names.lower().split())
+    return tag not in {"body", "html"} and bool(_SIDE.search(names))
 
 
-def _is_main(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in MAIN_TAGS or attrs.get("role", "").lower() in {"main", "article"} or attrs.get("itemprop", "").lower() == "articlebody":
-        return True
-    return tag in {"div", "section", "td"} and bool(_MAIN.search(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+def _main_rank(tag: str, attrs: dict[str, str]) -> int:
+    """2 for an article, 1 for another main part of a page, 0 for anything else."""
+    if tag == "article" or attrs.get("role", "").lower() == "article" or attrs.get("itemprop", "").lower() == "articlebody":
+        return 2
+    if tag == "main" or attrs.get("role", "").lower() == "main":
+        return 1
+    return int(tag in {"div", "section", "td"} and bool(_MAIN.search(f"{attrs.get('class', '')} {attrs.get('id', '')}")))
 
 
 def cut(html: str) -> list[Block]:
@@ -108,7 +116,8 @@ def cut(html: str) -> list[Block]:
     stack: list[tuple[str, bool, int, bool]] = []  # tag, boilerplate, scope, link
     open_tags: Counter[str] = Counter()
     parts: list[str] = []
-    in_links, scopes, last = 0, 0, 0
+    ranks = [0]  # of each scope; a scope is one article or main part
+    in_links, last = 0, 0
 
     def flush() -> None:
         nonlocal in_links
@@ -116,7 +125,7 @@ def cut(html: str) -> list[Block]:
         if text:
             tag, side, scope, _ = stack[-1] if stack else ("", False, 0, False)
             block_tag = next((t for t, *_ in reversed(stack) if t in BLOCK_TAGS), tag)
-            blocks.append(Block(text, block_tag, min(1.0, in_links / len(text)), side, scope))
+            blocks.append(Block(text, block_tag, min(1.0, in_links / len(text)), side, scope, ranks[scope]))
         parts.clear()
         in_links = 0
 
@@ -166,10 +175,10 @@ def cut(html: str) -> list[Block]:
             pop("head")
         attrs = _attrs(m["attrs"] or m["attrs2"] or "")
         _, side, scope, link = stack[-1] if stack else ("", False, 0, False)
-        side = side or _is_side(tag, attrs, scope > 0)
-        if not side and _is_main(tag, attrs):
-            scopes += scope == 0
-            scope = scope or scopes
+        side = side or _is_side(tag, attrs, ranks[scope] == 2)
+        if not side and (rank := _main_rank(tag, attrs)) > ranks[scope]:
+            ranks.append(rank)
+            scope = len(ranks) - 1
         stack.append((tag, side, scope, link or tag == "a"))
         open_tags[tag] += 1
     if last < len(html):
@@ -233,10 +242,10 @@ def second_pass(blocks: list[Block]) -> None:
 def label(html: str) -> list[Block]:
     """The page's blocks with labels good or bad; labels that were inherited begin with ``~``."""
     blocks = cut(html)
-    if any(b.scope and not b.side for b in blocks):
-        # Where the page marks its article, only that is its main text.
-        for b in blocks:
-            b.side = b.side or not b.scope
+    # Where the page marks its article, or else its main part, only that is its main text.
+    best = max((b.rank for b in blocks if not b.side), default=0)
+    for b in blocks:
+        b.side = b.side or b.rank < best
     for b in blocks:
         b.label = first_pass(b)
     second_pass(blocks)

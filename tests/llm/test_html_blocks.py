@@ -19,6 +19,21 @@ def test_without_article_element_rules_decide():
     assert H.extract(page) == f"Title\n{ARTICLE}\nShort.\n{ARTICLE}"
 
 
+def test_article_inside_a_main_part_and_comments_as_articles():
+    page = (
+        f'<main id="content"><header><h2>Site</h2></header><div class="breadcrumbs">a / b</div><article class="post has-comments"><header><h1>Title</h1></header>'
+        f'<p class="notice">We use cookies, as it is the law.</p><p>{ARTICLE}</p><ul><li>one</li><li>two</li></ul><table><tr><td>cell</td></tr></table>'
+        f'<article class="comment"><p>{ARTICLE}</p></article></article><article class="comment"><p>{ARTICLE}</p></article>'
+        f'<section class="comments"><p>{ARTICLE}</p></section><button>Go</button></main><div class="cookie-banner">{ARTICLE}</div>'
+    )
+    assert H.extract(page) == f"Title\n{ARTICLE}\none\ntwo\ncell"
+
+
+def test_main_part_without_article():
+    page = f'<div class="sidebar"><p>{ARTICLE}</p></div><div id="main-content"><h1>T</h1><p>{ARTICLE}</p><p>End.</p></div><div>{ARTICLE}</div>'
+    assert H.extract(page) == f"T\n{ARTICLE}\nEnd."
+
+
 def test_odd_pages():
     assert H.extract("") == ""
     assert H.extract("<article>") == ""
