@@ -301,7 +301,8 @@ def _reweight(i: int) -> str:
     b{i} AS MATERIALIZED (SELECT {_solve_sql(False)} FROM (SELECT *, {_INVERSE} FROM t{i}))"""
 
 
-def _huber_sql(steps: int = 30) -> str:
+def _huber_ctes(steps: int = 30) -> str:
+    """CTEs b0 (least squares), b<steps>, base (inverse cross products), sigma and plain (residual scales)."""
     first = f"SELECT {_solve_sql(False)} FROM (SELECT *, {_INVERSE} FROM (SELECT {_sums_sql('1', 'y')} FROM dat))"
     sql = _steps_sql("SELECT l_extendedprice AS y, l_quantity AS u, l_discount AS v FROM lineitem", first, _reweight, steps)
     sql += f""", base AS (SELECT a AS n, {_INVERSE} FROM (SELECT {_sums_sql('1', 'y')} FROM dat)),
@@ -310,7 +311,11 @@ def _huber_sql(steps: int = 30) -> str:
              FROM (SELECT y - (b1 + b2 * u + b3 * v) AS x FROM dat, b{steps}), m{steps}),
     sigma AS (SELECT sqrt(we2 / (n - 3)) * (1 + 3 * (share * (1 - share) * n / (n - 1)) / (n * share * share)) / share AS s FROM ends),
     plain AS (SELECT sqrt(sum(power(y - (b1 + b2 * u + b3 * v), 2)) / (count(*) - 3)) AS s FROM dat, b0)"""
-    rows = []
+    return sql
+
+
+def _huber_sql(steps: int = 30) -> str:
+    sql, rows = _huber_ctes(steps), []
     for name, b, s, crit in (("huber", f"b{steps}", "sigma", Z95), ("ols", "b0", "plain", _t_quantile(Z95, "n - 3"))):
         rows += [
             f"SELECT '{name}' AS estimator, '{term}' AS term, {_coef_columns(f'b{k}', f's * sqrt(i{k}{k})', crit, 1)} FROM {b}, {s}, base"
@@ -330,6 +335,68 @@ def huber_m(t: Tables) -> DataFrame:
     return _rounded_coefs(joins.stack(*pairs), 1, keep=("estimator",))
 
 
+@query(
+    "huber_grid",
+    _huber_ctes()
+    + f"""
+    , grid AS (SELECT range::DOUBLE AS l_quantity, (SELECT avg(v) FROM dat) AS v FROM range(1, 51)),
+    d AS (SELECT l_quantity, b1 + b2 * l_quantity + b3 * v AS p, s * sqrt(i11 + 2 * i12 * l_quantity + 2 * i13 * v + i22 * l_quantity * l_quantity
+            + 2 * i23 * l_quantity * v + i33 * v * v) AS se FROM grid, b30, sigma, base)
+    SELECT l_quantity, round(p, 1) AS predicted, round(p - {Z95} * se, 1) AS conf_low, round(p + {Z95} * se, 1) AS conf_high FROM d
+    """,
+)
+def huber_grid(t: Tables) -> DataFrame:
+    """Predictions of the robust fit along one covariate, the other at its mean."""
+    fit = regress.fit(t.lineitem, ROBUST, "huber", tol=1e-8)
+    found = predict.predict(fit, predict.value_grid(t.lineitem, "l_quantity", 1, 50))
+    return found.select("l_quantity", *[rounded(c, 1).alias(c) for c in ("predicted", "conf_low", "conf_high")])
+
+
+def _sandwich(k: int) -> str:
+    """Variance of estimate k: row k of the inverse on both sides of the sums of squared residuals."""
+    at = lambda i, j: f"{min(i, j)}{max(i, j)}"
+    return " + ".join(f"i{at(k, i)} * m{at(i, j)} * i{at(k, j)}" for i in (1, 2, 3) for j in (1, 2, 3))
+
+
+_MEAT = ", ".join(f"sum(x * x * {a} * {b}) AS m{i}{j}" for i, a in enumerate(("1", "u", "v"), 1) for j, b in enumerate(("1", "u", "v"), 1) if i <= j)
+
+
+@query(
+    "ols_hc1_covariates",
+    "WITH dat AS (SELECT l_extendedprice AS y, l_quantity AS u, l_discount AS v FROM lineitem), "
+    + f"base AS (SELECT *, {_solve_sql(False)} FROM (SELECT *, {_INVERSE} FROM (SELECT count(*) AS n, {_sums_sql('1', 'y')} FROM dat))), "
+    + f"meat AS (SELECT {_MEAT} FROM (SELECT *, y - (b1 + b2 * u + b3 * v) AS x FROM dat, base)) "
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS term, {_coef_columns(f'b{k}', f'sqrt(n / (n - 3) * ({_sandwich(k)}))', _t_quantile(Z95, 'n - 3'))} FROM base, meat"
+        for k, name in enumerate(_NAMES, 1)
+    ),
+)
+def ols_hc1_covariates(t: Tables) -> DataFrame:
+    return _rounded_coefs(report.coefficients(regress.ols(t.lineitem, ROBUST, vcov="HC1")))
+
+
+@query(
+    "ols_poly_fixed_effects",
+    f"""
+    WITH m AS (SELECT avg(l_quantity) AS mu, count(*) AS n FROM lineitem),
+    c AS (SELECT l_suppkey AS g, l_extendedprice AS y, l_quantity - mu AS c, n FROM lineitem, m),
+    s AS (SELECT sum(c * c) AS s2, sum(c * c * c) / sum(c * c) AS a FROM c),
+    u AS (SELECT g, y, c / sqrt(s2) AS p1, (c - a) * c - s2 / n AS z2 FROM c, s),
+    l AS (SELECT sqrt(sum(z2 * z2)) AS len2 FROM u),
+    w AS (SELECT y - avg(y) OVER (PARTITION BY g) AS y, p1 - avg(p1) OVER (PARTITION BY g) AS u, z2 / len2 - avg(z2 / len2) OVER (PARTITION BY g) AS v FROM u, l),
+    k AS (SELECT count(*) AS n, sum(u * u) AS a, sum(u * v) AS b, sum(v * v) AS d, sum(u * y) AS g1, sum(v * y) AS g2, sum(y * y) AS yy FROM w),
+    f AS (SELECT *, a * d - b * b AS det, (d * g1 - b * g2) / (a * d - b * b) AS b1, (a * g2 - b * g1) / (a * d - b * b) AS b2,
+                 n - 2 - (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS dof FROM k),
+    z AS (SELECT *, (yy - b1 * g1 - b2 * g2) / dof AS s2 FROM f)
+    SELECT 'poly(l_quantity, 2)1' AS term, {_coef_columns('b1', 'sqrt(s2 * d / det)', _t_quantile(Z95, 'dof'))} FROM z
+    UNION ALL SELECT 'poly(l_quantity, 2)2', {_coef_columns('b2', 'sqrt(s2 * a / det)', _t_quantile(Z95, 'dof'))} FROM z
+    """,
+)
+def ols_poly_fixed_effects(t: Tables) -> DataFrame:
+    fixed = regress.ols_fixed(t.lineitem, QUADRATIC, "l_suppkey")
+    return _rounded_coefs(report.coefficients(fixed.fit).filter("term <> '(Intercept)'"))
+
+
 @query(
     "ols_many_slices",
     """
