@@ -30,18 +30,34 @@ def build_session(app_name: str = "civicframe", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+#: The folder of each application, made once and removed when its driver ends.
+_OWN: dict[str, str] = {}
+
+
+def _own_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if context.applicationId not in _OWN:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            root = tempfile.mkdtemp(prefix="civicframe-")
+        folder = os.path.join(root, f"civicframe-{context.applicationId}-{uuid.uuid4().hex[:8]}")
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _OWN[context.applicationId] = folder
+    return _OWN[context.applicationId]
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the session's shared checkpoint folder.
+    """The name of a new folder under the session's shared checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local master may
-    fall back to a temporary folder of this machine.
+    The cluster names that folder in ``spark.checkpoint.dir``.  Only a local master may
+    fall back to a temporary folder of this machine.  What an application writes here is removed when it ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="civicframe-")
-    return os.path.join(root, f"civicframe-{uuid.uuid4().hex}")
+    return os.path.join(_own_folder(spark), f"civicframe-{uuid.uuid4().hex}")
 
 
 def cut_lineage(df):
