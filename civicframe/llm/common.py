@@ -130,10 +130,17 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def split_words(texts: pa.StringArray, *, lower: bool = False) -> tuple[pa.BinaryArray, np.ndarray]:
+#: ASCII letters are 1, ASCII punctuation other than the apostrophe 2.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[[x for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'"]] = 2
+
+
+def split_words(texts: pa.StringArray, *, lower: bool = False, punctuation: bool = False) -> tuple[pa.BinaryArray, np.ndarray]:
     """The words of all texts one after another, and how many each text has.
 
-    Works on the bytes of the whole array at once.  ``lower`` turns A-Z into a-z.
+    Works on the bytes of the whole array at once.  ``lower`` turns A-Z into a-z.  ``punctuation`` also cuts words
+    between an ASCII letter and ASCII punctuation (apostrophes aside).
     """
     raw, ends = _bytes_and_ends(texts)
     inside = ~_IS_SPACE[raw]
@@ -143,7 +150,12 @@ def split_words(texts: pa.StringArray, *, lower: bool = False) -> tuple[pa.Binar
     if len(raw):
         before[0] = False
         before[1:] = inside[:-1]
-    start = np.flatnonzero(inside & (~before | first[:-1]))
+    starts = inside & (~before | first[:-1])
+    if punctuation and len(raw):
+        kind = _KIND[raw]
+        starts[1:] |= kind[1:] + kind[:-1] * 4 == 6
+        starts[1:] |= kind[1:] + kind[:-1] * 4 == 9
+    start = np.flatnonzero(starts)
     packed = raw[inside]
     if lower:
         packed = np.where((packed >= 65) & (packed <= 90), packed | 32, packed)

@@ -67,6 +67,7 @@ def test_bpe_documents(spark):
 
 def test_encoder_is_the_library():
     t, e, texts = Tokenizer.from_file(WORDS), R.Encoder(WORDS), odd_texts()
+    texts += ["a.b,c!d?e", "it's,that's.'s x'y!z'", "…,a…b", "É,é!x", "a1.b2", "###a$$$ b&&&c", "don't!!'t", "x''y,'re"]
     for group in ([x for x in texts if "<|" not in x], texts):
         ids, counts = e.encode(pa.array(group))
         ends = np.cumsum(counts)
