@@ -76,3 +76,20 @@ def test_entry_registers_all_operators():
     names = list(entry.queries())
     assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_near_duplicate_stage_leaves_no_near_copy(spark):
+    rows = sorted(tuple(r) for r in table(spark, FOLDER, "documents").select("doc_id", "text").collect())
+    sets = []
+    for _, text in rows:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            if root[i] != root[j] and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    kept = sorted(r["doc_id"] for r in stage(spark, table(spark, FOLDER, "documents"), FOLDER).collect())
+    assert kept == [rows[i][0] for i in sorted(set(root))]
