@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags.  The first pass decides blocks by
 they stand (menus, forms, notices and the like are boilerplate), by link density,
 and by length and stop-word density; short blocks and blocks between the limits stay
 ambiguous.  In the second pass an ambiguous block takes the label of its nearest decided
-neighbours, first of those in the same article or main element.
+neighbours, first of those in the same article or main element.  Such an element is a prior, no verdict: it sets the rest of
+the page aside only if it holds at least half of the running text, and inside it blocks without evidence stay ambiguous.
 
 Spark deals out the pages; each page is read in one go by whichever task holds it.
 """
@@ -193,19 +194,35 @@ def _stop_share(text: str) -> float:
 
 
 def first_pass(block: Block) -> str:
-    """good, bad, or an empty label for ambiguous."""
+    """good, bad, or an empty label for ambiguous; in a main part density alone makes no block bad."""
     if block.side:
         return "bad"
-    if block.links > MAX_LINKS and (not block.scope or block.tag in {"li", "td", "ul", "ol"}):
-        return "bad"
+    if block.links > MAX_LINKS:
+        return "" if block.scope else "bad"
     if len(block.text) < SHORT:
         return ""
-    if block.scope:
-        return "good"
     share = _stop_share(block.text)
     if share >= STOP_HIGH or (share >= STOP_LOW and len(block.text) >= LONG):
         return "good"
-    return "bad" if share < STOP_LOW and len(block.text) >= LONG else ""
+    return "bad" if share < STOP_LOW and len(block.text) >= LONG and not block.scope else ""
+
+
+def _choose_parts(blocks: list[Block]) -> None:
+    """Set aside what lies outside the page's articles, or else its main parts, if these hold at least half of the running text.
+
+    Running text is what the first pass calls good, and in main parts all blocks that are neither short nor mostly links
+    (they may be in a language that the stop words do not know).  Other parts are left to the block rules.
+    """
+    held = [0.0, 0.0, 0.0]
+    for b in blocks:
+        if not b.side and len(b.text) >= SHORT and b.links <= MAX_LINKS and (b.rank or first_pass(b) == "good"):
+            held[b.rank] += len(b.text) * (1 - b.links)
+    found = {b.rank for b in blocks if not b.side}
+    best = next((r for r in (2, 1) if r in found and 2 * sum(held[r:]) >= sum(held)), 0)
+    for b in blocks:
+        if b.rank > best:
+            b.scope = 0
+        b.side = b.side or b.rank < best
 
 
 def second_pass(blocks: list[Block]) -> None:
@@ -242,10 +259,7 @@ def second_pass(blocks: list[Block]) -> None:
 def label(html: str) -> list[Block]:
     """The page's blocks with labels good or bad; labels that were inherited begin with ``~``."""
     blocks = cut(html)
-    # Where the page marks its article, or else its main part, only that is its main text.
-    best = max((b.rank for b in blocks if not b.side), default=0)
-    for b in blocks:
-        b.side = b.side or b.rank < best
+    _choose_parts(blocks)
     for b in blocks:
         b.label = first_pass(b)
     second_pass(blocks)

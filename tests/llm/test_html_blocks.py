@@ -34,6 +34,30 @@ def test_main_part_without_article():
     assert H.extract(page) == f"T\n{ARTICLE}\nEnd."
 
 
+def test_body_beside_card_articles():
+    body, card = f"<h1>Title</h1><p>{ARTICLE}</p><p>{ARTICLE}</p><p>{ARTICLE}</p>", "<h3>Other</h3><p>Read it.</p>"
+    whole = "\n".join(["Title", *[ARTICLE] * 3])
+    for page in (
+        f'<main>{body}</main><article class="card">{card}</article>',
+        f'<div class="post-content">{body}</div><article class="related-post">{card}</article>',
+        f'<nav>Menu</nav><div>{body}</div><footer>Foot</footer><article class="card">{card}</article>',
+        f'<main>{body}<aside>More</aside><article class="card">{card}</article></main>',
+    ):
+        assert H.extract(page).startswith(whole), page
+    assert H.extract(f'<main>{body}</main><article class="card">{card}</article><aside>More</aside>') == whole
+
+
+def test_link_lists_inside_an_article_stay():
+    sources = "<ul><li><a href=a>Report of the water board</a></li><li><a href=b>Minutes</a>, 2019</li></ul>"
+    page = f"<article><p>{ARTICLE}</p><h2>Sources</h2>{sources}</article><ul><li><a href=c>Home</a></li></ul>"
+    assert H.extract(page) == f"{ARTICLE}\nSources\nReport of the water board\nMinutes, 2019"
+
+
+def test_article_in_a_language_without_stop_words_stays():
+    text = "Szybki brązowy lis przeskoczył nad leniwym psem, potem wrócił lasem przed zmrokiem. " * 4
+    assert H.extract(f"<article><p>{text}</p></article><div><p>{ARTICLE}</p></div>") == text.strip()
+
+
 def test_odd_pages():
     assert H.extract("") == ""
     assert H.extract("<article>") == ""
