@@ -67,7 +67,7 @@ def op8_ef_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_derive.responses(table(spark, sf_dir, "pages"))
-    return warc_derive.apply(records).drop("metadata", "conversion")
+    return warc_derive.apply(records)
 
 
 @query

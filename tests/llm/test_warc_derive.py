@@ -1,5 +1,6 @@
 import gzip
 
+from civicframe.llm import queries
 from civicframe.llm import warc_derive as W
 
 HTML = '<html><head><title>A &amp; B</title></head><body><nav><a href="/x?a=1&amp;b=2">x</a></nav><article><p>Hé <a href="z">z</a></p></article></body></html>'
@@ -49,3 +50,14 @@ def test_spark_round(spark):
     assert W.apply(W.responses(pages.limit(0))).count() == 0
     bad = spark.createDataFrame([(1, None), (2, bytearray(b"x"))], "page_id long, record binary")
     assert {r["problem"] for r in W.apply(bad).collect()} == {"no WARC header"}
+
+
+def test_query_returns_whole_records(spark, tmp_path):
+    queries.op9_warc_derive(spark, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/records")
+    rows = spark.read.parquet(f"{tmp_path}/records").collect()
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+    for r in rows:
+        meta, about = W.parse(bytes(r["metadata"]))
+        conv, text = W.parse(bytes(r["conversion"]))
+        assert meta["warc-refers-to"] == conv["warc-refers-to"] == r["response_id"] and conv["warc-concurrent-to"] == r["metadata_id"]
+        assert about.count(b"outlink: ") == r["n_links"] and W.digest(text) == r["text_digest"]
