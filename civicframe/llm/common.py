@@ -9,9 +9,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 words_of = re.compile(WORD_PATTERN).findall
@@ -49,13 +51,18 @@ def runs(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+#: Bytes of all texts of a training sample, which go to the driver as texts or features.
+SAMPLE_BYTES = 32 << 20
+
+
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, target: str, most: int, *, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, target: str, most: int, *, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = SAMPLE_BYTES
 ) -> DataFrame:
-    """At most ``most`` labelled training documents: id, text, label.
+    """At most ``most`` labelled training documents of ``most_bytes`` of text together: id, text, label.
 
     Training rows are those whose crc32(id as text) mod 3 is not 1.  The sample is
-    the first by a hash of the id, so it is the same on every run.  Only ids and labels
+    the first by a hash of the id, so it is the same on every run.  Of an id that stands in
+    several rows one text is taken, the first by its hash; a text beyond ``most_bytes`` is passed over.  Only ids, labels and sizes
     are sorted; the sample is bounded, so it is broadcast against the documents.
     """
     chosen = (
@@ -67,7 +74,12 @@ def labelled_sample(
         .limit(most)
     )
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "__id")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"]
+    one = texts.where(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), "__id").groupBy("__id", "label").agg(first.alias("text"))
+    one = cut_lineage(one)
+    total = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("__id"), "__id"))
+    within = one.select("__id", total.alias("total")).where(F.col("total") <= most_bytes).select("__id")
+    return one.join(F.broadcast(within), "__id", "left_semi").select("__id", "text", "label")
 
 
 #: Bytes of an Arrow batch; executors and their Python workers hold a few at a time.

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from civicframe.llm import common
 from civicframe.llm import ftrl_quality as Q
 from civicframe.llm import line_crf as L
 from civicframe.llm.common import crc_remainder
@@ -156,3 +157,15 @@ def test_score_is_a_sparse_dot_product():
         _, slot, counts = Q.features(pa.array([t]))
         want.append(1 / (1 + np.exp(-(0.3 + Q.SCALE * model.weights[slot].sum(dtype=float) / max(1, counts[0])))))
     assert np.allclose(model.score(pa.array(texts)), want)
+
+
+def test_sample_takes_one_row_of_an_id_and_bounded_bytes(spark):
+    rows = [(7, f"text {i}") for i in range(50)] + [(i, "x" * 100) for i in range(3, 40)] + [(40, "y" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3, 41)], "doc_id long, quality int")
+    taught = {i for i in range(3, 41) if common.crc_remainder(i, 3) != 1}
+    got = common.labelled_sample(docs.repartition(4), labels, "quality", 1000).collect()
+    assert 7 in taught and sorted(r["__id"] for r in got) == sorted(taught)
+    few = common.labelled_sample(docs, labels, "quality", 1000, most_bytes=1000).collect()
+    assert 5 < len(few) < len(taught) and sum(len(r["text"]) for r in few) <= 1000 and all(len(r["text"]) <= 100 for r in few)
+    assert common.labelled_sample(docs, labels, "quality", 5).count() == 5
