@@ -150,7 +150,11 @@ def apply(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def keep(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, all columns as they are."""
+    """The rows of ``docs`` that score at least ``threshold``, all columns as they are.
+
+    A null text counts as empty.  Each row is scored by itself, so repeated rows stay or go together; no column is added, so
+    none can clash.  An empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

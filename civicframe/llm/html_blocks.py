@@ -18,11 +18,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, small_batches, text_or_empty
+from .common import arrow_text, freed, small_batches
 
 #: Element names of the HTML standard.
 BLOCK_TAGS = frozenset(
@@ -278,15 +278,13 @@ def apply(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ht
     Other columns are not read.  An empty table gives an empty result.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [label(text_or_empty(h)) for h in batch["html"]]
+            found = [label(h) for h in arrow_text(batch.column("html")).to_pylist()]
             texts = ["\n".join(b.text for b in bs if b.label.endswith("good")) for bs in found]
-            yield pd.DataFrame({
-                id_col: batch["id"].to_numpy(), url_col: batch["url"].to_numpy(), "text": texts,
-                "n_chars": [len(t) for t in texts], "n_blocks": [len(bs) for bs in found],
-            })
+            columns = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(map(len, found), pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), *columns], [id_col, url_col, "text", "n_chars", "n_blocks"])
 
     kind = pages.schema[id_col].dataType.simpleString()
     rows = small_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInPandas(freed(run), f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long, n_blocks int")
+    return rows.mapInArrow(freed(run), f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long, n_blocks int")

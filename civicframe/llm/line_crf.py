@@ -18,10 +18,13 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from .common import freed, labelled_sample, small_batches, text_or_empty, words_of
+from .common import arrow_text, freed, labelled_sample, small_batches, words_of
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = (
@@ -206,27 +209,29 @@ def apply(
     by itself.  Other columns are not read.  An empty table gives an empty result.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = pd.DataFrame([judge(text_or_empty(t), field) for t in batch["text"]], columns=names)
-            out.insert(0, id_col, batch["id"].to_numpy())
-            yield out if with_text else out.drop(columns="content")
+            found = [judge(t, field) for t in arrow_text(batch.column("text")).to_pylist()]
+            columns = [pa.array([r[i] for r in found], to_arrow_type(f.dataType)) for i, f in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], [id_col, *(f.name for f in fields)])
 
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words", "content"]
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = (
-        f"`{id_col}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-        "base_failed boolean, kept boolean, content_words long"
-    )
+    kinds = [LongType()] * 5 + [BooleanType()] * 2 + [LongType(), StringType()]
+    fields = [StructField(n, k) for n, k in zip(names, kinds)][: 9 if with_text else 8]
+    schema = StructType([StructField(id_col, docs.schema[id_col].dataType), *fields])
     rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(freed(run), schema + (", content string" if with_text else ""))
+    return rows.mapInArrow(freed(run), schema)
 
 
 def keep(docs: DataFrame, field: LineField, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns as they are."""
+    """The rows of ``docs`` that the rules keep, all columns as they are.
+
+    A null or empty text is not kept.  Each row is judged by itself, so repeated rows stay or go together; no column is
+    added, so none can clash.  An empty table gives an empty result.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch[[judge(text_or_empty(t), field)[6] for t in batch[text_col]]]
+            yield batch.filter(pa.array([judge(t, field)[6] for t in arrow_text(batch.column(text_col)).to_pylist()], pa.bool_()))
 
-    return small_batches(docs).mapInPandas(freed(run), docs.schema)
+    return small_batches(docs).mapInArrow(freed(run), docs.schema)

@@ -232,7 +232,11 @@ def _arrow_type(kind) -> pa.DataType:
 def keep(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no passage of the benchmark, all columns as they are."""
+    """The rows of ``docs`` that hold no passage of the benchmark, all columns as they are.
+
+    A null or empty text holds none and stays.  Each row is judged by itself, so repeated rows stay or go together; no
+    column is added, so none can clash.  An empty table gives an empty result, an empty benchmark all rows.
+    """
     for passages in blocks(benchmark, id_col=item_col, text_col=item_text):
         held = docs.sparkSession.sparkContext.broadcast(passages)
 

@@ -16,9 +16,7 @@ as soon as they exceed the distance.
 Links between fingerprints become components by alternating large-star and
 small-star steps on tables, checkpointed in the shared folder.
 
-``keep`` is wider: it links documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
-Two such sets share one of their rarest shingles (the prefix filter), so these are the keys; the index searches
-each key for fingerprints of five-word shingles within ``NEAR`` bits, and the sets of every pair found are compared.
+``keep`` keeps one document of each component.
 """
 
 from __future__ import annotations
@@ -31,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut_lineage, scratch_dir
 from .common import arrow_text, byte_sizes, freed, runs, small_batches, split_words
@@ -42,11 +40,6 @@ TEXT_BYTES = 3_000_000
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Children of a node, and searches carried on at once.
 FAN_OUT, SEARCHES = 8, 8192
-#: Near-copies: words of a shingle, least similarity, most bits between fingerprints.  At a similarity of 0.8 these differ in
-#: 10 bits on average with a deviation of 3 (12 and 3 for a handful of shingles).
-WORDS, SIMILARITY, NEAR = 5, 0.8, 24
-#: Buckets in which shingles are counted to order them, and the parts these are summed in; pairs that a search holds at once.
-BUCKETS, PARTS, PAIRS = 1 << 20, 64, 4_000_000
 
 
 def _masks() -> list[int]:
@@ -254,177 +247,34 @@ def apply(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     return out.select(F.col("id").alias(id_col), fingerprint.alias("fingerprint"), "component_id")
 
 
-def _sets(texts: pa.StringArray, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of texts: the first one's place, fingerprints, all distinct shingles sorted by text and hash, how many each text has."""
-    for a, b in runs(byte_sizes(texts).tolist(), TEXT_BYTES):
-        hashes, counts = _shingles(texts.slice(a, b - a), shingle)
-        doc = np.repeat(np.arange(b - a), counts)
-        order = np.lexsort((hashes, doc))
-        sorted_, doc = hashes[order], doc[order]
-        fresh = np.append(True, (sorted_[1:] != sorted_[:-1]) | (doc[1:] != doc[:-1]))[: len(doc)]
-        yield a, _fingerprints(hashes, counts), sorted_[fresh], np.bincount(doc[fresh], minlength=b - a)
-
-
-def _least_common(size, similarity: float):
-    """Shingles that a set of ``size`` shares with any set similar to it, at least."""
-    return np.ceil(size * similarity - 1e-9).astype(np.int64)
-
-
-def _shingle_counts(rows: DataFrame, shingle: int) -> np.ndarray:
-    """How often the shingles of each bucket occur: any order of shingles is right, rare ones first make small groups."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for _, _, hashes, _ in _sets(arrow_text(batch.column("text")), shingle):
-                total += np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        if total.any():
-            parts = [x.astype("<i8").tobytes() for x in np.split(total, PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
-
-    def add(part):
-        total = sum(np.frombuffer(x, "<i8") for x in part["counts"])
-        return part.iloc[:1].assign(counts=[total.tobytes()])
-
-    kind = "part int, counts binary"
-    summed = rows.select("text").mapInArrow(freed(count), kind).groupBy("part").applyInPandas(add, kind).collect()
-    out = np.zeros((PARTS, BUCKETS // PARTS), np.int64)
-    for row in summed:
-        out[row["part"]] = np.frombuffer(row["counts"], "<i8")
-    return out.ravel()
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of whole keys in each batch; they come sorted by key (column 0), and a key may go on in the next batch."""
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        key = batch.column(0).to_numpy()
-        change = np.flatnonzero(key[1:] != key[:-1]) + 1
-        if kept and len(key) and kept[-1].column(0)[-1].as_py() != key[0]:
-            change = np.append(0, change)
-        if len(change):
-            yield pa.concat_batches([*kept, batch.slice(0, change[-1])])
-            kept = []
-        if len(key):
-            kept.append(batch.slice(change[-1] if len(change) else 0))
-    if kept:
-        yield pa.concat_batches(kept)
-
-
-def _similar_sizes(a, b, similarity: float):
-    return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - F.lit(1e-9)
-
-
-def _compared(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs a, b of rows (row, text) whose sets are similar."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, _, hashes, counts in _sets(arrow_text(batch.column("text")), shingle):
-                ends = np.cumsum(counts)
-                found = [hashes[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, len(counts)), pa.array(found, pa.binary())], ["row", "set"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    known = cut_lineage(rows.join(asked, "row", "left_semi").mapInArrow(freed(sets), "row long, set binary"))
-    both = pairs.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b")
-    return cut_lineage(small_batches(both).select("a", "b", "x", "y").mapInArrow(freed(compare), "a long, b long"))
-
-
-def near_copies(rows: DataFrame, *, shingle: int = WORDS, similarity: float = SIMILARITY, near: int = NEAR) -> DataFrame:
-    """Links a, b that connect all rows (row, text, code; distinct sets) whose sets of shingles are similar.
-
-    Every key is first compared with its smallest row; then only pairs that are not connected yet, so a key full of
-    copies of one page does not cost the square of its rows.
-    """
-    spark, folder = rows.sparkSession, scratch_dir(rows.sparkSession)
-    counts = spark.sparkContext.broadcast(_shingle_counts(rows, shingle))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, codes = batch.column("row").to_numpy(), batch.column("code").to_numpy()
-            for a, _, hashes, sizes in _sets(arrow_text(batch.column("text")), shingle):
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((hashes, counts.value[(hashes % np.uint64(BUCKETS)).astype(np.int64)], doc))
-                place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                first = place <= (sizes - _least_common(sizes, similarity))[doc]
-                doc, hashes = doc[first], hashes[order][first]
-                columns = [hashes.view(np.int64), names[a + doc], codes[a + doc], sizes[doc].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "row", "code", "size"])
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_groups(batches):
-            key = batch.column(0).to_numpy()
-            same = key[1:] == key[:-1]
-            yield batch.filter(pa.array(np.append(False, same) | np.append(same, False)))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_groups(batches):
-            key, row, code, size, root = (batch.column(c).to_numpy() for c in ("key", "row", "code", "size", "root"))
-            group = np.append(0, np.cumsum(key[1:] != key[:-1]))
-            codes = code.view(np.uint64)
-            order = np.lexsort((gray_rank(codes), group))  # the index sorts in the same way
-            row, size, root = row[order], size[order], root[order]
-            index = GrayIndex(group, codes)
-            for a, b in index.links(near, max(1, min(SEARCHES, PAIRS // int(np.bincount(group).max())))):
-                small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-                good = (root[a] != root[b]) & (small >= _least_common(large, similarity))
-                a, b = row[a[good]], row[b[good]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    kind = "key long, row long, code long, size int"
-    keys = rows.mapInArrow(freed(prefixes), kind).repartition("key").sortWithinPartitions("key")
-    keys.mapInArrow(freed(shared), kind).write.parquet(f"{folder}/keys")
-    keys = spark.read.parquet(f"{folder}/keys")
-
-    hub = keys.groupBy("key").agg(F.min(F.struct("row", "code", "size")).alias("hub"))
-    close = F.bit_count(F.col("code").bitwiseXOR(F.col("hub.code"))) <= near
-    stars = keys.join(hub, "key").where(F.col("row") != F.col("hub.row")).where(close & _similar_sizes(F.col("size"), F.col("hub.size"), similarity))
-    stars = cut_lineage(stars.select(F.col("hub.row").alias("a"), F.col("row").alias("b")).distinct())
-    links = _compared(stars, rows, shingle, similarity)
-
-    placed = keys.join(components(links), keys["row"] == F.col("node"), "left").select(*keys.columns, F.coalesce("root", "row").alias("root"))
-    placed = cut_lineage(placed)
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rest = placed.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key")
-    rest = rest.mapInArrow(freed(search), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    return links.unionByName(_compared(cut_lineage(rest), rows, shingle, similarity))
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def keep(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, the one with the smallest id (any one of several); all columns as they are.
+    """One row of each component of ``apply``, the one with the smallest id (any one of several); all columns as they are.
 
-    Documents are linked when their sets of five-word shingles have a Jaccard similarity of at least 0.8; texts
-    without words are one component.  The rows are written once to the shared folder with a number each, so that the
-    choice stays the same when a task runs again.
+    A null text counts as empty; texts without words are one component.  A row with a null id stays only if its component
+    has no other.  The marks stand in one column whose name no column of ``docs`` has.  The rows are written once to the
+    shared folder with a number each, so that the choice stays the same when a task runs again.  An empty table gives an
+    empty result.
     """
+    mark = _free("mark", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, sets = [np.zeros(0, np.uint64)], []
-            for _, found, hashes, counts in _sets(arrow_text(batch.column(text_col)), WORDS):
-                codes.append(found)
-                sets += [xxhash.xxh3_128_digest(hashes[e - c : e].tobytes()) for e, c in zip(np.cumsum(counts).tolist(), counts.tolist())]
-            yield batch.append_column("__code", pa.array(np.concatenate(codes).view(np.int64))).append_column("__set", pa.array(sets, pa.binary()))
+            codes = fingerprints(arrow_text(batch.column(text_col))).view(np.int64)
+            yield batch.append_column(mark, pa.array(codes))
 
     spark, folder = docs.sparkSession, scratch_dir(docs.sparkSession)
-    schema = StructType([*docs.schema.fields, StructField("__code", LongType()), StructField("__set", BinaryType())])
-    small_batches(docs).mapInArrow(freed(run), schema).withColumn("__row", F.monotonically_increasing_id()).write.parquet(folder)
+    marked = small_batches(docs).mapInArrow(freed(run), StructType([*docs.schema.fields, StructField(mark, LongType())]))
+    numbered = F.struct(F.col(mark).alias("code"), F.monotonically_increasing_id().alias("row"))
+    marked.withColumn(mark, numbered).write.parquet(folder)
     marked = spark.read.parquet(folder)
-    one = cut_lineage(marked.groupBy("__set").agg(F.min("__row").alias("node")))
-    rows = marked.join(one.select(F.col("node").alias("__row")), "__row", "left_semi")
-    rows = rows.select(F.col("__row").alias("row"), F.col(text_col).alias("text"), F.col("__code").alias("code"))
-    roots = components(near_copies(rows))
-    placed = one.join(roots, "node", "left").select("__set", F.coalesce("root", "node").alias("root"))
-    first = F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col("__row").alias("row")))["row"]
-    chosen = marked.select(id_col, "__row", "__set").join(placed, "__set").groupBy("root").agg(first.alias("__row"))
-    return marked.join(chosen.select("__row"), "__row", "left_semi").select(*docs.columns)
+    rows = marked.select(F.col(id_col).alias("id"), f"{mark}.code", f"{mark}.row")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))["row"]
+    chosen = rows.join(_placed(rows).select("code", "root"), "code").groupBy("root").agg(first.alias("row"))
+    return marked.join(chosen.select("row"), F.col(f"{mark}.row") == chosen["row"], "left_semi").select(*docs.columns)

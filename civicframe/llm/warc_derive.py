@@ -21,12 +21,12 @@ from collections.abc import Iterator
 from html import unescape
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import html_blocks
-from .common import freed, small_batches, text_or_empty
+from .common import arrow_text, freed, small_batches
 
 VERSION = "WARC/1.1"
 _END = b"\r\n\r\n"
@@ -166,18 +166,18 @@ def responses(
 ) -> DataFrame:
     """Pages as response records: id, record.  A null page has an empty payload, a null address is an empty one."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch["name"], batch["url"], batch["html"])
-            found = [response(_one_line(text_or_empty(u)), text_or_empty(h).encode("utf-8", "replace"), date, str(n)) for n, u, h in rows]
-            yield pd.DataFrame({id_col: batch["id"].to_numpy(), "record": found})
+            rows = zip(*(arrow_text(batch.column(c)).to_pylist() for c in ("name", "url", "html")))
+            found = [response(_one_line(u), h.encode("utf-8", "replace"), date, n) for n, u, h in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], [id_col, "record"])
 
     kind = pages.schema[id_col].dataType.simpleString()
     rows = small_batches(pages).select(
         F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"),
         F.col(url_col).alias("url"), F.col(html_col).alias("html"),
     )
-    return rows.mapInPandas(freed(run), f"`{id_col}` {kind}, record binary")
+    return rows.mapInArrow(freed(run), f"`{id_col}` {kind}, record binary")
 
 
 def apply(records: DataFrame, *, id_col: str = "page_id", record_col: str = "record") -> DataFrame:
@@ -188,13 +188,14 @@ def apply(records: DataFrame, *, id_col: str = "page_id", record_col: str = "rec
     gives an empty result.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [derive(bytes(r) if r is not None else b"") for r in batch["record"]]
-            out = pd.DataFrame(found, columns=[*FIELDS]).astype({"n_links": "Int32", "text_chars": "Int64"})
-            out.insert(0, id_col, batch["id"].to_numpy())
-            yield out
+            found = [derive(r or b"") for r in batch.column("record").to_pylist()]
+            columns = [pa.array([x.get(name) for x in found], kinds[kind]) for name, kind in FIELDS.items()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], [id_col, *FIELDS])
 
     kind = records.schema[id_col].dataType.simpleString()
     rows = small_batches(records).select(F.col(id_col).alias("id"), F.col(record_col).alias("record"))
-    return rows.mapInPandas(freed(run), f"`{id_col}` {kind}, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items()))
+    return rows.mapInArrow(freed(run), f"`{id_col}` {kind}, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items()))
