@@ -203,3 +203,9 @@ def hash_words(words: pa.BinaryArray) -> np.ndarray:
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
         return h ^ h >> np.uint64(31)
+
+
+def drop_table(spark: SparkSession, folder: str) -> None:
+    """Remove a written table that no later step reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
