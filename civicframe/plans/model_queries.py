@@ -416,6 +416,125 @@ def ols_many_slices(t: Tables) -> DataFrame:
     return terms.groupBy("l_orderkey", "nobs", "status").agg(rounded(first, 8).alias("intercept"), rounded(second, 8).alias("slope"))
 
 
+_PER_ORDER = "l AS (SELECT l_orderkey, l_quantity AS x, CASE WHEN l_orderkey % 7 <> 0 THEN ln(l_extendedprice) END AS y, l_linestatus AS h FROM lineitem)"
+
+
+def _order_rows(t: Tables) -> DataFrame:
+    known = F.when(F.col("l_orderkey") % 7 != 0, F.ln("l_extendedprice"))
+    return t.lineitem.select("l_orderkey", "l_quantity", "l_linestatus", known.alias("price"))
+
+
+def _wide(terms: DataFrame, digits: int, errors: bool = True) -> DataFrame:
+    """A row per order: status, and the estimates of both terms."""
+    pick = {"intercept": ("(Intercept)", "estimate"), "slope": ("l_quantity", "estimate")}
+    if errors:
+        pick |= {"intercept_se": ("(Intercept)", "std_error"), "slope_se": ("l_quantity", "std_error")}
+    picked = [rounded(F.max(F.when(F.col("term") == name, F.col(c))), digits).alias(out) for out, (name, c) in pick.items()]
+    return terms.groupBy("l_orderkey", "nobs", "status").agg(*picked)
+
+
+@query(
+    "hc1_many_slices",
+    f"""
+    WITH {_PER_ORDER},
+    g AS (SELECT l_orderkey, count(y) AS n, regr_sxx(y, x) AS sxx, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(y) AS m,
+                 avg(CASE WHEN y IS NOT NULL THEN x END) AS mx FROM l GROUP BY 1),
+    e AS (SELECT l_orderkey, n, sxx, b, a, m, mx, x, CASE WHEN n = 1 OR sxx = 0 THEN y - m ELSE y - a - b * x END AS e FROM l JOIN g USING (l_orderkey)),
+    s AS (SELECT l_orderkey, sum(e * e * (x - mx) ** 2) AS bb, sum(e * e * (1.0 / n - CASE WHEN sxx > 0 THEN mx * (x - mx) / sxx ELSE 0 END) ** 2) AS aa FROM e GROUP BY 1)
+    SELECT l_orderkey, n AS nobs, CASE WHEN n = 0 THEN 'no complete rows' WHEN n = 1 OR sxx = 0 THEN 'dropped terms' WHEN n = 2 THEN 'no freedom' ELSE 'ok' END AS status,
+           round(CASE WHEN n = 1 OR sxx = 0 THEN m ELSE a END, 6) AS intercept, round(CASE WHEN n > 1 AND sxx > 0 THEN b END, 6) AS slope,
+           round(CASE WHEN n > 1 AND sxx = 0 THEN sqrt(aa * n / (n - 1.0)) WHEN n > 2 THEN sqrt(aa * n / (n - 2.0)) END, 6) AS intercept_se,
+           round(CASE WHEN n > 2 AND sxx > 0 THEN sqrt(bb * n / (n - 2.0)) / sxx END, 6) AS slope_se
+    FROM g JOIN s USING (l_orderkey)
+    """,
+)
+def hc1_many_slices(t: Tables) -> DataFrame:
+    """Robust errors of a model for every order."""
+    return _wide(many.hc1(_order_rows(t), Spec.of("price", "l_quantity"), ["l_orderkey"]), 6)
+
+
+@query(
+    "fixed_many_slices",
+    f"""
+    WITH {_PER_ORDER},
+    k AS (SELECT * FROM l WHERE y IS NOT NULL),
+    c AS (SELECT l_orderkey, x, y, h, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy FROM k WINDOW w AS (PARTITION BY l_orderkey, h)),
+    g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT h) AS groups, avg(x) AS mx, avg(y) AS my, sum(dx * dx) AS sxx, sum(dx * dy) AS sxy, sum(dy * dy) AS syy FROM c GROUP BY 1),
+    f AS (SELECT *, CASE WHEN sxx > 1e-9 THEN sxy / sxx END AS b, n - groups - (sxx > 1e-9)::INT AS dof FROM g),
+    r AS (SELECT *, greatest(syy - coalesce(b, 0) * sxy, 0) / CASE WHEN dof > 0 THEN dof END AS s2 FROM f)
+    SELECT l_orderkey, coalesce(n, 0) AS nobs,
+           CASE WHEN n IS NULL THEN 'no complete rows' WHEN b IS NULL THEN 'dropped terms' WHEN dof <= 0 THEN 'no freedom' ELSE 'ok' END AS status,
+           round(my - coalesce(b, 0) * mx, 6) AS intercept, round(b, 6) AS slope,
+           round(sqrt(s2 * (1.0 / n + CASE WHEN b IS NULL THEN 0 ELSE mx * mx / sxx END)), 6) AS intercept_se, round(CASE WHEN b IS NOT NULL THEN sqrt(s2 / sxx) END, 6) AS slope_se
+    FROM (SELECT DISTINCT l_orderkey FROM l) LEFT JOIN r USING (l_orderkey)
+    """,
+)
+def fixed_many_slices(t: Tables) -> DataFrame:
+    """A model for every order with an intercept for each line status."""
+    return _wide(many.fixed(_order_rows(t), Spec.of("price", "l_quantity"), "l_linestatus", ["l_orderkey"]), 6)
+
+
+@query(
+    "logit_many_slices",
+    """
+    WITH c AS (SELECT l_orderkey, count(*) AS n, count_if(x = 1 AND y = 1) AS a, count_if(x = 1 AND y = 0) AS b, count_if(x = 0 AND y = 1) AS c, count_if(x = 0 AND y = 0) AS d
+               FROM (SELECT l_orderkey, (l_discount > 0.05)::INT AS x, (l_quantity > 25)::INT AS y FROM lineitem) GROUP BY 1),
+    s AS (SELECT *, CASE WHEN a + c = 0 OR b + d = 0 THEN 'the outcome is constant' WHEN a + b = 0 OR c + d = 0 THEN 'dropped terms'
+                         WHEN a = 0 OR b = 0 OR c = 0 OR d = 0 THEN 'separated' ELSE 'ok' END AS status FROM c)
+    SELECT l_orderkey, n AS nobs, status,
+           round(CASE status WHEN 'ok' THEN ln(c::DOUBLE / d) WHEN 'dropped terms' THEN ln((a + c)::DOUBLE / (b + d)) END, 6) AS intercept,
+           round(CASE status WHEN 'ok' THEN ln(a::DOUBLE * d / (b * c)) END, 6) AS slope,
+           round(CASE status WHEN 'ok' THEN sqrt(1.0 / c + 1.0 / d) WHEN 'dropped terms' THEN sqrt(1.0 / (a + c) + 1.0 / (b + d)) END, 6) AS intercept_se,
+           round(CASE status WHEN 'ok' THEN sqrt(1.0 / a + 1.0 / b + 1.0 / c + 1.0 / d) END, 6) AS slope_se
+    FROM s
+    """,
+)
+def logit_many_slices(t: Tables) -> DataFrame:
+    """A logistic model for every order; most orders are too small, and those separated are named as such."""
+    rows = t.lineitem.select(
+        "l_orderkey", (F.col("l_discount") > 0.05).cast("int").alias("l_quantity"), (F.col("l_quantity") > 25).cast("int").alias("large")
+    )
+    return _wide(many.logit(rows, Spec.of("large", "l_quantity"), ["l_orderkey"]), 6)
+
+
+_HUBER_STEPS = 12
+
+
+def _huber_many_sql(steps: int = _HUBER_STEPS) -> str:
+    """Every order's steps side by side; an order that has settled keeps its numbers."""
+    fit = "CASE WHEN {sxx} > 1e-9 THEN {sxy} / {sxx} ELSE 0 END"
+    sql = f"""
+    WITH {_PER_ORDER},
+    k AS MATERIALIZED (SELECT l_orderkey, x, y FROM l WHERE y IS NOT NULL),
+    m AS MATERIALIZED (SELECT l_orderkey, count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy FROM k GROUP BY 1),
+    b0 AS MATERIALIZED (SELECT l_orderkey, n, mx, sxx > 1e-9 AS sloped, my AS a, {fit.format(sxx='sxx', sxy='sxy')} AS b, n <= 1 + (sxx > 1e-9)::INT AS over FROM m)"""
+    for i in range(steps):
+        sql += f""",
+    e{i} AS MATERIALIZED (SELECT l_orderkey, x - mx AS z, y, y - a - b * (x - mx) AS e FROM k JOIN b{i} USING (l_orderkey) WHERE NOT over),
+    s{i} AS MATERIALIZED (SELECT l_orderkey, median(abs(e)) / 0.6745 AS scale FROM e{i} GROUP BY 1),
+    w{i} AS (SELECT l_orderkey, z, y, e, CASE WHEN abs(e) <= 1.345 * scale THEN 1 ELSE 1.345 * scale / abs(e) END AS w FROM e{i} JOIN s{i} USING (l_orderkey) WHERE scale > 0),
+    t{i} AS (SELECT l_orderkey, sum(w) AS w, sum(w * z) AS wz, sum(w * z * z) AS wzz, sum(w * y) AS wy, sum(w * z * y) AS wzy, sum(e * e) AS old FROM w{i} GROUP BY 1),
+    n{i} AS (SELECT l_orderkey, old, {fit.format(sxx='(wzz - wz * wz / w)', sxy='(wzy - wz * wy / w)')} AS b, wz / w AS z, wy / w AS y FROM t{i}),
+    b{i + 1} AS MATERIALIZED (
+      SELECT o.l_orderkey, o.n, o.mx, o.sloped, CASE WHEN n.old IS NULL THEN o.a ELSE n.y - CASE WHEN o.sloped THEN n.b * n.z ELSE 0 END END AS a,
+             CASE WHEN n.old IS NULL THEN o.b WHEN o.sloped THEN n.b ELSE 0 END AS b,
+             o.over OR n.old IS NULL OR sqrt((o.n * (n.y - CASE WHEN o.sloped THEN n.b * n.z ELSE 0 END - o.a) ** 2
+               + CASE WHEN o.sloped THEN (n.b - o.b) ** 2 * m.sxx ELSE 0 END) / greatest(n.old, 1e-20)) <= 1e-4 AS over
+      FROM b{i} o JOIN m USING (l_orderkey) LEFT JOIN n{i} n USING (l_orderkey))"""
+    return sql + f"""
+    SELECT l_orderkey, coalesce(n, 0) AS nobs,
+           CASE WHEN n IS NULL THEN 'no complete rows' WHEN n <= 1 + sloped::INT THEN 'no freedom' WHEN NOT over THEN 'not converged' WHEN sloped THEN 'ok' ELSE 'dropped terms' END AS status,
+           round(a - b * mx, 4) AS intercept, round(CASE WHEN sloped THEN b END, 4) AS slope
+    FROM (SELECT DISTINCT l_orderkey FROM l) LEFT JOIN b{steps} USING (l_orderkey)"""
+
+
+@query("huber_many_slices", _huber_many_sql())
+def huber_many_slices(t: Tables) -> DataFrame:
+    """A robust line through every order; those that still move after the last step are named as such."""
+    fits = many.huber(_order_rows(t), Spec.of("price", "l_quantity"), ["l_orderkey"], max_steps=_HUBER_STEPS)
+    return _wide(fits, 4, errors=False)
+
+
 LABELS = {"l_quantity": "Quantity", "(Intercept)": "Intercept"}
 
 

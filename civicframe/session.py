@@ -60,6 +60,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return os.path.join(_own_folder(spark), f"civicframe-{uuid.uuid4().hex}")
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a written table that no later step reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df):
     """Checkpoint ``df`` in the shared folder, so lost executors cost a re-read."""
     spark = df.sparkSession

@@ -1,5 +1,6 @@
 """Regressions against independent numpy fits, and their properties."""
 
+import itertools
 import math
 
 import numpy as np
@@ -334,3 +335,123 @@ def test_one_spec_many_estimators(data):
     kinds = {e: R.fit(binary(data), spec, e).models[()] for e in ("ols", "hc1", "logit", "huber")}
     assert np.allclose(kinds["ols"].beta, kinds["hc1"].beta)
     assert all(np.sign(m.beta[2]) == 1 for m in kinds.values())
+
+
+def _slices_of(rng, count=60):
+    out = []
+    for g in range(count):
+        n = int(rng.integers(1, 40))
+        x, z = rng.normal(size=n).round(2), rng.integers(0, 3, n).astype(float)
+        y = 1 + 2 * x - z + rng.standard_t(2, n)
+        out += [(g, float(a), float(b), float(c), f"h{i % 3}") for i, (a, b, c) in enumerate(zip(x, z, y))]
+    return out
+
+
+def _same(got, fit, df_slices, names=("estimate", "std_error", "p_value", "conf_low", "conf_high"), rel=1e-6):
+    known = {(r["g"], r["term"]): r for r in report.coefficients(fit).collect()}
+    compared = 0
+    for r in got:
+        if r["status"] == "ok":
+            for c in names:
+                want = known[r["g"], r["term"]][c]
+                assert r[c] == pytest.approx(want, rel=rel, abs=1e-7), (r, c)
+            compared += 1
+    return compared
+
+
+def test_many_robust_and_fixed(frame):
+    rows_in = _slices_of(np.random.default_rng(5)) + [(None, float(i % 5), float(i % 2), float(i % 7), "h") for i in range(30)] + [(99, None, 1.0, 1.0, "h")]
+    df = frame("g int, x double, z double, y double, h string", *rows_in)
+    spec = D.Spec.of("y", "x", "z")
+    got = many.hc1(df, spec, ["g"]).collect()
+    assert _same(got, R.ols(df, spec, ["g"], vcov="HC1"), df) > 100
+    assert {r["status"] for r in got if r["g"] == 99} == {"no complete rows"}
+    got = many.fixed(df, spec, "h", ["g"]).collect()
+    assert _same(got, R.ols_fixed(df, spec, "h", ["g"]).fit, df) > 100
+    poly = D.Spec.of("y", D.Poly("x", 2), "z")
+    assert _same(many.ols(df, poly, ["g"]).collect(), R.ols(df, poly, ["g"]), df) > 100
+
+
+def test_many_huber(frame):
+    rows_in = _slices_of(np.random.default_rng(6)) + [(77, float(i), 0.0, 3.0 * i, "h") for i in range(8)]
+    df = frame("g int, x double, z double, y double, h string", *rows_in)
+    spec = D.Spec.of("y", "x", "z")
+    got = many.huber(df, spec, ["g"]).collect()
+    fit = R.huber(df, spec, ["g"])
+    good = [r for r in got if fit.models[r["g"],].stats["converged"] and r["nobs"] > 4 and r["g"] != 77]
+    assert _same(good, fit, df, ("estimate", "std_error"), 1e-5) > 100
+    assert len({r["g"] for r in got}) == len({r[0] for r in rows_in})
+
+
+def test_brackets_hold_exact_medians(spark, monkeypatch):
+    monkeypatch.setattr(many, "SMALL", 3)
+    monkeypatch.setattr(many, "BINS", 8)
+    rng = np.random.default_rng(1)
+    values = {g: np.round(rng.exponential(size=int(rng.integers(1, 60))), 2 if g % 2 else 6) for g in range(40)}
+    left = {g: (0.5, 0.9) if g % 3 else (0.0, 9.0) for g in values}
+    found = {}
+    for _ in range(30):
+        rows_in = [(g, float(v), len(values[g]), *left[g]) for g in left for v in values[g]]
+        df = spark.createDataFrame(rows_in, "g int, v double, n long, lo double, hi double")
+        for r in many._medians(df, ["g"]).collect():
+            if r["median"] is None:
+                left[r["g"]] = (r["new_lo"], r["new_hi"])
+            else:
+                found[r["g"]] = r["median"]
+                left.pop(r["g"])
+        if not left:
+            break
+    assert found == {g: pytest.approx(np.median(v)) for g, v in values.items()}
+
+
+def _separable(x, y):
+    """Is there a line with no row on its wrong side and some row off it?  All directions that rows can decide, one regressor or two."""
+    points = [np.array([1.0, *np.atleast_1d(v)]) for v in x]
+    signs = [1 if v else -1 for v in y]
+    k = len(points[0])
+    candidates = [np.eye(k)[i] * s for i in range(k) for s in (1, -1)]
+    for pair in itertools.combinations(points, k - 1):
+        normal = np.linalg.svd(np.array(pair))[2][-1]
+        candidates += [normal, -normal]
+    for c in candidates:
+        side = np.array([s * (p @ c) for s, p in zip(signs, points)])
+        if side.min() >= -1e-9 and side.max() > 1e-6:
+            return True
+    return False
+
+
+def test_many_logit_finds_separation(frame):
+    rng = np.random.default_rng(8)
+    rows_in = []
+    for g in range(250):
+        n = int(rng.integers(3, 12))
+        x, z = rng.integers(0, 4, n), rng.integers(0, 4, n)
+        y = (x + rng.normal(size=n) * rng.choice([0.01, 1, 4]) > 1.5).astype(int)
+        rows_in += [(g, float(a), float(b), int(c)) for a, b, c in zip(x, z, y)]
+    rows_in += [(500, 1.0, 1.0, 3), (501, None, 1.0, 1)]
+    df = frame("g int, x double, z double, y int", *rows_in)
+    for spec, take in ((D.Spec.of("y", "x"), 1), (D.Spec.of("y", "x", "z"), 2)):
+        got = many.logit(df, spec, ["g"]).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r["g"], []).append(r)
+        seen = {"separated": 0, "fitted": 0}
+        for g in range(250):
+            part = [r for r in rows_in if r[0] == g]
+            x, y = [r[1 : 1 + take] for r in part], [r[3] for r in part]
+            status = by[g][0]["status"]
+            if len(set(y)) == 1:
+                assert status == "the outcome is constant"
+            elif _separable(x, y) and status != "dropped terms":
+                seen["separated"] += 1
+                assert status == "separated" and any(r["separates"] for r in by[g]) and by[g][0]["estimate"] is None
+            elif status == "ok":
+                seen["fitted"] += 1
+                b = [r["estimate"] for r in sorted(by[g], key=lambda r: ["(Intercept)", "x", "z"].index(r["term"]))]
+                design = np.c_[np.ones(len(x)), np.array(x)]
+                p = 1 / (1 + np.exp(-design @ b))
+                assert np.abs(design.T @ (np.array(y) - p)).max() < 1e-6
+        assert min(seen.values()) > 10
+        assert by[500][0]["status"] == "the outcome is not 0 or 1" and by[501][0]["status"] == "no complete rows"
+    whole = many.logit(df.where("y < 2"), D.Spec.of("y", "x", "z"), ["y"]).collect()
+    assert {r["status"] for r in whole} == {"the outcome is constant"}
