@@ -6,27 +6,31 @@ right crosses an odd number of edges of all rings.  An edge is crossed when
 exactly one of its ends is above the point (half-open in y), so a point on a
 shared border belongs to one side only.
 
-Polygons are cut into grid cells whose size follows their own size, so the number
-of cells is bounded whatever the areas are.  A cell keeps only the edges a ray
-from it can meet, and cells wholly inside keep none.  Points look their cell up
-once per cell size (mostly there is one); the rows of the points are never
-multiplied or shuffled while the index is small enough to broadcast.
+Polygons are indexed by an adaptive tree of square cells.  A coarse grid covers a layer;
+a cell that holds too many edges, counted over all its polygons, is cut into 4 by 4 parts, and so on.  A cell keeps only the
+edges a ray from it can meet; a polygon that covers it wholly keeps none and shuts out all
+polygons with a higher key.  The cells that are not cut cover the layer's surroundings without overlap, so every point lies in exactly
+one: points look up the cells above them at all sizes in one join, and one row of that finds its cell.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage
+from ..session import scratch_dir
 
-#: Index bytes up to which it is broadcast.
-BROADCAST_BYTES = 64 << 20
-#: Most cell sizes in one index; smaller polygons share the smallest.
-MAX_LEVELS = 8
+#: Edges of all polygons that a cell may hold before it is cut, and how often it may be (a corner that many polygons share never thins out).
+CELL_EDGES, CUTS = 24, 10
+#: Parts of a cell that is cut, along a side, and how much smaller they are as a power of two.
+ACROSS, DEEPER = 4, 2
+#: Cells of the first grid along the longer side of a layer.
+GRID = 32
 
 
 def edges_of(rings: Column) -> Column:
@@ -78,133 +82,164 @@ def centroid(rings: Column) -> Column:
     return F.aggregate(edges_of(rings), zero, step, finish)
 
 
-def cell_levels(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """Cell size (as a power of two) for each size class of polygons.
-
-    ``counts`` maps size class l, meaning an extent up to 2**l, to its number of
-    polygons.  A polygon of class l cut at level g has up to 4**(l-g) cells.
-    Neighbouring classes share the level of the smallest while their cells stay
-    within ``budget``; one level means one lookup per point.  If that needs too
-    many levels, cells get coarser, and at last only the biggest classes keep
-    levels of their own.
-    """
-    classes = sorted(counts)
-    for detail in (4, 3, 2):
-        levels: dict[int, int] = {}
-        base, cells = None, 0
-        for c in classes:
-            if base is not None and cells + counts[c] * 4 ** (c - base + detail) <= budget:
-                cells += counts[c] * 4 ** (c - base + detail)
-            else:
-                base, cells = c, counts[c] * 4**detail
-            levels[c] = base - detail
-        if len(set(levels.values())) <= 3 and max(counts.values()) * 4**detail <= budget:
-            return levels
-    floor = classes[-1] - MAX_LEVELS + 1
-    return {c: max(c, floor) - 2 for c in classes}
-
-
-def _cells(
-    polygons: DataFrame, key: str, rings: str, within: Sequence[str], budget: int
-) -> tuple[DataFrame | None, list[int]]:
-    """One row per polygon and cell: (within, level, ix, iy, key, inside, edges)."""
-    shapes = polygons.select(*within, F.col(key).alias("__key"), edges_of(F.col(rings)).alias("e"))
-    shapes = shapes.filter(F.size("e") > 0)
+def _shapes(layers: dict[str, tuple[DataFrame, str]], rings: str, within: Sequence[str]) -> DataFrame:
+    """Polygons of all layers: layer number, key (a struct with one field a layer, so that each keeps its type), within, edges, extent."""
+    parts = []
+    for i, (polygons, key) in enumerate(layers.values()):
+        fields = [
+            (F.col(key) if j == i else F.lit(None).cast(other.schema[k].dataType)).alias(f"k{j}")
+            for j, (other, k) in enumerate(layers.values())
+        ]
+        parts.append(polygons.select(F.lit(i).alias("layer"), F.struct(*fields).alias("key"), F.struct(F.lit(0).alias("all"), *within).alias("within"), edges_of(F.col(rings)).alias("e")))
+    shapes = reduce(DataFrame.unionByName, parts).filter(F.size("e") > 0)
     xs, ys = F.transform("e", lambda e: e.x1), F.transform("e", lambda e: e.y1)
-    shapes = shapes.withColumns(
-        {"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)}
-    )
+    return shapes.withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)})
+
+
+def _grids(shapes: DataFrame) -> DataFrame:
+    """One row a layer: the grid's cell size as a power of two, and its first and last columns and rows, one beyond all polygons."""
+    ends = shapes.groupBy("layer").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
     extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-12))
-    shapes = shapes.withColumn("class", F.ceil(F.log2(extent)).cast("int"))
-    # One row per power of two: a few dozen at most.
-    counts = {r["class"]: r["count"] for r in shapes.groupBy("class").count().collect()}
-    if not counts:
-        return None, []
-    chosen = cell_levels(counts, budget)
-    level = F.lit(None).cast("int")
-    for c, lv in chosen.items():
-        level = F.when(F.col("class") == c, F.lit(lv)).otherwise(level)
-    shapes = shapes.withColumn("__level", level).withColumn("c", F.pow(F.lit(2.0), F.col("__level")))
-
-    def cell(v: str) -> Column:
-        return F.floor(F.col(v) / F.col("c"))
-
-    bands = shapes.withColumn("__iy", F.explode(F.sequence(cell("y0"), cell("y1"))))
-    low, high = F.col("__iy") * F.col("c"), (F.col("__iy") + 1) * F.col("c")
-    bands = bands.withColumn("e", F.filter("e", lambda e: (F.least(e.y1, e.y2) < high) & (F.greatest(e.y1, e.y2) >= low)))
-    cells = bands.withColumn("__ix", F.explode(F.sequence(cell("x0"), cell("x1"))))
-    left, right = F.col("__ix") * F.col("c"), (F.col("__ix") + 1) * F.col("c")
-    cells = cells.withColumn("e", F.filter("e", lambda e: F.greatest(e.x1, e.x2) >= left))
-    cells = cells.withColumn("touched", F.exists("e", lambda e: F.least(e.x1, e.x2) <= right))
-    middle = contains(F.col("e"), (left + right) / 2, (low + high) / 2)
-    cells = cells.withColumn("inside", ~F.col("touched") & middle).filter("touched or inside")
-    edges = F.when(F.col("inside"), F.slice("e", 1, 0)).otherwise(F.col("e"))
-    cells = cells.select(*within, "__level", "__ix", "__iy", "__key", "inside", edges.alias("edges"))
-    # Read several times below (sizes, one lookup per level), so it is built once.
-    return cut_lineage(cells), sorted(set(chosen.values()))
-
-
-def _at_level(points: DataFrame, x: Column, y: Column, level: int) -> DataFrame:
-    size = F.lit(float(2.0**level))
-    return points.withColumns({"__ix": F.floor(x / size), "__iy": F.floor(y / size)})
+    ends = ends.withColumn("top", F.ceil(F.log2(extent / GRID)).cast("int"))
+    size = F.pow(F.lit(2.0), F.col("top"))
+    return ends.select("layer", "top", *[
+        (F.floor(F.col(end) / size) + step).alias(name)
+        for name, end, step in (("gx0", "x0", -1), ("gx1", "x1", 1), ("gy0", "y0", -1), ("gy1", "y1", 1))
+    ])
 
 
-def assign_polygon(
-    points: DataFrame,
-    x: str,
-    y: str,
-    polygons: DataFrame,
-    key: str,
-    name: str,
-    *,
-    rings: str = "rings",
-    within: Sequence[str] = (),
-    broadcast_bytes: int = BROADCAST_BYTES,
-    salt: int = 16,
+def _square(level: Column, ix: Column, iy: Column) -> tuple[Column, Column, Column, Column]:
+    size = F.pow(F.lit(2.0), level)
+    return ix * size, (ix + 1) * size, iy * size, (iy + 1) * size
+
+
+def _met(edges: Column, level: Column, ix: Column, iy: Column) -> Column:
+    """The edges that rays from a cell can meet."""
+    left, _, low, high = _square(level, ix, iy)
+    return F.filter(
+        edges, lambda e: (F.least(e.y1, e.y2) < high) & (F.greatest(e.y1, e.y2) >= low) & (F.greatest(e.x1, e.x2) >= left)
+    )
+
+
+def _held(cells: DataFrame) -> DataFrame:
+    """Cells of polygons that reach into them; ``n`` edges are in the cell itself, and a polygon without any covers it."""
+    left, right, low, high = _square(F.col("level"), F.col("ix"), F.col("iy"))
+    inside = F.col("inside") | contains(F.col("e"), (left + right) / 2, (low + high) / 2)
+    cells = cells.withColumn("n", F.size(F.filter("e", lambda e: F.least(e.x1, e.x2) <= right)))
+    cells = cells.withColumn("inside", (F.col("n") == 0) & inside).filter("n > 0 OR inside")
+    return cells.withColumn("e", F.when(F.col("inside"), F.slice("e", 1, 0)).otherwise(F.col("e")))
+
+
+_CELL = ("layer", "level", "ix", "iy")
+
+
+def _first_cells(shapes: DataFrame) -> DataFrame:
+    """The polygons in the cells of their layers' grids."""
+    grids = _grids(shapes)
+    grid = F.struct("top", "gx0", "gx1", "gy0", "gy1").alias("grid")
+    placed = shapes.join(grids, "layer").withColumn("level", F.col("top"))
+    size = F.pow(F.lit(2.0), F.col("top"))
+    rows = placed.withColumn("iy", F.explode(F.sequence(F.floor(F.col("y0") / size), F.floor(F.col("y1") / size))))
+    low, high = F.col("iy") * size, (F.col("iy") + 1) * size
+    rows = rows.withColumn("e", F.filter("e", lambda e: (F.least(e.y1, e.y2) < high) & (F.greatest(e.y1, e.y2) >= low)))
+    rows = rows.withColumn("ix", F.explode(F.sequence(F.floor(F.col("x0") / size), F.floor(F.col("x1") / size))))
+    rows = rows.withColumn("e", _met(F.col("e"), F.col("level"), F.col("ix"), F.col("iy")))
+    cells = _held(rows.select(*_CELL, grid, "key", "within", F.lit(False).alias("inside"), "e"))
+    # Open ground: a row without a polygon keeps every cell of the grid, also the empty ones.
+    ground = grids.withColumn("ix", F.explode(F.sequence("gx0", "gx1"))).withColumn("iy", F.explode(F.sequence("gy0", "gy1")))
+    empty = [F.lit(None).cast(shapes.schema[c].dataType).alias(c) for c in ("key", "within")]
+    no_edges = F.array().cast(shapes.schema["e"].dataType).alias("e")
+    ground = ground.select("layer", F.col("top").alias("level"), "ix", "iy", grid, *empty, F.lit(True).alias("inside"), no_edges, F.lit(0).alias("n"))
+    return cells.unionByName(ground)
+
+
+def _parts(cells: DataFrame) -> DataFrame:
+    """Each cell cut into ``ACROSS`` by ``ACROSS``."""
+
+    def part(q: Column) -> Column:
+        ix, iy = F.col("ix") * ACROSS + q % ACROSS, F.col("iy") * ACROSS + F.floor(q / ACROSS)
+        level = F.col("level") - DEEPER
+        return F.struct(level.alias("level"), ix.alias("ix"), iy.alias("iy"), _met(F.col("e"), level, ix, iy).alias("e"))
+
+    parts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(ACROSS**2 - 1)), part)).alias("p")
+    cells = cells.select("layer", "grid", "key", "within", F.col("inside").alias("whole"), parts)
+    return _held(cells.select("layer", "p.level", "p.ix", "p.iy", "grid", "key", "within", F.col("whole").alias("inside"), "p.e"))
+
+
+def _index(shapes: DataFrame) -> DataFrame:
+    """The cells that are not cut, a row for each of their polygons: layer, level, ix, iy, grid, key, within, inside, e.
+
+    A polygon that covers a cell shuts out those with a higher key.  Each depth of all layers is one job, which writes the cells that stay apart from those
+    to be cut; the next depth reads only these, and there is none where no cell was cut.
+    """
+    spark, folder = shapes.sparkSession, scratch_dir(shapes.sparkSession)
+    cell = Window.partitionBy(*_CELL)
+    own = Window.partitionBy(*_CELL, "within") if len(shapes.schema["within"].dataType.fields) > 1 else cell
+    cells, schema = _first_cells(shapes), None
+    for depth in range(CUTS + 1):
+        lowest = F.min(F.when(F.col("inside"), F.col("key"))).over(own)
+        cells = cells.repartition(*_CELL).withColumn("lowest", lowest)
+        cells = cells.filter("key IS NULL OR lowest IS NULL OR key <= lowest").drop("lowest")
+        crowded = F.sum("n").over(cell) > CELL_EDGES if depth < CUTS else F.lit(False)
+        cells = cells.withColumn("cut", F.coalesce(crowded, F.lit(False))).drop("n")
+        schema = schema or T.StructType([*[f for f in cells.schema.fields if f.name not in ("cut", "layer")]])
+        cells.write.partitionBy("cut", "layer").parquet(f"{folder}/depth={depth}")
+        kinds = T.StructType([*schema.fields, T.StructField("depth", T.IntegerType()), T.StructField("cut", T.BooleanType()), T.StructField("layer", T.IntegerType())])
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/depth={depth}/cut=true")
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            break
+        cells = _parts(spark.read.schema(kinds).option("basePath", folder).parquet(f"{folder}/depth={depth}").filter("cut"))
+    return spark.read.schema(kinds).parquet(folder).filter("NOT cut").drop("depth", "cut")
+
+
+def assign_layers(
+    points: DataFrame, x: str, y: str, layers: dict[str, tuple[DataFrame, str]], *, rings: str = "rings", within: Sequence[str] = ()
 ) -> DataFrame:
-    """Add column ``name``: the lowest ``key`` whose polygon holds the point, else null.
+    """Add one column per layer, ``{column: (polygons, key)}``: the lowest ``key`` whose polygon holds the point, else null.
 
-    ``within`` lists columns (such as the state) that must be equal on both
-    sides.  In a cell that some polygon covers wholly, polygons with a higher key can
-    win no point and are left out, so stacks of large polygons do not crowd the cells.
+    ``within`` lists columns (such as the state) that must be equal on both sides; a null there equals nothing.  All layers are indexed together in a
+    table; Spark knows the size of that table and broadcasts it while it is small.  Beyond that points are shuffled once a layer, with one row for each size
+    of cells that the layer has, and large partitions are split as skewed joins are.
     """
-    cells, levels = _cells(polygons, key, rings, within, broadcast_bytes // 1000)
-    if not levels:
-        return points.withColumn(name, F.lit(None).cast(polygons.schema[key].dataType))
-    at = [*within, "__level", "__ix", "__iy"]
-    lowest = F.min(F.when(F.col("inside"), F.col("__key"))).over(Window.partitionBy(*at))
-    cells = cells.withColumn("__low", lowest).filter("__low IS NULL OR __key <= __low").drop("__low")
-    size = cells.agg(F.coalesce(F.sum(F.size("edges") * 32 + 64), F.lit(0)).alias("bytes")).first()
-    small = size["bytes"] <= broadcast_bytes
+    if not layers:
+        return points
+    table = _index(_shapes(layers, rings, within))
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    index = cells.groupBy(*at).agg(
-        F.sort_array(F.collect_list(F.struct("__key", "inside", "edges"))).alias("__found")
-    )
-    out, hits = points, []
-    for i, level in enumerate(levels):
-        side = index.filter(F.col("__level") == level).drop("__level").withColumnRenamed("__found", f"__found_{i}")
-        out = _lookup(_at_level(out, px, py, level), side, [*within, "__ix", "__iy"], small, salt)
-        held = F.filter(f"__found_{i}", lambda p: p.inside | contains(p.edges, px, py))
-        out = out.withColumn(f"__hit_{i}", F.get(held, F.lit(0)).getField("__key")).drop(f"__found_{i}", "__ix", "__iy")
-        hits.append(f"__hit_{i}")
-    best = F.col(hits[0]) if len(hits) == 1 else F.least(*hits)
-    return out.withColumn(name, best).drop(*hits)
-
-
-def _lookup(points: DataFrame, side: DataFrame, on: Sequence[str], small: bool, salt: int) -> DataFrame:
-    """Join the index to the points: broadcast if measured small, else with the cells spread over salts."""
-    if small:
-        return points.join(F.broadcast(side), list(on), "left")
-    cols = [F.col(c) for c in points.columns]
-    points = points.withColumn("__salt", F.pmod(F.xxhash64(*cols), F.lit(salt)).cast("int"))
-    side = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return points.join(side, [*on, "__salt"], "left").drop("__salt")
+    out = points
+    for i, name in enumerate(layers):
+        side = table.filter(F.col("layer") == i)
+        beyond = F.col("grid.top") - F.col("level")
+        extent = side.agg(F.max("grid").alias("grid"), F.min("level").alias("low"), F.max(beyond).alias("__deep"))
+        at = out.crossJoin(F.broadcast(extent.withColumnsRenamed({"grid": "__grid", "low": "__low"})))
+        size = F.pow(F.lit(2.0), F.col("__low"))
+
+        def place(value: Column, first: str, last: str) -> Column:
+            """The finest cell of a coordinate; beyond the grid its outermost cell, which holds nothing."""
+            fine = F.pow(F.lit(2.0), F.col("__deep"))
+            ends = F.col(f"__grid.{first}") * fine, (F.col(f"__grid.{last}") + 1) * fine - 1
+            return F.floor(F.least(F.greatest(F.coalesce(value / size, ends[0]), ends[0]), ends[1]))
+
+        at = at.withColumns({"__fx": place(px, "gx0", "gx1"), "__fy": place(py, "gy0", "gy1")})
+        at = at.withColumn("__level", F.explode_outer(F.sequence(F.lit(0), F.col("__deep"), F.lit(DEEPER))))
+        scale = F.pow(F.lit(2.0), F.col("__level"))
+        at = at.withColumns({"__ix": F.floor(F.col("__fx") / scale), "__iy": F.floor(F.col("__fy") / scale), "__level": F.col("__low") + F.col("__level")})
+        entry = F.when(F.col("key").isNotNull(), F.struct("key", "within", "inside", F.col("e").alias("edges")))
+        side = side.groupBy(F.col("level").alias("__level"), F.col("ix").alias("__ix"), F.col("iy").alias("__iy"))
+        side = side.agg(F.sort_array(F.collect_list(entry)).alias("__found"))
+        at = at.join(side, ["__level", "__ix", "__iy"], "left").filter("__found IS NOT NULL OR __level IS NULL")
+
+        def holds(p: Column) -> Column:
+            same = reduce(lambda a, b: a & b, [p["within"][c] == F.col(c) for c in within], F.lit(True))
+            return same & (p["inside"] | contains(p["edges"], px, py))
+
+        first = F.get(F.filter("__found", holds), F.lit(0))
+        hidden = ["__grid", "__low", "__deep", "__fx", "__fy", "__level", "__ix", "__iy", "__found"]
+        out = at.withColumn(name, first["key"][f"k{i}"]).drop(*hidden)
+    return out
 
 
-def assign_layers(
-    points: DataFrame, x: str, y: str, layers: dict[str, tuple[DataFrame, str]], **kw
+def assign_polygon(
+    points: DataFrame, x: str, y: str, polygons: DataFrame, key: str, name: str, *, rings: str = "rings", within: Sequence[str] = ()
 ) -> DataFrame:
-    """Add one id column per layer: ``{column: (polygons, key)}``."""
-    for name, (polygons, key) in layers.items():
-        points = assign_polygon(points, x, y, polygons, key, name, **kw)
-    return points
+    """``assign_layers`` for one layer: add column ``name``."""
+    return assign_layers(points, x, y, {name: (polygons, key)}, rings=rings, within=within)

@@ -1,6 +1,7 @@
 """Point-in-polygon against brute force, with every lookup path."""
 
 import random
+from collections import Counter
 
 import pytest
 from conftest import one, rows
@@ -63,25 +64,21 @@ def expected(data, shapes, by_state):
     return out
 
 
-PATHS = {
-    "broadcast": {},
-    "salted": {"broadcast_bytes": 0},
-}
-
-
-@pytest.mark.parametrize("path", PATHS)
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
 @pytest.mark.parametrize("by_state", [False, True])
-def test_assignment(spark, cloud, path, by_state):
+def test_assignment(spark, cloud, threshold, by_state):
     shapes = polygons(spark, SHAPES)
     if not by_state:
         shapes = shapes.drop("state")
-    got = spatial.assign_polygon(
-        cloud, "x", "y", shapes, "id", "hit", within=["state"] if by_state else [], **PATHS[path]
-    )
-    assert set(got.columns) == {"pid", "state", "x", "y", "hit"}
-    found = {r["pid"]: r["hit"] for r in got.collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = spatial.assign_polygon(cloud, "x", "y", shapes, "id", "hit", within=["state"] if by_state else [])
+        assert set(got.columns) == {"pid", "state", "x", "y", "hit"}
+        found = {r["pid"]: r["hit"] for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     data = [tuple(r) for r in cloud.collect()]
-    assert found == expected(data, SHAPES, by_state)
+    assert len(found) == len(data) and found == expected(data, SHAPES, by_state)
 
 
 def test_crowded_cells(spark, cloud):
@@ -121,12 +118,31 @@ def test_no_polygons(spark, cloud):
     assert got.filter("hit is not null").count() == 0 and got.count() == cloud.count()
 
 
-def test_cell_levels_stay_within_the_budget():
-    counts = {c: 1000 for c in range(-6, 3)}
-    levels = spatial.cell_levels(counts, 64_000)
-    assert set(levels) == set(counts) and len(set(levels.values())) <= spatial.MAX_LEVELS
-    assert all(levels[c] <= c for c in counts)
-    assert len(set(spatial.cell_levels({1: 5, 2: 5, 3: 5}, 64_000).values())) == 1
+def test_layers_of_other_key_types_in_one_index(spark, cloud):
+    odd = cloud.unionByName(small_frame(spark, [(-2, None, float("nan"), 1.0), (-3, "C", 1e300, -1e300)], cloud.schema))
+    named = polygons(spark, SHAPES).withColumn("name", F.concat(F.lit("n"), "id"))
+    got = spatial.assign_layers(odd, "x", "y", {"a": (named, "id"), "b": (named.filter("id > 2"), "name"), "c": (named.limit(0), "id")})
+    data = [tuple(r) for r in odd.collect()]
+    a, b = expected(data, SHAPES, False), expected(data, [s for s in SHAPES if s[0] > 2], False)
+    assert {r["pid"]: (r["a"], r["b"], r["c"]) for r in got.collect()} == {p: (a[p], f"n{b[p]}" if b[p] else None, None) for p in a}
+
+
+def test_cells_are_cut_where_edges_are(spark):
+    rng = random.Random(2)
+    shapes = [(i, "A", [ring((x, y), (x + 0.001, y), (x, y + 0.001))]) for i in range(300) for x, y in [(50 + rng.random() / 50, 50 + rng.random() / 50)]]
+    shapes.append((999, "A", [ring((0, 0), (100, 0), (100, 100), (0, 100))]))
+    found = spatial._index(spatial._shapes({"a": (polygons(spark, shapes).drop("state"), "id")}, "rings", [])).collect()
+    tree = list({(r["level"], r["ix"], r["iy"]): r for r in found}.values())
+    top = max(r["level"] for r in tree)
+    fine = [r for r in tree if r["level"] < top]
+    assert len({r["level"] for r in tree}) > 3 and all(48 <= r["ix"] * 2.0 ** r["level"] < 52 for r in fine)
+    # The cells lie side by side: together they have the area of the grid.
+    grid = tree[0]["grid"]
+    assert sum(4.0 ** r["level"] for r in tree) == (grid["gx1"] - grid["gx0"] + 1) * (grid["gy1"] - grid["gy0"] + 1) * 4.0**top
+    held = Counter()
+    for r in found:
+        held[r["level"], r["ix"], r["iy"]] += len(r["e"])
+    assert max(held.values()) < 120
 
 
 @pytest.mark.parametrize(
@@ -149,8 +165,9 @@ def test_flat_polygon_has_no_centroid(spark):
     assert one(polygons(spark, [(1, "A", flat)]).select(spatial.centroid(F.col("rings")).alias("c")))["c"] is None
 
 
-def test_points_are_not_shuffled(spark, cloud):
-    got = spatial.assign_polygon(cloud, "x", "y", polygons(spark, SHAPES).drop("state"), "id", "hit")
+def test_one_lookup_per_layer(spark, cloud):
+    shapes = polygons(spark, SHAPES).drop("state")
+    got = spatial.assign_layers(cloud, "x", "y", {"a": (shapes, "id"), "b": (shapes, "id")})
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
     assert len(rows(got)) == cloud.count()
