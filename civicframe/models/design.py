@@ -212,37 +212,37 @@ def _numeric(df: DataFrame, spec: Spec) -> tuple[DataFrame, set[str]]:
 def poly_constants(
     df: DataFrame, polys: Sequence[Poly], slices: Sequence[str]
 ) -> tuple[dict[tuple, list[float]], dict[tuple, str]]:
-    """Constants of every polynomial by slice, from two aggregates; and the slices that have none, with the reason.
+    """Constants of every polynomial by slice, from one aggregate; and the slices that have none, with the reason.
 
     Without slices the reason is raised.
 
     With c = x - mean, power sums of c give everything: s2 = sum c^2,
     a = sum c^3 / s2, and the squared length of (c-a)c - s2/n is
-    sum c^4 - a * sum c^3 - s2^2 / n.  Rows with a null or NaN in *other* columns
+    sum c^4 - a * sum c^3 - s2^2 / n.  Spark's variance, skewness and kurtosis hold these
+    sums about the mean and combine them task by task, so no pass for the mean comes first.  Rows with a null or NaN in *other* columns
     count; only those of the polynomial's own column are left out.
     """
     present = {p.column: F.when(~F.isnan(p.column), F.col(p.column)) for p in polys}
     cols = list(present)
-    grouped = df.groupBy(*slices).agg(*[F.avg(present[c]).alias(f"m_{c}") for c in cols])
-    means = {tuple(r[s] for s in slices): [r[f"m_{c}"] for c in cols] for r in grouped.collect()}
-    problems = {k: f"no value of {cols[v.index(None)]}" for k, v in means.items() if None in v}
-    means = {k: v for k, v in means.items() if k not in problems}
-    if not means:
-        if not slices:
-            raise ValueError(next(iter(problems.values()), "no rows"))
-        return {}, problems
-    table = SliceTable(df, slices, {"__means": means})
     sums = []
     for i, c in enumerate(cols):
-        d = present[c] - table.get("__means", i)
-        sums += [F.count(d).alias(f"n_{c}"), *[F.sum(F.pow(d, F.lit(float(k)))).alias(f"s{k}_{c}") for k in (2, 3, 4)]]
-    out = {}
-    for r in table.df.groupBy(*slices).agg(*sums).collect():
+        kinds = (("n", F.count), ("m", F.avg), ("v", F.var_pop), ("g", F.skewness), ("k", F.kurtosis))
+        sums += [f(present[c]).alias(f"{name}{i}") for name, f in kinds]
+    out, problems = {}, {}
+    found = df.groupBy(*slices).agg(*sums).collect()
+    if not found:
+        return {}, {}
+    for r in found:
         key = tuple(r[s] for s in slices)
         flat: list[float] = []
         for p in polys:
-            c = p.column
-            n, s2, s3, s4 = r[f"n_{c}"], r[f"s2_{c}"], r[f"s3_{c}"], r[f"s4_{c}"]
+            c, i = p.column, cols.index(p.column)
+            n, mean, var = r[f"n{i}"], r[f"m{i}"], r[f"v{i}"]
+            if not n:
+                problems[key] = f"no value of {c}"
+                break
+            s2 = n * var
+            s3, s4 = (n * r[f"g{i}"] * var**1.5, n * (r[f"k{i}"] + 3) * var**2) if s2 > 0 else (0.0, 0.0)
             if not s2 > 0:
                 problems[key] = f"{c} is constant"
                 break
@@ -251,7 +251,7 @@ def poly_constants(
             if p.degree == 2 and not length2 > 1e-12 * s4:
                 problems[key] = f"{c} has too few distinct values for degree 2"
                 break
-            flat += PolyConst(means[key][cols.index(c)], a, s2 / n, sqrt(s2), sqrt(max(length2, 0.0)) or 1.0).values()
+            flat += PolyConst(mean, a, s2 / n, sqrt(s2), sqrt(max(length2, 0.0)) or 1.0).values()
         else:
             out[key] = flat
     if problems and not slices:

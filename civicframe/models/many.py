@@ -29,11 +29,9 @@ from pyspark.sql.window import Window
 from ..session import drop_folder, scratch_dir
 from . import stacked
 from .design import PolyConst, Spec, _numeric, part_columns, term_columns, term_names
-from .regress import HUBER_K, MAD_TO_SD, _cross_sums, _pairs
+from .regress import HUBER_K, MAD_TO_SD, SEPARATES, _cross_sums, _pairs
 
 _FIELDS = ("estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high")
-#: A direction separates an outcome if no row lies on the wrong side by more than this share of the furthest.
-SEPARATES = 1e-6
 #: Slices of so many rows take their medians from Spark's exact percentile, larger ones by counts in bins of a bracket.
 SMALL, BINS = 1024, 256
 

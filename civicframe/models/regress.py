@@ -15,11 +15,14 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .design import Design, SliceTable, Spec, build
 
 HUBER_K = 1.345
 MAD_TO_SD = 0.6745
+#: A direction separates an outcome if no row lies on the wrong side by more than this share of the furthest.
+SEPARATES = 1e-6
 
 
 @dataclass
@@ -144,20 +147,18 @@ def _shifts(design: Design) -> tuple[dict[tuple, list[float]], dict[tuple, objec
 
 
 def _moments(design: Design) -> dict[tuple, _Moments]:
-    shifts, first = _shifts(design)
-    k = len(design.names)
-    table = SliceTable(design.rows, design.slices, {"__shift": shifts})
-    z = _shifted(design, table)
-    data = table.df.select(*design.slices, *[c.alias(f"z{i}") for i, c in enumerate(z)])
-    sums = [F.expr(f"sum(z{i}) AS s{i}") for i in range(k + 1)] + _cross_sums("p", k + 1)
+    """Counts, means and centred products from one pass: covariances are moments about the means that tasks combine pairwise."""
+    k, columns = len(design.names), [*design.x, "__y"]
+    vs = [c for c in design.rows.columns if c.startswith("__v_") and design.rows.schema[c].dataType.typeName() == "double"]
+    sums = [F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in [*columns, *vs]]]
+    sums += [F.expr(f"covar_pop({columns[i]}, {columns[j]}) * count(1) AS p{i}_{j}") for i, j in _pairs(k + 1)]
     out = {}
-    for key, r in _collect(data.groupBy(*design.slices).agg(*sums), design.slices).items():
-        n, shift = first[key]["n"], np.array(shifts[key])
-        s = np.array([r[f"s{i}"] for i in range(k + 1)])
-        full = _square(r, "p", k + 1) - np.outer(s, s) / n
-        mean = shift + s / n
-        var_means = {c[4:]: first[key][c] for c in first[key].asDict() if c.startswith("__v_")}
-        out[key] = _Moments(n, shift, mean[:k], full[:k, :k], full[:k, k], mean[k], full[k, k], var_means)
+    for key, r in _collect(design.rows.groupBy(*design.slices).agg(*sums), design.slices).items():
+        if r["n"]:
+            mean, full = np.array([r[c] for c in columns]), _square(r, "p", k + 1)
+            out[key] = _Moments(r["n"], mean, mean[:k], full[:k, :k], full[:k, k], mean[k], full[k, k], {c[4:]: r[c] for c in vs})
+    if not out:
+        raise ValueError("no complete rows to fit")
     return out
 
 
@@ -322,7 +323,8 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
 
     The covariance is the inverse information.  Convergence is judged on the
     step, not on the deviance: under separation the deviance settles while the
-    estimates run off.  A slice that is separated, has a constant outcome or does not converge
+    estimates run off.  The outcome is separated if a direction of the linear predictor puts no row on the wrong side of zero and some
+    row off it; every pass tests the predictor and the last move, along which separated estimates run off.  A slice that is separated, has a constant outcome or does not converge
     is listed in ``unfitted``; without slices SeparationError is raised.
     """
     failed: dict[tuple, str] = {}
@@ -350,14 +352,21 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
             b[key][0] = log(m.ymean / (1 - m.ymean))
         centre = {key: [*m.mean, 0.0] for key, m in moments.items()}
         previous: dict[tuple, tuple[float, np.ndarray]] = {}
+        moves = {key: np.zeros(k + 1) for key in b}
         done: set[tuple] = set()
         info, deviance = {}, {}
         for _ in range(max_steps if moments else 0):
-            rows = _logit_sums(design, centre, scale, b)
+            rows = _logit_sums(design, centre, scale, b, moves)
             for key, r in rows.items():
                 if key in done or key in failed:
                     continue
                 dev = r["dev"]
+                sides = ((r["low"], r["high"], b[key]), (r["move_low"], r["move_high"], moves[key]))
+                apart = next((v for low, high, v in sides if high > 1e-9 and low >= -SEPARATES * high), None)
+                if apart is not None:
+                    carry = [name for name, v in zip(["(Intercept)", *design.names], apart) if abs(v) > 1e-6 * np.max(np.abs(apart))]
+                    fail(key, f"the outcome is separated by {', '.join(carry)}")
+                    continue
                 # A rise beyond rounding means the step overshot.
                 if key in previous and dev > previous[key][0] * (1 + 1e-8) + 1e-8:
                     b[key] = (b[key] + previous[key][1]) / 2
@@ -366,8 +375,8 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
                 grad = np.array([r[f"g{i}"] for i in range(k + 1)])
                 use = [0, *[j + 1 for j in kept[key]]]
                 inner = hess[np.ix_(use, use)]
-                if not np.all(np.isfinite(inner)) or np.linalg.cond(inner) > 1e14:
-                    fail(key, "the outcome is separated")
+                if not np.all(np.isfinite(inner)) or np.linalg.cond(inner) > 1e15:
+                    fail(key, "the information matrix is singular")
                     continue
                 inv = np.zeros((k + 1, k + 1))
                 inv[np.ix_(use, use)] = np.linalg.inv(inner)
@@ -376,7 +385,7 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
                 if np.max(np.abs(move)) < tol * (1 + np.max(np.abs(b[key]))):
                     done.add(key)
                     continue
-                previous[key] = (dev, b[key])
+                previous[key], moves[key] = (dev, b[key]), move
                 b[key] = b[key] + move
             if len(done) + sum(key in moments for key in failed) == len(moments):
                 break
@@ -402,13 +411,14 @@ def logit(df: DataFrame, spec: Spec, slices: Sequence[str] = (), max_steps: int
     return Fit(spec, source.slices, "logit", models, source, _unfitted(df, source, models, failed))
 
 
-def _logit_sums(design: Design, centre, scale, b):
+def _logit_sums(design: Design, centre, scale, b, moves):
     k = len(design.names)
-    table = SliceTable(design.rows, design.slices, {"__c": centre, "__k": scale, "__b": b})
+    table = SliceTable(design.rows, design.slices, {"__c": centre, "__k": scale, "__b": b, "__m": moves})
     z = ["1D"] + [f"(({c} - {table.sql('__c', i)}) / {table.sql('__k', i)})" for i, c in enumerate(design.x)]
-    linear = " + ".join(f"{table.sql('__b', i)} * {z[i]}" for i in range(k + 1))
+    linear, moved = (" + ".join(f"{table.sql(n, i)} * {z[i]}" for i in range(k + 1)) for n in ("__b", "__m"))
     data = table.df.selectExpr(
-        *[f"`{s}`" for s in design.slices], "__y", *[f"{c} AS z{i}" for i, c in enumerate(z)], f"{linear} AS eta"
+        *[f"`{s}`" for s in design.slices], "__y", *[f"{c} AS z{i}" for i, c in enumerate(z)], f"{linear} AS eta",
+        f"(2 * __y - 1) * ({moved}) AS side",
     )
     # Both tails without overflow: p = 1 / (1 + exp(-eta)).
     p = 1 / (1 + F.exp(-F.col("eta")))
@@ -416,58 +426,57 @@ def _logit_sums(design: Design, centre, scale, b):
     eta, y = F.col("eta"), F.col("__y")
     dev = 2 * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))) - y * eta)
     sums = [F.sum(dev).alias("dev"), *[F.expr(f"sum(z{i} * (__y - p)) AS g{i}") for i in range(k + 1)]]
+    sums += [F.expr(x) for x in ("min((2 * __y - 1) * eta) AS low", "max((2 * __y - 1) * eta) AS high", "min(side) AS move_low", "max(side) AS move_high")]
     sums += _cross_sums("h", k + 1, "w * ")
     return _collect(data.groupBy(*design.slices).agg(*sums), design.slices)
 
 
-_BINS = 1024
+#: Bins of a bracket: with these a bracket of a tenth of the median mostly tells it in one pass.
+_BINS = 1 << 16
+
+
+def _bracket_bins(data: DataFrame, slices: Sequence[str]) -> DataFrame:
+    """One row per slice: the bins of (slices, v, n, lo, hi) that hold the two middle ranks, as (bin, c, mn, mx)."""
+    inside = "CASE WHEN hi > lo THEN least(floor((v - lo) / (hi - lo) * {0}), {0} - 1) ELSE 0 END".format(_BINS)
+    bins = data.groupBy(*slices, "n", F.expr(f"CASE WHEN v < lo THEN -1 WHEN v > hi THEN {_BINS} ELSE {inside} END").alias("bin"))
+    bins = bins.agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
+    before = Window.partitionBy(*slices).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("below", F.coalesce(F.sum("c").over(before), F.lit(0)))
 
+    def holder(rank: str) -> Column:
+        return F.max(F.expr(f"CASE WHEN below <= {rank} AND {rank} < below + c THEN struct(bin, c, mn, mx) END"))
 
-def medians(df: DataFrame, slices: Sequence[str], value: Column, counts: dict[tuple, int]):
-    """Exact median of ``value`` per slice, by narrowing histograms.
+    return bins.groupBy(*slices).agg(holder("(n - 1) div 2").alias("one"), holder("n div 2").alias("two"))
 
-    Each pass counts values in equal bins of the current range and keeps the bin that holds the middle
-    ranks, so no task ever holds more than the bin counts.
+
+def medians(df: DataFrame, slices: Sequence[str], value: Column, counts: dict[tuple, int], brackets: dict[tuple, tuple[float, float]] | None = None):
+    """Exact median of ``value`` per slice, from counts in bins of a bracket.
+
+    A pass counts values in equal bins of each slice's bracket and on either side of it, and tells the median once a middle bin holds a
+    value alone, one value often, or two.  Else that bin, or the side that holds the middle, is the next bracket.  With brackets
+    from a step before, one pass is mostly enough; without them a first one finds the ends.  One row per slice comes back from a pass.
     """
     data = df.select(*slices, value.alias("v"))
-    ends = _collect(data.groupBy(*slices).agg(F.min("v").alias("lo"), F.max("v").alias("hi")), slices)
-    ranges = {k: [float(r["lo"]), float(r["hi"])] for k, r in ends.items()}
-    # Ranks wanted, counted from 0 inside the current range.
-    want = {k: [(counts[k] - 1) // 2, counts[k] // 2] for k in ranges}
-    found: dict[tuple, float] = {k: lo for k, (lo, hi) in ranges.items() if lo == hi}
-    while len(found) < len(ranges):
-        open_ranges = {k: r for k, r in ranges.items() if k not in found}
-        table = SliceTable(data, slices, {"__r": open_ranges})
-        lo, hi = table.get("__r", 0), table.get("__r", 1)
-        v = F.col("v")
-        inside = table.df.filter((v >= lo) & (v <= hi))
-        at = F.least(F.floor((v - lo) / (hi - lo) * _BINS), F.lit(_BINS - 1))
-        bins = inside.groupBy(*slices, at.alias("b")).agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-        )
-        by_slice: dict[tuple, list] = {}
-        for r in bins.collect():
-            by_slice.setdefault(tuple(r[s] for s in slices), []).append(r)
-        for key, rows in by_slice.items():
-            rows.sort(key=lambda r: r["b"])
-            below, ends_at = 0, []
-            for r in rows:
-                ends_at.append((below, r))
-                below += r["n"]
-
-            def holder(rank):
-                return next((start, r) for start, r in ends_at if start <= rank < start + r["n"])
-
-            (s1, low), (s2, high) = holder(want[key][0]), holder(want[key][1])
-            if low["b"] != high["b"]:
-                found[key] = (low["hi"] + high["lo"]) / 2
-            elif low["lo"] == low["hi"]:
-                found[key] = low["lo"]
-            elif low["n"] == 2 and want[key][0] != want[key][1]:
-                found[key] = (low["lo"] + low["hi"]) / 2
+    if brackets is None:
+        ends = _collect(data.groupBy(*slices).agg(F.min("v").alias("lo"), F.max("v").alias("hi")), slices)
+        brackets = {k: (float(r["lo"]), float(r["hi"])) for k, r in ends.items()}
+    found: dict[tuple, float] = {k: lo for k, (lo, hi) in brackets.items() if counts[k] == 1 and lo == hi}
+    left = {k: b for k, b in brackets.items() if k not in found}
+    while left:
+        table = SliceTable(data, slices, {"__r": {k: [*b, counts[k]] for k, b in left.items()}})
+        lo, hi, n = (table.get("__r", i) for i in range(3))
+        values = table.df.select(*slices, "v", lo.alias("lo"), hi.alias("hi"), n.cast("long").alias("n"))
+        for key, r in _collect(_bracket_bins(values, slices), slices).items():
+            one, two = r["one"], r["two"]
+            if one["bin"] != two["bin"]:
+                found[key] = (one["mx"] + two["mn"]) / 2
+            elif one["mn"] == one["mx"]:
+                found[key] = one["mn"]
+            elif one["c"] == 2 and counts[key] % 2 == 0:
+                found[key] = (one["mn"] + one["mx"]) / 2
             else:
-                ranges[key] = [low["lo"], low["hi"]]
-                want[key] = [r - s1 for r in want[key]]
+                left[key] = (one["mn"], one["mx"])
+        left = {k: b for k, b in left.items() if k not in found}
     return found
 
 
@@ -493,10 +502,12 @@ def huber(
             inv, kept[key] = _solve(m.gram, design.names)
             b[key] = np.concatenate([[0.0], inv @ m.xy])
         active, scale, steps = set(moments), {}, 0
+        # At most half of all residuals are as large as sqrt(2) times their root mean square.
+        brackets = {key: (0.0, 1.5 * sqrt(max(m.yy - b[key][1:] @ m.xy, 0.0) / m.n)) for key, m in moments.items()}
         while active and steps < max_steps:
             steps += 1
             data = _huber_rows(design, centre, b)
-            meds = medians(data, design.slices, F.abs(F.col("e")), counts)
+            meds = medians(data, design.slices, F.abs(F.col("e")), counts, {key: brackets[key] for key in active})
             for key in active:
                 scale[key] = meds[key] / MAD_TO_SD
             active = {key for key in active if scale[key] > 0}
@@ -512,7 +523,11 @@ def huber(
                 moved = m.n * delta[0] ** 2 + delta[1:] @ m.gram @ delta[1:]
                 old = m.yy - 2 * b[key][1:] @ m.xy + b[key][1:] @ m.gram @ b[key][1:] + m.n * b[key][0] ** 2
                 b[key] = new
-                if sqrt(max(moved, 0.0) / max(old, 1e-20)) <= tol:
+                change = sqrt(max(moved, 0.0) / max(old, 1e-20))
+                # The next median lies near this one.
+                near = min(max(2 * change, 1e-3), 0.5)
+                brackets[key] = (meds[key] * (1 - near), meds[key] * (1 + near))
+                if change <= tol:
                     active.discard(key)
         ends = _huber_sums(design, centre, b, scale, k)
     finally:
@@ -525,7 +540,7 @@ def huber(
         bread = np.zeros((q + 1, q + 1))
         bread[0, 0], bread[1:, 1:] = 1 / m.n, inv
         share = r["core"] / m.n
-        spread = share * (1 - share) * m.n / (m.n - 1)
+        spread = share * (1 - share) * m.n / max(m.n - 1, 1)
         kappa = 1 + params * spread / (m.n * share**2) if share else np.nan
         sigma = sqrt(r["we2"] / dof) * kappa / share if dof > 0 and share else np.nan
         beta, cov = _to_raw(m.mean, b[key][1:], m.ymean + b[key][0], bread * sigma**2)

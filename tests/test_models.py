@@ -373,13 +373,14 @@ def test_many_robust_and_fixed(frame):
 
 
 def test_many_huber(frame):
-    rows_in = _slices_of(np.random.default_rng(6)) + [(77, float(i), 0.0, 3.0 * i, "h") for i in range(8)]
+    rows_in = _slices_of(np.random.default_rng(6), 40) + [(77, float(i), 0.0, 3.0 * i, "h") for i in range(8)]
     df = frame("g int, x double, z double, y double, h string", *rows_in)
     spec = D.Spec.of("y", "x", "z")
-    got = many.huber(df, spec, ["g"]).collect()
-    fit = R.huber(df, spec, ["g"])
+    got = many.huber(df, spec, ["g"], max_steps=6).collect()
+    fit = R.huber(df, spec, ["g"], max_steps=6)
     good = [r for r in got if fit.models[r["g"],].stats["converged"] and r["nobs"] > 4 and r["g"] != 77]
-    assert _same(good, fit, df, ("estimate", "std_error"), 1e-5) > 100
+    assert _same(good, fit, df, ("estimate", "std_error"), 1e-5) > 15
+    assert {r["status"] for r in got} >= {"ok", "not converged", "no freedom"}
     assert len({r["g"] for r in got}) == len({r[0] for r in rows_in})
 
 
