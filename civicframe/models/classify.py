@@ -11,63 +11,117 @@ from pyspark.sql import functions as F
 
 from ..operators.groups import range_index
 
-#: Ranges that the values are summarised in at a time.
-RANGES = 4096
+#: Ranges that the values are summed up in at first, and ends added in a round.
+RANGES = 1024
 
 
 def jenks_breaks(df: DataFrame, column: str, classes: int, round_to: float | None = None) -> list[float]:
-    """Class limits that minimise the summed squared deviation within classes.
-
-    Returns minimum, upper limits of the inner classes, maximum.  The values are summed up in at
-    most RANGES ranges (approximate quantiles), and the optimum over whole ranges is found exactly.
-    Then the ranges on both sides of each limit are cut finer, until every range beside a limit holds one value: a limit
-    can then move no further within its surroundings.  Up to RANGES distinct values this is the
-    exact optimum at once.  ``round_to`` rounds values first.  Equal solutions resolve to the smallest limits.
+    """Class limits that minimise the summed squared deviation within classes, for any number of distinct values.
+
+    Returns minimum, upper limits of the inner classes, maximum.  The values are summed up in ranges (approximate quantiles), and
+    the optimum over whole ranges bounds the cost from above.  A limit inside a range costs at least what the
+    classes cost without that range.  Ranges that such a limit could still make cheaper are cut finer by one pass over their
+    values, ends that no solution as cheap goes through are taken out, and so on until no limit inside a range of several values can be as
+    cheap: the optimum over ranges is then that over values.  ``round_to`` rounds values first.  Solutions equal up to
+    rounding (1e-12 of all squared deviation) resolve to the smallest limits.
     """
     x = F.col(column).cast("double")
     if round_to:
         x = F.round(x / round_to) * round_to
     data = df.filter(x.isNotNull() & ~F.isnan(x)).select(x.alias("x"))
-    low = data.select("x").distinct().orderBy("x").limit(RANGES + 1).collect()
-    if not low:
+    ends = _quantiles(data, RANGES)
+    if not ends:
         raise ValueError("no values")
-    if len(low) <= RANGES:
-        ends = [r["x"] for r in low]
-    else:
-        ends = _quantiles(data, RANGES // 2)
+    closed: set[float] = set()
     while True:
         bins = _summary(data, ends)
         found = _limits(bins, classes)
-        beside = {i for at in found for i in (at, at + 1) if i < len(bins)}
-        wide = [i for i in sorted(beside) if bins[i]["low"] < bins[i]["high"]]
-        if not wide:
-            break
-        each = max(2, RANGES // 2 // len(wide))
-        for i in wide:
-            inside = data.filter((F.col("x") >= bins[i]["low"]) & (F.col("x") <= bins[i]["high"]))
-            ends = sorted({*ends, *_quantiles(inside, each), bins[i]["low"]})
-    if len(bins) <= classes:
-        return [float(bins[0]["low"]), *[float(b["high"]) for b in bins]]
-    return [float(bins[0]["low"]), *[float(bins[at]["high"]) for at in found], float(bins[-1]["high"])]
+        if len(bins) <= classes and all(b["low"] == b["high"] for b in bins):
+            return [float(bins[0]["low"]), *[float(b["high"]) for b in bins]]
+        wide = np.array([b["low"] < b["high"] and e not in closed for b, e in zip(bins, _ends_of(bins, ends))])
+        at_end, inside = _through(bins, classes, wide, found)
+        if not inside.any():
+            return [float(bins[0]["low"]), *[float(bins[at]["high"]) for at in found], float(bins[-1]["high"])]
+        ends, closed = _refined(data, bins, _ends_of(bins, ends), at_end, inside)
+
+
+def _ends_of(bins: Sequence, ends: Sequence[float]) -> list[float]:
+    """The upper end of the range that each summary belongs to."""
+    return [float(ends[i]) for i in np.searchsorted(np.asarray(ends), [b["high"] for b in bins])]
 
 
 def _quantiles(data: DataFrame, n: int) -> list[float]:
     """Upper ends of about ``n`` ranges with equal counts; the maximum is one of them."""
     steps = [i / n for i in range(1, n)]
     row = data.agg(F.percentile_approx("x", steps, F.lit(20 * n)).alias("q"), F.max("x").alias("top")).first()
-    return sorted({*row["q"], row["top"]})
+    return sorted({*row["q"], row["top"]}) if row["top"] is not None else []
+
+
+def _through(bins: Sequence, classes: int, wide: np.ndarray, found: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which ends of ranges, and which wide ranges, a limit may lie at or in without costing more than the limits found.
+
+    The least cost with a limit inside a range leaves that range out, since a class only loses deviation with
+    each value taken from it.  Least costs from the left and from the right add up to that of all solutions through a place.
+    """
+    m = len(bins)
+    n, s, q = (np.concatenate([[0.0], np.cumsum([b[c] for b in bins])]) for c in ("n", "s", "q"))
+
+    def cost(i, j):
+        """Squared deviation of whole ranges i..j-1 as one class; nothing for no range."""
+        return np.maximum(q[j] - q[i] - (s[j] - s[i]) ** 2 / np.maximum(n[j] - n[i], 1.0), 0.0)
+
+    cuts = [0, *[at + 1 for at in found], m]
+    most = sum(float(cost(i, j)) for i, j in zip(cuts, cuts[1:])) + 1e-12 * float(cost(0, m))
+    places = np.arange(m + 1)
+    left, right = [np.where(places == 0, 0.0, np.inf)], [np.where(places == m, 0.0, np.inf)]
+    left_in, right_in = [np.full(m, np.inf)], [np.full(m, np.inf)]
+    for _ in range(classes - 1):
+        start = np.minimum(left[-1], np.concatenate([[np.inf], left_in[-1]]))
+        ahead = np.array([np.min(start[: j + 1] + cost(places[: j + 1], j)) for j in places])
+        left.append(ahead)
+        left_in.append(np.where(wide, np.minimum(ahead[:m], left_in[-1]), np.inf))
+        end = np.minimum(right[-1], np.concatenate([right_in[-1], [np.inf]]))
+        behind = np.array([np.min(cost(i, places[i:]) + end[i:]) for i in places])
+        right.append(behind)
+        right_in.append(np.where(wide, np.minimum(behind[1:], right_in[-1]), np.inf))
+    pairs = [(c, classes - c) for c in range(1, classes)]
+    at_end = np.min([left[a] + right[b] for a, b in pairs], axis=0)[1:] if pairs else np.full(m, np.inf)
+    inside = np.min([left_in[a] + right_in[b] for a, b in pairs], axis=0) if pairs else np.full(m, np.inf)
+    return at_end <= most, inside <= most
+
+
+def _refined(data: DataFrame, bins: Sequence, ends: list[float], at_end: np.ndarray, inside: np.ndarray) -> tuple[list[float], set[float]]:
+    """New ends: ranges that may hold a limit are cut, others merged; and the ends of ranges known to hold none."""
+    open_ = [i for i in range(len(bins)) if inside[i]]
+    each = max(2, RANGES // len(open_))
+    lows, highs = [float(bins[i]["low"]) for i in open_], [float(bins[i]["high"]) for i in open_]
+    # The range of a value among those to be cut, by the same placing as the summaries.
+    placed = _placed(data.filter((F.col("x") >= lows[0]) & (F.col("x") <= highs[-1])), ends)
+    steps = [k / each for k in range(1, each)]
+    cut = placed.filter(F.col("at").isin([float(len(ends) - 1 - i) for i in open_])).groupBy("at")
+    cut = cut.agg(F.percentile_approx("x", steps, F.lit(20 * each)).alias("q")).collect()
+    new, closed = {v for r in cut for v in r["q"]} | set(lows) | {ends[i] for i in open_}, set()
+    for i, end in enumerate(ends):
+        if not inside[i] and (at_end[i] or i + 1 == len(ends) or inside[i + 1]):
+            new.add(end)
+            closed.add(end)
+    return sorted(new), closed
+
+
+def _placed(data: DataFrame, ends: Sequence[float]) -> DataFrame:
+    """``at``: the range (previous end, end] of each value, numbered from the last one."""
+    if len(ends) == 1:
+        return data.withColumn("at", F.lit(0.0))
+    # The bucketizer's ranges are closed below, so the turned values go in.
+    splits = [*[-float(e) for e in reversed(ends)], float("inf")]
+    return Bucketizer(splits=splits, inputCol="turned", outputCol="at").transform(data.withColumn("turned", -F.col("x")))
 
 
 def _summary(data: DataFrame, ends: Sequence[float]) -> list:
     """Count, sum, sum of squares and extremes of the values in ranges (previous end, end], in order."""
     middle = (ends[0] + ends[-1]) / 2
     d = F.col("x") - F.lit(middle)
-    if len(ends) > 1:
-        # The bucketizer's ranges are closed below, so the turned values go in.
-        splits = [*[-float(e) for e in reversed(ends)], float("inf")]
-        placed = Bucketizer(splits=splits, inputCol="turned", outputCol="at").transform(data.withColumn("turned", -F.col("x")))
-    else:
-        placed = data.withColumn("at", F.lit(0.0))
+    placed = _placed(data, ends)
     rows = placed.groupBy("at").agg(
         F.count(F.lit(1)).alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("q"), F.min("x").alias("low"), F.max("x").alias("high")
     )

@@ -642,6 +642,23 @@ def jenks_breaks(t: Tables) -> DataFrame:
     return small_frame(t.spark, list(enumerate(breaks)), "position int, break double")
 
 
+@query(
+    "jenks_breaks_many",
+    """
+    WITH v AS (SELECT l_extendedprice::DOUBLE AS x, count(*) AS c FROM lineitem GROUP BY 1),
+    m AS (SELECT avg(l_extendedprice) AS mu, min(l_extendedprice)::DOUBLE AS low, max(l_extendedprice)::DOUBLE AS top FROM lineitem),
+    r AS (SELECT x, sum(c) OVER w AS n, sum(c * (x - mu)) OVER w AS s, sum(c) OVER () AS all_n, sum(c * (x - mu)) OVER () AS all_s
+          FROM v, m WINDOW w AS (ORDER BY x)),
+    k AS (SELECT x FROM r WHERE n < all_n ORDER BY s * s / n + (all_s - s) ** 2 / (all_n - n) DESC, x LIMIT 1)
+    SELECT 0 AS position, low AS break FROM m UNION ALL SELECT 1, x FROM k UNION ALL SELECT 2, top FROM m
+    """,
+)
+def jenks_breaks_many(t: Tables) -> DataFrame:
+    """Two classes of nearly unique prices: every value is a possible limit, and the one found is proved to be the best."""
+    breaks = classify.jenks_breaks(t.lineitem, "l_extendedprice", 2)
+    return small_frame(t.spark, list(enumerate(breaks)), "position int, break double")
+
+
 @query(
     "bin_labels",
     _JENKS
