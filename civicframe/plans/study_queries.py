@@ -244,3 +244,81 @@ def state_panel_study(t: Tables) -> DataFrame:
     panel = study.state_panel(study.provision_counts(rows), demographics, earlier, index, states, votes, control)
     numbers = ["nh_white", "change_white_abs", "dem_share_2016", "dem_share_2020", "change_dem", "population"]
     return panel.select("NAME", "intro", "passed", "FinalCOVI", "r", "competitive", *[rounded(c).alias(c) for c in numbers])
+
+
+@query(
+    "district_panel_study",
+    """
+    WITH cu AS (SELECT c_custkey AS id, c_nationkey AS k, lpad(c_nationkey::VARCHAR, 2, '0') || lpad((c_custkey % 12)::VARCHAR, 3, '0') AS geo,
+                       CASE WHEN c_custkey % 2 = 0 THEN 'HD' ELSE 'SD' END AS chamber, c_custkey % 12 AS seat, c_acctbal AS bal FROM customer),
+    demo AS (SELECT geo, chamber, k, seat, count(*) AS people, avg((bal > 0)::INT) AS white, avg(bal) AS income, avg(id % 90) AS age, avg((id % 3 = 0)::INT) AS college
+             FROM cu GROUP BY geo, chamber, k, seat),
+    early AS (SELECT lpad(s_nationkey::VARCHAR, 2, '0') || lpad((s_suppkey % 12)::VARCHAR, 3, '0') AS geo, CASE WHEN s_suppkey % 2 = 0 THEN 'HD' ELSE 'SD' END AS chamber,
+                     avg((s_acctbal > 0)::INT) AS before FROM supplier GROUP BY 1, 2),
+    around AS (SELECT k, avg((bal > 0)::INT) AS state_white FROM cu GROUP BY k),
+    o AS (SELECT orders.*, cu.* FROM orders JOIN cu ON o_custkey = id),
+    facts AS (SELECT geo, chamber, impact, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS passed
+              FROM (SELECT *, CASE l_returnflag WHEN 'A' THEN 'E' WHEN 'R' THEN 'R' ELSE 'N' END AS impact FROM lineitem) JOIN o ON l_orderkey = o_orderkey
+              WHERE l_quantity > 40 GROUP BY ALL),
+    shares AS (SELECT geo, chamber, count(*) FILTER (o_orderstatus = 'F') / nullif(count(*) FILTER (o_orderstatus IN ('F', 'O')), 0) AS share
+               FROM o WHERE seat % 4 <> 0 GROUP BY ALL),
+    fallback AS (SELECT geo, chamber, avg((o_orderkey % 2)::INT) AS share FROM o WHERE seat % 3 <> 1 GROUP BY ALL),
+    share AS (SELECT geo, chamber, share FROM shares WHERE share IS NOT NULL
+              UNION ALL SELECT geo, chamber, share FROM fallback ANTI JOIN (SELECT geo, chamber FROM shares WHERE share IS NOT NULL) USING (geo, chamber)),
+    d20 AS (SELECT k, count(*) FILTER (o_orderstatus = 'F') / nullif(count(*) FILTER (o_orderstatus IN ('F', 'O')), 0) AS d FROM o WHERE year(o_orderdate) % 2 = 1 GROUP BY k),
+    scores AS (SELECT geo, chamber, avg(id % 5) AS resent FROM cu WHERE seat % 5 <> 2 GROUP BY ALL),
+    sized AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY k, chamber) AS w FROM demo)
+    SELECT s.geo AS "GEOID", s.chamber, i.impact, coalesce(f.n, 0) AS n_intro, coalesce(f.passed, 0) AS n_pass, (coalesce(f.n, 0) > 0)::INT * 100 AS sp_intro,
+           (coalesce(f.passed, 0) > 0)::INT * 100 AS sp_pass, s.k IN (1, 48, 40, 22, 28, 5, 12, 13, 47, 45, 37, 21, 51, 54) AS south, d > 0.45 AND d < 0.55 AS competitive,
+           n_regionkey = 0 AS r, round(w, 6) AS w, round(white * 100, 6) AS nh_white, round(state_white * 100, 6) AS state_nh_white, round((1 - share) * 100, 6) AS share_rep,
+           round(income / 10000, 11) AS median_income, round(age, 6) AS median_age, round(ln(people), 6) AS population, round(college * 100, 6) AS some_college,
+           round(CASE WHEN before <> 0 THEN white / before END, 6) AS change_white, round(resent, 6) AS resent
+    FROM sized s CROSS JOIN (VALUES ('R'), ('N'), ('E')) AS i(impact) JOIN nation ON n_nationkey = s.k JOIN around USING (k) JOIN share USING (geo, chamber)
+      JOIN d20 ON d20.k = s.k LEFT JOIN early e ON e.geo = s.geo AND e.chamber = s.chamber LEFT JOIN scores c ON c.geo = s.geo AND c.chamber = s.chamber
+      LEFT JOIN facts f ON f.geo = s.geo AND f.chamber = s.chamber AND f.impact = i.impact
+    WHERE n_regionkey <> 1 AND d IS NOT NULL AND share IS NOT NULL
+    """,
+)
+def district_panel_study(t: Tables) -> DataFrame:
+    """Twelve seats and two chambers in every nation: people, votes, sponsors and scores meet in one row per district and impact."""
+
+    def place(nation: str, key: str) -> list:
+        number = F.lpad((F.col(key) % 12).cast("string"), 3, "0")
+        return [
+            F.concat(F.lpad(F.col(nation).cast("string"), 2, "0"), number).alias("GEOID"),
+            F.when(F.col(key) % 2 == 0, "HD").otherwise("SD").alias("chamber"), (F.col(key) % 12).alias("seat"),
+        ]
+
+    people = t.customer.select("c_custkey", "c_nationkey", "c_acctbal", *place("c_nationkey", "c_custkey"))
+    share_of = lambda c: F.avg(c.cast("double"))
+    demographics = people.groupBy("GEOID", "chamber").agg(
+        F.count(F.lit(1)).cast("double").alias("population"), share_of(F.col("c_acctbal") > 0).alias("nh_white"), F.avg("c_acctbal").alias("median_income"),
+        F.avg(F.col("c_custkey") % 90).alias("median_age"), share_of(F.col("c_custkey") % 3 == 0).alias("some_college"),
+    )
+    before = t.supplier.select("s_acctbal", *place("s_nationkey", "s_suppkey"))
+    earlier = before.groupBy("GEOID", "chamber").agg(share_of(F.col("s_acctbal") > 0).alias("nh_white"))
+    code = F.lpad(F.col("c_nationkey").cast("string"), 2, "0")
+    around = people.groupBy(code.alias("GEOID")).agg(share_of(F.col("c_acctbal") > 0).alias("nh_white"))
+    of_order = t.orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
+    lines = t.lineitem.filter("l_quantity > 40").join(of_order.select("o_orderkey", "GEOID", "chamber"), F.col("l_orderkey") == F.col("o_orderkey"))
+    kinds = {"E": F.col("l_returnflag") == "A", "R": F.col("l_returnflag") == "R", "N": F.col("l_returnflag") == "N"}
+    counts = [F.count_if(is_kind).alias(f"n_{i}") for i, is_kind in kinds.items()]
+    counts += [F.count_if(is_kind & (F.col("l_linestatus") == "F")).alias(f"n_pass_{i}") for i, is_kind in kinds.items()]
+    sponsors = lines.groupBy(F.col("GEOID").alias("district"), "chamber").agg(*counts)
+    sponsors = sponsors.withColumns({"state": F.lit(None).cast("string"), "party": F.lit("M")})
+    won = F.count_if(F.col("o_orderstatus") == "F") / F.nullif(F.count_if(F.col("o_orderstatus").isin("F", "O")), F.lit(0))
+    shares = of_order.filter("seat % 4 <> 0").groupBy("GEOID", "chamber").agg(won.alias("share_dem"))
+    fallback = of_order.filter("seat % 3 <> 1").groupBy("GEOID", "chamber").agg(F.avg(F.col("o_orderkey") % 2).alias("share_dem"))
+    named = of_order.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    party = F.when(F.col("o_orderstatus") == "F", "DEMOCRAT").when(F.col("o_orderstatus") == "O", "REPUBLICAN").otherwise("OTHER")
+    year = F.when(F.year(F.col("o_orderdate").cast("date")) % 2 == 0, 2016).otherwise(2020)
+    votes = named.groupBy(F.col("n_name").alias("state"), party.alias("party_simplified"), year.alias("year")).agg(F.count(F.lit(1)).alias("candidatevotes"))
+    control = t.nation.select(F.col("n_name").alias("NAME"), F.when(F.col("n_regionkey") == 0, "Rep").when(F.col("n_regionkey") != 1, "Dem").alias("control"))
+    states = t.nation.select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("state_code"), F.col("n_name").alias("state_name"))
+    scores = people.filter("seat % 5 <> 2").groupBy("GEOID", "chamber").agg(F.avg(F.col("c_custkey") % 5).alias("resent"))
+    panel = study.district_panel(demographics, earlier, sponsors, around, shares, fallback, votes, control, states, scores)
+    numbers = [
+        "w", "nh_white", "state_nh_white", "share_rep", "median_income", "median_age", "population", "some_college", "change_white", "resent",
+    ]
+    plain = ["GEOID", "chamber", "impact", "n_intro", "n_pass", "sp_intro", "sp_pass", "south", "competitive", "r"]
+    return panel.select(*plain, *[rounded(c, 11 if c == "median_income" else 6).alias(c) for c in numbers])
