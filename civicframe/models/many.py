@@ -551,3 +551,59 @@ def huber(
             yield _tidy(batch, shape, status, n, _hidden(estimates, kept, n), _hidden(ses, kept, n), np.full(len(n), inf), level)
 
     return model.named(_with_slice_values(found, ends, slices).mapInArrow(finish, _tidy_schema(model)))
+
+
+def models(df: DataFrame, spec: Spec, slices: Sequence[str], level: float = 0.95) -> DataFrame:
+    """Least-squares models as rows for ``predict``: slices, status, nobs, beta, cov (row by row) and the critical value.
+
+    Dropped terms have zeros, as they add nothing to a prediction; without freedom cov and critical are null.  Terms are numbers or factors, since a
+    polynomial's constants belong to the rows it was fitted on.
+    """
+    if spec.polys():
+        raise ValueError("predictions from tables take no polynomials")
+    model = _model(df, spec, slices)
+    k, shape = model.k, model.shape
+    table = _with_slice_values(model.every, _moments(model.rows, model.slices, k), model.slices)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, means, b, inverse, kept, rss, freedom, status = _linear(batch, k)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                sigma2 = np.where(freedom > 0, rss / freedom, np.nan)
+            lift = np.tile(np.eye(k + 1), (len(n), 1, 1))
+            lift[:, 0, 1:] = -np.where(kept, means[:, :k], 0.0)
+            cov = lift @ _bread(n, inverse) @ lift.transpose(0, 2, 1) * sigma2[:, None, None]
+            first = means[:, k] - np.einsum("ni,ni->n", np.where(kept, means[:, :k], 0.0), b)
+            beta = np.concatenate([first[:, None], b], axis=1)
+            crit = np.where(freedom > 0, stacked.criticals(level, np.maximum(freedom, 1)), np.nan)
+            columns = [batch.column(s) for s in shape.slices]
+            columns += [pa.array(status, pa.string()), pa.array(n.astype(np.int64)), _lists(beta), _lists(cov.reshape(len(n), -1)), pa.array(crit)]
+            yield pa.RecordBatch.from_arrays(columns, [*shape.slices, "status", "nobs", "beta", "cov", "critical"])
+
+    kinds = {"status": "string", "nobs": "long", "beta": "array<double>", "cov": "array<double>", "critical": "double"}
+    return model.named(table.mapInArrow(solve, _state_schema(model, kinds)))
+
+
+def predict(fitted: DataFrame, rows: DataFrame, spec: Spec, slices: Sequence[str]) -> DataFrame:
+    """``rows`` (slices and the columns of the terms) with predicted, std_error, conf_low and conf_high of their slice's model.
+
+    Models join their rows by slice; the quadratic form is an expression over the joined arrays, so no model reaches the driver.  A row without a
+    model, or with a null in a term, has nulls.
+    """
+    data, _ = _numeric(rows.withColumn(spec.outcome, F.lit(None).cast("double")), spec) if spec.outcome not in rows.columns else _numeric(rows, spec)
+
+    def cols_of(part) -> list[Column]:
+        return part_columns(part, F.col, lambda p: [])
+
+    x = [F.lit(1.0), *[c for t in spec.terms for c in term_columns(t, cols_of)]]
+    w = len(x)
+    names = [f"__x{i}" for i in range(w)]
+    side = fitted.select(*slices, *[F.col(c).alias(f"__{c}") for c in ("beta", "cov", "critical")])
+    joined = _with_slice_values(data.withColumns(dict(zip(names, x))), side, slices)
+    predicted = " + ".join(f"__beta[{i}] * __x{i}" for i in range(w))
+    form = " + ".join(f"__x{i} * __x{j} * __cov[{i * w + j}]" for i in range(w) for j in range(w))
+    numbers = ("predicted", "std_error", "conf_low", "conf_high")
+    found = joined.selectExpr("*", f"nanvl({predicted}, NULL) AS __p", f"nanvl({form}, NULL) AS __f", "nanvl(__critical, NULL) AS __c")
+    found = found.selectExpr("*", "CASE WHEN __f IS NOT NULL THEN sqrt(greatest(__f, 0D)) END AS __s")
+    found = found.selectExpr("*", "__p AS predicted", "__s AS std_error", "__p - __c * __s AS conf_low", "__p + __c * __s AS conf_high")
+    return found.select(*rows.columns, *numbers)

@@ -535,6 +535,27 @@ def huber_many_slices(t: Tables) -> DataFrame:
     return _wide(fits, 4, errors=False)
 
 
+@query(
+    "predict_many_slices",
+    f"""
+    WITH {_PER_ORDER},
+    g AS (SELECT l_orderkey, count(y) AS n, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, avg(y) AS m,
+                 avg(CASE WHEN y IS NOT NULL THEN x END) AS mx FROM l GROUP BY 1),
+    f AS (SELECT *, n > 1 AND sxx > 0 AS sloped, CASE WHEN n > 1 AND sxx > 0 THEN n - 2 ELSE n - 1 END AS dof FROM g),
+    h AS (SELECT *, CASE WHEN dof > 0 THEN greatest(CASE WHEN sloped THEN syy - sxy * sxy / sxx ELSE syy END, 0) / dof END AS s2 FROM f)
+    SELECT l_orderkey, q AS l_quantity, round(CASE WHEN sloped THEN m + sxy / sxx * (q - mx) ELSE m END, 6) AS predicted,
+           round(sqrt(s2 * (1.0 / n + CASE WHEN sloped THEN (q - mx) ** 2 / sxx ELSE 0 END)), 6) AS std_error
+    FROM h, (VALUES (10.0::DOUBLE), (25.0), (40.0)) AS grid(q)
+    """,
+)
+def predict_many_slices(t: Tables) -> DataFrame:
+    """Every order's model at three quantities."""
+    spec, rows = Spec.of("price", "l_quantity"), _order_rows(t)
+    grid = rows.select("l_orderkey").distinct().withColumn("l_quantity", F.explode(F.array(*[F.lit(q) for q in (10.0, 25.0, 40.0)])))
+    found = many.predict(many.models(rows, spec, ["l_orderkey"]), grid, spec, ["l_orderkey"])
+    return found.select("l_orderkey", "l_quantity", rounded("predicted").alias("predicted"), rounded("std_error").alias("std_error"))
+
+
 LABELS = {"l_quantity": "Quantity", "(Intercept)": "Intercept"}
 
 

@@ -82,24 +82,24 @@ def keyed_provisions(provisions: DataFrame, corrections: DataFrame, on: Sequence
 
 def clean_provisions(provisions: DataFrame, bills: DataFrame, groupings: DataFrame) -> DataFrame:
     """Provisions matched to bill ids, with impact and category recoded; unmatched rows dropped."""
-    one_per = provisions.groupBy("state", "bill", "year", "bill_merge").agg(
+    first_added = provisions.groupBy("state", "bill", "year", "bill_merge").agg(
         strict(F.min, F.col("date_added")).alias("date_added")
     )
     known = bills.select("bill_id", "title", "file", "bill_merge", "year")
-    bridge = joins.left_join(one_per, known, ["bill_merge", "year"])
+    bridge = joins.left_join(first_added, known, ["bill_merge", "year"])
     bridge = groups.first_per_group(
         bridge, ["state", "bill", "year", "title", "bill_id"], groups.nulls_last("bill_merge", "file")
     )
     names = groups.first_per_group(
-        bridge.select("bill_id", F.col("bill").alias("b"), "state", "year", "bill_merge"), ["bill_id"],
-        groups.nulls_last("state", "b", "year", "bill_merge"),
-    ).select("bill_id", "b")
+        bridge.select("bill_id", F.col("bill").alias("first_name"), "state", "year", "bill_merge"), ["bill_id"],
+        groups.nulls_last("state", "first_name", "year", "bill_merge"),
+    ).select("bill_id", "first_name")
     matched = joins.left_join(provisions, bridge.select("bill", "bill_id", "file", "year", "state"), ["bill", "year", "state"])
     letter = F.lower(F.substring("impact", 1, 1))
     impact = F.when(letter == "r", "R").when(letter == "n", "N").when(letter.isin("e", "p"), "E")
     matched = matched.withColumns({"impact": impact, "subject": F.lower("subject")})
     grouped = joins.left_join(matched, groupings, ["subject"]).drop("subject").dropna(subset=["group", "impact"])
-    named = joins.left_join(grouped, names, ["bill_id"]).drop("bill").withColumnRenamed("b", "bill")
+    named = joins.left_join(grouped, names, ["bill_id"]).drop("bill").withColumnRenamed("first_name", "bill")
     return named.filter(F.col("bill_id").isNotNull())
 
 

@@ -456,3 +456,24 @@ def test_many_logit_finds_separation(frame):
         assert by[500][0]["status"] == "the outcome is not 0 or 1" and by[501][0]["status"] == "no complete rows"
     whole = many.logit(df.where("y < 2"), D.Spec.of("y", "x", "z"), ["y"]).collect()
     assert {r["status"] for r in whole} == {"the outcome is constant"}
+
+
+def test_predictions_from_tables(frame):
+    rows_in = _slices_of(np.random.default_rng(4), 12) + [(50, 2.0, 1.0, 3.0, "h"), (51, None, 1.0, 3.0, "h")]
+    df = frame("g int, x double, z double, y double, h string", *rows_in)
+    spec = D.Spec.of("y", D.Num("x"), D.Factor("h", ("h0", "h1", "h2")))
+    fitted = many.models(df, spec, ["g"])
+    grid = frame("g int, x double, h string, beta string", *[(g, 0.5, h, "own") for g in [*range(12), 50, 51, 99] for h in ("h0", "h2")], (1, None, "h0", "own"))
+    got = many.predict(fitted, grid, spec, ["g"]).collect()
+    assert len(got) == 31 and got[0].__fields__ == ["g", "x", "h", "beta", "predicted", "std_error", "conf_low", "conf_high"]
+    fit = R.ols(df, spec, ["g"])
+    for r in got:
+        model = fit.models.get((r["g"],))
+        if model is None or r["x"] is None:
+            assert r["predicted"] is None
+            continue
+        x = np.array([1.0, r["x"], float(r["h"] == "h1"), float(r["h"] == "h2")])
+        use = ~np.isnan(model.beta)
+        if model.df > 0 and use.all():
+            assert r["predicted"] == pytest.approx(x @ model.beta, abs=1e-8) and r["std_error"] == pytest.approx(np.sqrt(x @ model.cov @ x), abs=1e-8)
+            assert r["conf_high"] - r["predicted"] == pytest.approx(critical(0.95, model.df) * r["std_error"], abs=1e-7)
