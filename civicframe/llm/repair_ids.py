@@ -2,8 +2,8 @@
 
 Documents are dealt out by ranges of their id and sorted, so shards follow each other in
 id order.  A task encodes its documents and cuts the ids into shards of bounded size.  In
-each shard, rounds of Re-Pair replace the most frequent pairs of neighbouring symbols by
-nonterminals.  A shard file stores the rules, the length each rule expands to, the
+each shard, rounds of Re-Pair replace all frequent pairs of neighbouring symbols by
+nonterminals, until no pair occurs ``LEAST`` times.  A shard file stores the rules, the length each rule expands to, the
 remaining symbols and its documents' ids and token counts; from the lengths, any
 stretch of ids is found and expanded without the rest.
 
@@ -35,10 +35,10 @@ from .common import arrow_text, byte_sizes, distinct, freed, joined_batches, run
 
 MAGIC, VERSION = b"RPR1", 1
 _HEADER = struct.Struct("<4s8q")
-#: Tokens of a shard (one longer document is a shard of its own), bytes of text handled at once, words remembered.
-SHARD_TOKENS, TEXT_BYTES, REMEMBERED = 1 << 20, 16_000_000, 1_000_000
-#: Rounds, most rules of a round and the least occurrences of a pair that becomes a rule.
-ROUNDS, ROUND_RULES, LEAST = 6, 512, 24
+#: Tokens of a shard (one longer document is a shard of its own), bytes of text handled at once, words remembered (twice at most).
+SHARD_TOKENS, TEXT_BYTES, REMEMBERED = 1 << 20, 16_000_000, 500_000
+#: The least occurrences of a pair that becomes a rule.
+LEAST = 24
 _SLOTS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,7 +55,9 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self.size = self._tokenizer.get_vocab_size(with_added_tokens=True)
+        #: Words met lately, and those met before them: what is used again moves up, the rest is forgotten.
         self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has."""
@@ -64,7 +66,8 @@ class Encoder:
         words, counts = split_words(texts, lower=plain, punctuation=plain)
         names, codes = distinct(words)
         if len(self._known) > REMEMBERED:
-            self._known.clear()
+            self._older, self._known = self._known, {}
+        self._known |= {w: self._older[w] for w in names if w in self._older}
         new = [w for w in names if w not in self._known]
         for a in range(0, len(new), 20_000):
             some = new[a : a + 20_000]
@@ -85,15 +88,9 @@ def _frequent(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarr
     pair = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
     slot = (pair * _MIX >> np.uint64(64 - _SLOTS)).astype(np.int64)
     count = np.bincount(slot, minlength=1 << _SLOTS)
-    full = np.sort(count[count >= LEAST])[::-1]
-    if not len(full):
-        return np.zeros(0, np.int64), pair[:0]
-    place = np.flatnonzero(count[slot] >= full[min(len(full), 2 * ROUND_RULES) - 1])
+    place = np.flatnonzero(count[slot] >= LEAST)
     codes, inverse, counts = np.unique(pair[place], return_inverse=True, return_counts=True)
-    order = np.lexsort((codes, -counts))[:ROUND_RULES]
-    chosen = np.zeros(len(codes), bool)
-    chosen[order[counts[order] >= LEAST]] = True
-    place = place[chosen[inverse]]
+    place = place[counts[inverse] >= LEAST]
     # Of pairs that overlap in a run, every other one from the left.
     head = np.flatnonzero(np.append(True, np.diff(place) != 1)) if len(place) else place
     inside = np.arange(len(place)) - np.repeat(head, np.diff(np.append(head, len(place))))
@@ -104,9 +101,7 @@ def _frequent(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols), their expansion lengths and the remaining symbols; nonterminals count from ``first``."""
     symbols, rules, lengths = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), np.zeros(0, np.int64)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         place, pair = _frequent(symbols[:-1], symbols[1:])
         codes, rule = np.unique(pair, return_inverse=True)
         if not len(codes):
