@@ -30,7 +30,7 @@ from .common import arrow_text, byte_sizes, distinct, freed, runs, small_batches
 
 #: Rounds of one recursive query; words that need more go into the next query.
 ROUNDS = 24
-#: Bytes of words merged by one query, ids decoded by one query, bytes of text handled at once, pieces remembered.
+#: Bytes of words merged by one query, ids decoded by one query, bytes of text handled at once, pieces remembered (twice at most).
 MERGE_BYTES, DECODE_IDS, TEXT_BYTES, REMEMBERED = 500_000, 250_000, 4_000_000, 400_000
 
 #: Unicode white space, as the pattern's engine has it (Python's own \s also counts four control characters).
@@ -85,7 +85,9 @@ class Merger:
         if missing:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         self._ranks, self._pattern = ranks, regex.compile(pattern)
+        #: Pieces met lately, and those met before them: what is used again moves up, the rest is forgotten.
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self._db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
         merges = [
@@ -133,7 +135,8 @@ class Merger:
         pieces, counts = _pieces(texts)
         names, codes = distinct(pieces)
         if len(self._known) > REMEMBERED:
-            self._known.clear()
+            self._older, self._known = self._known, {}
+        self._known |= {p: self._older[p] for p in names if p in self._older}
         self._learn([p for p in names if p not in self._known])
         found = [self._known[p] for p in names]
         sizes = np.array([len(x) // 4 for x in found], np.int64)
