@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.numeric import row_sum
 
@@ -23,6 +24,18 @@ def sum_each(cols: Sequence[str]) -> list[Column]:
     return [F.sum(c).alias(c) for c in cols]
 
 
+def sums_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Add the sum per key of each of ``sums``, on the last row of the key by ``order`` and null on the others.
+
+    Sums of doubles depend on the order of their rows.  Here that is ``order``, however the rows are split among files and tasks.  A
+    key's rows run through one task, sorted and not held.
+    """
+    by = Window.partitionBy(*keys).orderBy(*order)
+    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.lead(F.lit(True)).over(by).isNull()
+    return df.withColumns({name: F.when(last, F.sum(value).over(upto)) for name, value in sums.items()})
+
+
 def share_of(part: str, whole: Sequence[str]) -> Column:
     """One column's share of the row sum over several; null when that is 0."""
     return F.try_divide(F.col(part), row_sum(whole))

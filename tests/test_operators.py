@@ -1,12 +1,16 @@
 """Joins, overrides, groups and recodes on hand-written rows, and under skew."""
 
+import datetime
+
 import pytest
 from conftest import one, rows
 from pyspark.sql import functions as F
 
 from civicframe.functions import text
 from civicframe.operators import aggregate, groups, joins, recode
+from civicframe.plans import catalog
 from civicframe.plans import study_values as V
+from civicframe.sources.local import small_frame
 
 
 def test_override_compares_columns_not_joined_text(frame):
@@ -219,3 +223,14 @@ def test_unmatched_rows_are_listed(frame):
 
 def test_unique_check(frame):
     assert one(joins.repeated_keys(frame("k int", (1,), (1,), (2,)), ["k"]))["rows"] == 2
+
+
+def test_scaled_sums_do_not_depend_on_where_rows_lie(spark, tmp_path):
+    """In the files' order 0.7 + 0.2 + 0.1 is 0.9999999999999999; a task for each file adds 0.7 and 0.2 + 0.1, which is 1."""
+    kinds = "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string, o_orderdate timestamp"
+    (tmp_path / "orders.parquet").mkdir()
+    for i, prices in enumerate([[0.7], [0.2, 0.1]]):
+        part = [(k, 5, p, "F", datetime.datetime(2000, 1, 1, tzinfo=datetime.UTC)) for k, p in enumerate(prices)]
+        small_frame(spark, part, kinds).coalesce(1).sortWithinPartitions("o_orderkey").write.parquet(str(tmp_path / str(i)))
+        next((tmp_path / str(i)).glob("*.parquet")).rename(tmp_path / "orders.parquet" / f"{i}.parquet")
+    assert one(catalog.QUERIES["scale_columns"](spark, str(tmp_path)))["new_text"] == "0"
