@@ -384,6 +384,35 @@ def test_many_huber(frame):
     assert len({r["g"] for r in got}) == len({r[0] for r in rows_in})
 
 
+def _rounded(found):
+    return rows(found.select(*[F.round(c, 7).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes]))
+
+
+def test_small_slices_take_their_steps_in_one_shuffle(frame, monkeypatch):
+    """Packed slices, tables and both at once give the same fits; packed ones need no job a step."""
+    rows_in = _slices_of(np.random.default_rng(9), 60) + [(None, float(i % 5), float(i % 2), float(i % 7), "h") for i in range(30)]
+    rows_in += [(99, None, 1.0, 1.0, "h"), (98, 1.0, float("nan"), 1.0, "h"), *[(97, 0.1, 1.0, float(i % 3), "h") for i in range(7)]]
+    df = frame("g int, x double, z double, y double, h string", *rows_in).withColumn("up", (F.col("y") > F.col("x")).cast("int"))
+    status = df.sparkSession.sparkContext.statusTracker()
+    for name, fit in [("huber", lambda: many.huber(df, D.Spec.of("y", "x", "z"), ["g"], max_steps=6))]:
+        df.sparkSession.sparkContext.setJobGroup(name, name)
+        found = _rounded(fit())
+        assert len(status.getJobIdsForGroup(name)) < 8
+        assert len(found) > 100 and {r[0] for r in found} == {r[0] for r in rows_in}
+        for size in (0, 60):
+            monkeypatch.setattr(many, "PACKED", size)
+            assert _rounded(fit()) == found
+        monkeypatch.setattr(many, "PACKED", 1024)
+
+
+def test_pieces_hold_whole_slices(frame, monkeypatch):
+    """Batches cut into pieces of few numbers lose no slice."""
+    df = frame("g int, x double, y double", *[(g, float(i), float((i * 7 + g) % 5)) for g in range(40) for i in range(g % 9)])
+    want = _rounded(many.huber(df, D.Spec.of("y", "x"), ["g"]))
+    monkeypatch.setattr(many, "PIECE", 12)
+    assert _rounded(many.huber(df, D.Spec.of("y", "x"), ["g"])) == want
+
+
 def test_brackets_hold_exact_medians(spark, monkeypatch):
     monkeypatch.setattr(many, "SMALL", 3)
     monkeypatch.setattr(many, "BINS", 8)
