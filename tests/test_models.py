@@ -394,7 +394,7 @@ def test_small_slices_take_their_steps_in_one_shuffle(frame, monkeypatch):
     rows_in += [(99, None, 1.0, 1.0, "h"), (98, 1.0, float("nan"), 1.0, "h"), *[(97, 0.1, 1.0, float(i % 3), "h") for i in range(7)]]
     df = frame("g int, x double, z double, y double, h string", *rows_in).withColumn("up", (F.col("y") > F.col("x")).cast("int"))
     status = df.sparkSession.sparkContext.statusTracker()
-    for name, fit in [("huber", lambda: many.huber(df, D.Spec.of("y", "x", "z"), ["g"], max_steps=6))]:
+    for name, fit in (("huber", lambda: many.huber(df, D.Spec.of("y", "x", "z"), ["g"], max_steps=6)), ("logit", lambda: many.logit(df, D.Spec.of("up", "x"), ["g"]))):
         df.sparkSession.sparkContext.setJobGroup(name, name)
         found = _rounded(fit())
         assert len(status.getJobIdsForGroup(name)) < 8
