@@ -83,14 +83,19 @@ def centroid(rings: Column) -> Column:
 
 
 def _shapes(layers: dict[str, tuple[DataFrame, str]], rings: str, within: Sequence[str]) -> DataFrame:
-    """Polygons of all layers: layer number, key (a struct with one field a layer, so that each keeps its type), within, edges, extent."""
+    """Polygons of all layers: layer number, key (a struct with one field a layer, so that each keeps its type), within, edges, extent.
+
+    Of polygons with the same rings the one of the lowest key is all that a point can find, so a shape is indexed once, however many copies
+    a layer has.  That also spreads the polygons of a small file over the tasks.
+    """
     parts = []
     for i, (polygons, key) in enumerate(layers.values()):
+        distinct = polygons.groupBy(F.col(rings).alias("__rings"), *within).agg(F.min(key).alias("__key"))
         fields = [
-            (F.col(key) if j == i else F.lit(None).cast(other.schema[k].dataType)).alias(f"k{j}")
+            (F.col("__key") if j == i else F.lit(None).cast(other.schema[k].dataType)).alias(f"k{j}")
             for j, (other, k) in enumerate(layers.values())
         ]
-        parts.append(polygons.select(F.lit(i).alias("layer"), F.struct(*fields).alias("key"), F.struct(F.lit(0).alias("all"), *within).alias("within"), edges_of(F.col(rings)).alias("e")))
+        parts.append(distinct.select(F.lit(i).alias("layer"), F.struct(*fields).alias("key"), F.struct(F.lit(0).alias("all"), *within).alias("within"), edges_of(F.col("__rings")).alias("e")))
     shapes = reduce(DataFrame.unionByName, parts).filter(F.size("e") > 0)
     xs, ys = F.transform("e", lambda e: e.x1), F.transform("e", lambda e: e.y1)
     return shapes.withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)})

@@ -127,6 +127,18 @@ def test_layers_of_other_key_types_in_one_index(spark, cloud):
     assert {r["pid"]: (r["a"], r["b"], r["c"]) for r in got.collect()} == {p: (a[p], f"n{b[p]}" if b[p] else None, None) for p in a}
 
 
+def test_copies_of_a_polygon_are_indexed_once(spark, cloud):
+    """However many copies a layer has, its shapes and cells are those of the distinct polygons with the lowest keys."""
+    copies = polygons(spark, [(100 * n + k, state, r) for k, state, r in SHAPES for n in range(30)])
+    once = polygons(spark, SHAPES[:-1])
+    for within in ([], ["state"]):
+        many, few = (spatial._shapes({"a": (p, "id")}, "rings", within) for p in (copies, once))
+        assert rows(many, "layer", "key", "within", "x0", "y0") == rows(few, "layer", "key", "within", "x0", "y0")
+    assert spatial._index(spatial._shapes({"a": (copies, "id")}, "rings", [])).count() == spatial._index(spatial._shapes({"a": (once, "id")}, "rings", [])).count()
+    found = spatial.assign_polygon(cloud, "x", "y", copies.drop("state"), "id", "hit")
+    assert rows(found, "pid", "hit") == rows(spatial.assign_polygon(cloud, "x", "y", once.drop("state"), "id", "hit"), "pid", "hit")
+
+
 def test_cells_are_cut_where_edges_are(spark):
     rng = random.Random(2)
     shapes = [(i, "A", [ring((x, y), (x + 0.001, y), (x, y + 0.001))]) for i in range(300) for x, y in [(50 + rng.random() / 50, 50 + rng.random() / 50)]]
