@@ -11,7 +11,8 @@ one byte string, which can be read from a memory-mapped file or from a table's c
 The shard answers the same words and pairs by successor search among a context's followers,
 and the answers go back to their chunk, where documents are scored.  So nothing of the
 model is ever whole on one machine, and its size follows the corpus: a word's followers are
-spread over ``SALTS`` shards, a pair weighs one entry per chunk however frequent it is.
+spread over ``salts`` shards, the more the more shards there are, and a pair weighs one entry per chunk however
+frequent it is.  Between tasks chunks travel in pieces, so that no executor holds long rows.
 
 The model is a bigram model with a Dirichlet prior: P(w | v) = (c(vw) + mu P(w)) / (c(v) + mu), where P(w) is
 the add-one estimate.  It sums to one over the known words and one unknown word.
@@ -30,11 +31,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from .common import arrow_text, byte_sizes, hash_words, id_remainder, runs, split_words
-
-#: Bytes of text in a chunk (one longer text is a chunk of its own), tokens of the corpus per shard.
-CHUNK_BYTES, SHARD_TOKENS = 12_000_000, 2_000_000
-SALTS = 8
+from .common import BATCH_BYTES, arrow_text, byte_sizes, freed, hash_words, id_remainder, runs, small_batches, split_words
+
+#: Bytes of text in a chunk (one longer text is a chunk of its own) and documents, tokens of the corpus per shard.
+CHUNK_BYTES, CHUNK_DOCS, SHARD_TOKENS = 12_000_000, 10_000, 2_000_000
+#: Bytes of a chunk in a row that is shuffled; half a region of a small heap, which holds larger arrays apart.
+PIECE_BYTES = 256 << 10
+#: Bytes of text that are cut into words at a time; that takes forty times as much memory.
+SPLIT_BYTES = 2 << 20
+#: Words and pairs looked up at a time, so that what a look-up works on stays in the processor's cache.
+ASK = 1 << 15
+#: Shards of a hot word's followers: the least, and one more for so many shards of the model.
+SALTS, SALT_SHARDS = 8, 32
 #: Weight of the prior, in tokens.
 MU = 400.0
 END, START = np.uint64(0x0E4D000000000001), np.uint64(0x57A2700000000001)
@@ -46,6 +54,11 @@ _POP = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 _NTH = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
 
 
+def salts(n: int) -> int:
+    """Over how many of ``n`` shards a word's followers are spread: a fixed number would fill a few shards as the corpus grows."""
+    return max(SALTS, n // SALT_SHARDS)
+
+
 class EliasFano:
     """A non-decreasing sequence of 64-bit numbers: low bytes as they are, high parts as gaps in unary.
 
@@ -155,14 +168,21 @@ class Trie:
     @classmethod
     def pack(cls, words: np.ndarray, counts: np.ndarray, first: np.ndarray, second: np.ndarray, pair_counts: np.ndarray) -> bytes:
         """From words with counts and pairs (context hash, follower number) with counts; repeated ones are added up."""
-        nodes, at = np.unique(np.concatenate([words[counts > 0], first[pair_counts > 0]]), return_inverse=True)
+        taught = pair_counts > 0
+        first, second, pair_counts = first[taught], second[taught], pair_counts[taught]
+        head = np.flatnonzero(np.append(True, first[1:] != first[:-1])) if len(first) else np.zeros(0, np.int64)
+        nodes, at = np.unique(np.concatenate([words[counts > 0], first[head]]), return_inverse=True)
         if len(nodes) >> (64 - CHILD_BITS):
             raise ValueError("too many contexts for one shard")
         own = int((counts > 0).sum())
         total = np.bincount(at[:own], counts[counts > 0], len(nodes)).astype(np.int64)
-        key = at[own:].astype(np.uint64) << np.uint64(CHILD_BITS) | second[pair_counts > 0]
-        keys, at = np.unique(key, return_inverse=True)
-        pairs = np.bincount(at, pair_counts[pair_counts > 0], len(keys)).astype(np.int64)
+        key = np.repeat(at[own:].astype(np.uint64) << np.uint64(CHILD_BITS), np.diff(np.append(head, len(first)))) | second
+        del first, second, taught, at
+        order = np.argsort(key)
+        key, pair_counts = key[order], pair_counts[order].astype(np.int64)
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        keys, pairs = key[head], np.add.reduceat(pair_counts, head) if len(key) else pair_counts
+        del key, order, pair_counts
         pointers = np.searchsorted(keys, np.arange(len(nodes) + 1, dtype=np.uint64) << np.uint64(CHILD_BITS))
         word_codes, word_top = _codes(total + 1)
         pair_codes, pair_top = _codes(pairs)
@@ -211,12 +231,16 @@ class Chunk:
 
     @classmethod
     def of(cls, texts: pa.StringArray, train: np.ndarray) -> Chunk:
-        words, counts = split_words(texts, lower=True)
-        coded = words.dictionary_encode()
-        hashes = np.append(hash_words(coded.dictionary), END)
-        vocabulary, number = np.unique(hashes, return_inverse=True)
-        tokens = np.insert(number[:-1][coded.indices.to_numpy(zero_copy_only=False)], np.cumsum(counts), number[-1])
-        return cls(vocabulary, tokens, counts + 1, train)
+        parts = []
+        for a, b in runs(byte_sizes(texts).tolist(), SPLIT_BYTES):
+            words, counts = split_words(texts.slice(a, b - a), lower=True)
+            coded = words.dictionary_encode()
+            parts.append((hash_words(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False), counts))
+        vocabulary = np.unique(np.concatenate([np.array([END]), *(hashes for hashes, _, _ in parts)]))
+        end = np.searchsorted(vocabulary, END)
+        tokens = [np.insert(np.searchsorted(vocabulary, hashes)[places], np.cumsum(counts), end) for hashes, places, counts in parts]
+        none = np.zeros(0, np.int64)
+        return cls(vocabulary, np.concatenate([none, *tokens]), np.concatenate([none, *(counts + 1 for _, _, counts in parts)]), train)
 
     def count(self) -> None:
         """Distinct words and pairs with their training counts; pairs are sorted by context and follower."""
@@ -234,7 +258,7 @@ class Chunk:
     def shards(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The shard of each word and of each pair."""
         with np.errstate(over="ignore"):
-            salt = self.hashes[self.second] % np.uint64(SALTS) + np.uint64(1)
+            salt = self.hashes[self.second] % np.uint64(salts(n)) + np.uint64(1)
             pair = (self.hashes[self.first] + salt * _SALT) * _MIX >> np.uint64(32)
             word = self.vocabulary * _MIX >> np.uint64(32)
         return (word % np.uint64(n)).astype(np.int64), (pair % np.uint64(n)).astype(np.int64)
@@ -304,13 +328,39 @@ def build(questions: list[bytes]) -> bytes:
     return Trie.pack(words, counts, np.repeat(contexts, sizes), children, pair_counts)
 
 
-def answer(trie: Trie, question: bytes) -> bytes:
-    """The highest count of a pair, then of all words the exact counts and smoothed logs, of all pairs the codes."""
-    words, _, contexts, sizes, children, _ = _parts(question)
-    counts, logs = trie.word(words)
-    return b"".join([
-        struct.pack("<d", trie.pair_top), counts.astype("<u4").tobytes(), logs.astype("<f4").tobytes(), trie.pair(contexts, sizes, children).tobytes(),
-    ])
+def answers(trie: Trie, questions: list[bytes]) -> list[bytes]:
+    """To each question the highest count of a pair, then of all words the exact counts and smoothed logs, of all pairs the codes.
+
+    As many questions as make up ``ASK`` words and pairs are looked up together: the more shards, the shorter a question.
+    """
+    out = []
+    asked = [n_words + n_pairs for n_words, _, n_pairs in (struct.unpack_from("<3q", q) for q in questions)]
+    for a, b in runs(asked, ASK):
+        parts = [_parts(q) for q in questions[a:b]]
+        words, _, contexts, sizes, children, _ = (np.concatenate(x) for x in zip(*parts))
+        counts, logs = trie.word(words)
+        counts, logs, codes = counts.astype("<u4"), logs.astype("<f4"), trie.pair(contexts, sizes, children)
+        w = p = 0
+        for own, _, _, _, child, _ in parts:
+            word, pair = slice(w, w + len(own)), slice(p, p + len(child))
+            out.append(struct.pack("<d", trie.pair_top) + counts[word].tobytes() + logs[word].tobytes() + codes[pair].tobytes())
+            w, p = word.stop, pair.stop
+    return out
+
+
+def _filled(batches: Iterator[pa.RecordBatch], most_bytes: int, most_docs: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, in batches of one chunk each: up to so many bytes of text (or one longer text) and documents."""
+    held, total, rows = [], 0, 0
+    for batch in batches:
+        start = 0
+        for i, size in enumerate(byte_sizes(arrow_text(batch.column("text"))).tolist()):
+            if rows and (total + size > most_bytes or rows == most_docs):
+                yield pa.concat_batches([*held, batch.slice(start, i - start)])
+                held, total, rows, start = [], 0, 0, i
+            total, rows = total + size, rows + 1
+        held.append(batch.slice(start))
+    if rows:
+        yield pa.concat_batches(held)
 
 
 def _write_chunks(docs: DataFrame, id_col: str, text_col: str, folder: str, held: bool) -> None:
@@ -318,45 +368,63 @@ def _write_chunks(docs: DataFrame, id_col: str, text_col: str, folder: str, held
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            texts, train = arrow_text(batch.column("text")), batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            for a, b in runs(byte_sizes(texts).tolist(), CHUNK_BYTES):
-                c = Chunk.of(texts.slice(a, b - a), train[a:b])
-                ids = batch.column("id").slice(a, b - a)
-                row = {
-                    "chunk": pa.array([number], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), ids),
-                    "train_tokens": pa.array([int(c.counts[c.train].sum())], pa.int64()), "tokens": pa.array([int(c.counts.sum())], pa.int64()),
-                    "train_docs": pa.array([int(c.train.sum())], pa.int64()),
-                    "vocabulary": pa.array([c.vocabulary.astype("<u8").tobytes()], pa.binary()), "numbers": pa.array([c.tokens.astype("<u4").tobytes()], pa.binary()),
-                    "counts": pa.array([c.counts.astype("<u4").tobytes()], pa.binary()), "train": pa.array([c.train.tobytes()], pa.binary()),
-                }
-                yield pa.RecordBatch.from_pydict(row)
-                number += 1
+        for batch in _filled(batches, CHUNK_BYTES, CHUNK_DOCS):
+            c = Chunk.of(arrow_text(batch.column("text")), batch.column("train").to_numpy(zero_copy_only=False).astype(bool))
+            row = {
+                "chunk": pa.array([number], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("id")),
+                "train_tokens": pa.array([int(c.counts[c.train].sum())], pa.int64()), "tokens": pa.array([int(c.counts.sum())], pa.int64()),
+                "train_docs": pa.array([int(c.train.sum())], pa.int64()),
+                "vocabulary": pa.array([c.vocabulary.astype("<u8").tobytes()], pa.binary()), "numbers": pa.array([c.tokens.astype("<u4").tobytes()], pa.binary()),
+                "counts": pa.array([c.counts.astype("<u4").tobytes()], pa.binary()), "train": pa.array([c.train.tobytes()], pa.binary()),
+            }
+            yield pa.RecordBatch.from_pydict(row)
+            number += 1
 
     kind = docs.schema[id_col].dataType.simpleString()
     train = id_remainder(id_col, 7) != 2 if held else F.lit(True)
     rows = docs.select(F.col(id_col).alias("id"), train.alias("train"), F.col(text_col).alias("text"))
     schema = f"chunk long, ids array<{kind}>, train_tokens long, tokens long, train_docs long, vocabulary binary, numbers binary, counts binary, train binary"
-    rows.mapInArrow(chunks, schema).write.option("compression", "zstd").parquet(folder)
+    small_batches(rows).mapInArrow(freed(chunks), schema).write.option("compression", "zstd").parquet(folder)
+
+
+#: A chunk's columns; the part of the row that holds its ids, before all pieces.
+_CHUNK = {"vocabulary": "<u8", "numbers": "<u4", "counts": "<u4", "train": "u1"}
+_FIRST = -(1 << 31)
 
 
 def _chunk(row: dict) -> Chunk:
-    kinds = {"vocabulary": "<u8", "numbers": "<u4", "counts": "<u4", "train": "u1"}
-    chunk = Chunk(*(np.frombuffer(row[k], kind) for k, kind in kinds.items()))
+    chunk = Chunk(*(np.frombuffer(row[k], kind) for k, kind in _CHUNK.items()))
     chunk.count()
     return chunk
 
 
+def _in_batches(chunk: int, found: Iterator[tuple[int, bytes]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of a number, the chunk and some bytes, in batches of half of ``BATCH_BYTES`` or a little more."""
+    numbers, data, total = [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([chunk] * len(data), pa.int64()), pa.array(data, pa.binary())], names)
+
+    for number, raw in found:
+        numbers.append(number)
+        data.append(raw)
+        total += len(raw)
+        if total >= BATCH_BYTES // 2:
+            yield batch()
+            numbers, data, total = [], [], 0
+    if data:
+        yield batch()
+
+
 def _questions(chunks: DataFrame, n: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 (row,) = batch.slice(i, 1).to_pylist()
-                found = [*_chunk(row).questions(n)]
-                columns = [pa.array([s for s, _ in found], pa.int32()), pa.array([row["chunk"]] * len(found), pa.int64()), pa.array([q for _, q in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "chunk", "question"])
+                yield from _in_batches(row["chunk"], _chunk(row).questions(n), ["shard", "chunk", "question"])
 
-    return chunks.select("chunk", "vocabulary", "numbers", "counts", "train").mapInArrow(ask, "shard int, chunk long, question binary")
+    rows = small_batches(chunks.select("chunk", "vocabulary", "numbers", "counts", "train"))
+    return rows.mapInArrow(freed(ask), "shard int, chunk long, question binary")
 
 
 def _sizes(chunks: DataFrame) -> tuple[int, int, int]:
@@ -371,14 +439,15 @@ _ANSWER = "shard int, chunk long, answer binary, words long"
 def _answers(questions: DataFrame) -> DataFrame:
     """Each shard's answers to all chunks, and a row of chunk -1 with the number of its known words."""
 
-    def shard(rows: pd.DataFrame) -> pd.DataFrame:
-        trie = Trie(build(rows["question"].tolist()))
-        answers = [answer(trie, q) for q in rows["question"]]
-        out = pd.DataFrame({"shard": rows["shard"], "chunk": rows["chunk"], "answer": answers, "words": 0})
-        out.loc[len(out)] = [int(rows["shard"].iloc[0]), -1, None, trie.known_words()]
-        return out
+    def shard(rows: pa.Table) -> pa.Table:
+        asked = [q.as_buffer() for q in rows["question"]]
+        trie = Trie(build(asked))
+        number, chunk = rows["shard"].to_pylist(), rows["chunk"].to_pylist()
+        words = [0] * len(asked) + [trie.known_words()]
+        out = [pa.array([*number, number[0]], pa.int32()), pa.array([*chunk, -1], pa.int64()), pa.array([*answers(trie, asked), None], pa.binary()), pa.array(words, pa.int64())]
+        return pa.Table.from_arrays(out, ["shard", "chunk", "answer", "words"])
 
-    return questions.groupBy("shard").applyInPandas(shard, _ANSWER)
+    return questions.groupBy("shard").applyInArrow(shard, _ANSWER)
 
 
 def train(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", held: bool = False) -> None:
@@ -401,20 +470,62 @@ def train(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
     sizes.write.parquet(f"{folder}/sizes")
 
 
-def _finish(chunks: DataFrame, answers: DataFrame, n: int, tokens: int, taught: int, words: int, id_col: str, kind: str) -> DataFrame:
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(chunks: DataFrame) -> DataFrame:
+    """Chunks in rows of ``PIECE_BYTES``: chunk, part (from below 0 up to -1), data."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                (row,) = one.drop_columns(["ids"]).to_pylist()
-                found = {a["shard"]: a["answer"] for a in row["answers"]}
-                got = _chunk(row).scores(n, found, tokens, taught, words)
-                columns = [one.column("ids").flatten(), *(pa.array(got[k]) for k in ("n_tokens", "n_known", "base_score", "score"))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "n_known", "base_score", "score"])
-
-    back = answers.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("shard", "answer")).alias("answers"))
-    both = chunks.select("chunk", "ids", "vocabulary", "numbers", "counts", "train").join(back, "chunk").drop("chunk")
-    rows = both.mapInArrow(score, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+                (row,) = batch.slice(i, 1).to_pylist()
+                raw = struct.pack("<4q", *(len(row[k]) for k in _CHUNK)) + b"".join(row[k] for k in _CHUNK)
+                n = -(-len(raw) // PIECE_BYTES)
+                found = ((k - n, raw[k * PIECE_BYTES : (k + 1) * PIECE_BYTES]) for k in range(n))
+                yield from _in_batches(row["chunk"], found, ["part", "chunk", "data"])
+
+    rows = small_batches(chunks.select("chunk", *_CHUNK))
+    return rows.mapInArrow(freed(cut), "part int, chunk long, data binary")
+
+
+def _whole(pieces: list[bytes]) -> Chunk:
+    """The chunk of all its pieces, in order."""
+    raw, at, fields = b"".join(pieces), 32, {}
+    for k, size in zip(_CHUNK, struct.unpack_from("<4q", raw)):
+        fields[k] = memoryview(raw)[at : at + size]
+        at += size
+    return _chunk(fields)
+
+
+def _finish(chunks: DataFrame, answered: DataFrame, n: int, tokens: int, taught: int, words: int, id_col: str, kind: str) -> DataFrame:
+    """Documents scored: a chunk's ids, its pieces and its answers meet in one partition, one after another."""
+    names = ["id", "n_tokens", "n_known", "base_score", "score"]
+
+    def scored(ids: pa.Array, pieces: list[bytes], found: dict[int, bytes]) -> pa.RecordBatch:
+        got = _whole(pieces).scores(n, found, tokens, taught, words)
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(got[k]) for k in names[1:])], names)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, pieces, found = None, None, [], {}
+        for batch in batches:
+            for i, (chunk, part, data) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("chunk", "part", "data")))):
+                if chunk != last:
+                    if last is not None:
+                        yield scored(ids, pieces, found)
+                    last, ids, pieces, found = chunk, None, [], {}
+                if data is None:
+                    ids = batch.column("ids").slice(i, 1).flatten()
+                elif part < 0:
+                    pieces.append(data)
+                else:
+                    found[part] = data
+        if last is not None:
+            yield scored(ids, pieces, found)
+
+    none = F.lit(None)
+    parts = _pieces(chunks).select("chunk", "part", none.cast(f"array<{kind}>").alias("ids"), "data")
+    ids = chunks.select("chunk", F.lit(_FIRST).alias("part"), "ids", none.cast("binary").alias("data"))
+    back = answered.where("chunk >= 0").select("chunk", F.col("shard").alias("part"), none.cast(f"array<{kind}>").alias("ids"), F.col("answer").alias("data"))
+    both = small_batches(parts.unionByName(ids).unionByName(back).repartition("chunk").sortWithinPartitions("chunk", "part"))
+    rows = both.mapInArrow(freed(score), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     held = (id_remainder("id", 7) == 2).alias("held_out")
     return rows.select(F.col("id").alias(id_col), held, "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
@@ -424,8 +535,7 @@ def score(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
 
     def shard(rows: pd.DataFrame, tries: pd.DataFrame) -> pd.DataFrame:
         trie = Trie(tries["trie"].iloc[0] if len(tries) else build([struct.pack("<3q", 0, 0, 0)]))
-        answers = [answer(trie, q) for q in rows["question"]]
-        return pd.DataFrame({"shard": rows["shard"], "chunk": rows["chunk"], "answer": answers, "words": 0})
+        return pd.DataFrame({"shard": rows["shard"], "chunk": rows["chunk"], "answer": answers(trie, rows["question"].tolist()), "words": 0})
 
     spark, folder = docs.sparkSession, scratch_dir(docs.sparkSession)
     _write_chunks(docs, id_col, text_col, f"{folder}/chunks", False)
@@ -450,6 +560,6 @@ def apply(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     chunks = spark.read.parquet(f"{folder}/chunks")
     n, tokens, taught = _sizes(chunks)
     _answers(_questions(chunks, n)).write.option("compression", "zstd").parquet(f"{folder}/answers")
-    answers = spark.read.parquet(f"{folder}/answers")
-    words = answers.where("chunk = -1").agg(F.sum("words")).first()[0] or 0
-    return _finish(chunks, answers, n, tokens, taught, words, id_col, docs.schema[id_col].dataType.simpleString())
+    answered = spark.read.parquet(f"{folder}/answers")
+    words = answered.where("chunk = -1").agg(F.sum("words")).first()[0] or 0
+    return _finish(chunks, answered, n, tokens, taught, words, id_col, docs.schema[id_col].dataType.simpleString())

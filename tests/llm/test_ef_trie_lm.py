@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -130,3 +131,75 @@ def test_probabilities_add_up():
         total = sum((pairs[context, w] + T.MU * (words[w] + 1) / (n + v + 1)) / (words[context] + T.MU) for w in words)
         unknown = T.MU / (n + v + 1) / (words[context] + T.MU)
         assert total + unknown == pytest.approx(1)
+
+
+def test_chunks_travel_in_short_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(T, "PIECE_BYTES", 500)
+    docs = spark.createDataFrame(made(9), "doc_id long, text string").repartition(3)
+    T._write_chunks(docs, "doc_id", "text", str(tmp_path / "chunks"), True)
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    pieces = T._pieces(chunks).collect()
+    assert max(len(p["data"]) for p in pieces) <= 500 and len(pieces) > 100
+    for row in chunks.collect():
+        whole = T._whole([p["data"] for p in sorted(pieces, key=lambda p: p["part"]) if p["chunk"] == row["chunk"]])
+        want = T._chunk(row.asDict())
+        assert all((getattr(whole, k) == getattr(want, k)).all() for k in ("vocabulary", "tokens", "counts", "train", "pairs", "pair_counts"))
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"])
+    cut = sorted(T.apply(docs).collect(), key=key)
+    monkeypatch.setattr(T, "PIECE_BYTES", 1 << 30)
+    assert cut == sorted(T.apply(docs).collect(), key=key)
+
+
+def test_a_hot_word_gets_more_shards_as_the_model_grows():
+    chunk = T.Chunk.of(pa.array([" ".join(f"the w{i}" for i in range(6000))]), np.ones(1, bool))
+    chunk.count()
+    hot = np.bincount(chunk.first).argmax()
+    followers = chunk.first == hot
+    assert followers.sum() >= 6000
+    for n, most in ((8, 0.5), (1024, 0.1), (8192, 0.025)):
+        assert np.bincount(chunk.shards(n)[1][followers], minlength=n).max() <= most * followers.sum()
+
+
+def test_short_questions_are_looked_up_together():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["ka", "mo", "ri", "te", "no"]) + str(rng.randrange(40)) for _ in range(30)) for _ in range(400)]
+    questions = []
+    for text in [*texts, ""]:
+        chunk = T.Chunk.of(pa.array([text]), np.ones(1, bool))
+        chunk.count()
+        questions += [q for _, q in chunk.questions(1)]
+
+    class Counting(T.Trie):
+        calls = 0
+
+        def pair(self, *asked):
+            self.calls += 1
+            return super().pair(*asked)
+
+    trie = Counting(T.build(questions))
+    together = T.answers(trie, questions)
+    assert trie.calls <= 2
+    assert together == [T.answers(trie, [q])[0] for q in questions]
+    assert T.answers(trie, []) == []
+
+
+def test_words_are_cut_from_a_little_text_at_a_time():
+    texts = pa.array(["lorem ipsum dolor sit amet " * 2000] * 150)
+    tracemalloc.start()
+    try:
+        chunk = T.Chunk.of(texts, np.ones(150, bool))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert chunk.counts.tolist() == [10_001] * 150 and len(chunk.vocabulary) == 6
+    assert peak < 14 * 150 * 27 * 2000
+
+
+@pytest.mark.parametrize("sizes", [[], [5], [5] * 30, [0] * 25, [30, 1, 30, 2, 2]])
+def test_batches_are_dealt_into_chunks(sizes):
+    texts = [str(i % 10) * n for i, n in enumerate(sizes)]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[a : a + 4], pa.string()), "id": pa.array(range(a, min(a + 4, len(texts))), pa.int64())}) for a in range(0, len(texts), 4)]
+    out = [b.to_pydict() for b in T._filled(iter(batches), 20, 10)]
+    assert [t for b in out for t in b["text"]] == texts and [i for b in out for i in b["id"]] == [*range(len(texts))]
+    assert all(0 < len(b["text"]) <= 10 and (len(b["text"]) == 1 or sum(map(len, b["text"])) <= 20) for b in out)
+    assert all(len(a["text"]) == 10 or sum(map(len, a["text"])) + len(b["text"][0]) > 20 for a, b in zip(out, out[1:]))
